@@ -78,14 +78,20 @@ class Words:
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # n+1: where each text's words begin
+    sums: np.ndarray | None = None  # prefix sums behind the hashes
 
+    def part(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
+        """Hashes of the byte ranges start:end, apart from those of words and of other salts."""
+        h = (self.sums[end] - self.sums[start]) * _powers(len(self.sums))[1][start]
+        return mix(h + U64(salt * int(_BASE) & 0xFFFFFFFFFFFFFFFF))
 
-def words(raw: np.ndarray, offs: np.ndarray) -> Words:
+
+def words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SEP) -> Words:
     n = len(raw)
     if n == 0:
         z = np.zeros(0, np.int64)
         return Words(z, z, np.zeros(0, U64), np.zeros(len(offs), np.int64))
-    sep = _SEP[raw]
+    sep = separators[raw]
     edge = np.zeros(n + 1, bool)
     edge[offs] = True
     word = ~sep
@@ -102,7 +108,7 @@ def words(raw: np.ndarray, offs: np.ndarray) -> Words:
     np.cumsum(v, out=c[1:])
     h = (c[end] - c[start]) * unpower[start]
     h += (end - start).astype(U64) * _STEP
-    return Words(start, end, mix(h), np.searchsorted(start, offs))
+    return Words(start, end, mix(h), np.searchsorted(start, offs), c)
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:

@@ -20,6 +20,32 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import decontaminate
+
+    return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import toxicity
+
+    docs = table(spark, sf_dir, "documents")
+    scored = toxicity.score(docs, toxicity.fit(docs, table(spark, sf_dir, "labels")))
+    return scored.select("doc_id", (toxicity.fold(F.col("doc_id"), 5) == 0).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"), "worst_start", "worst_end", "worst_score")
+
+
+def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import neardup
+
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
+def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import lines
+
+    return lines.dedup(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+
+
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import chat
 
@@ -46,4 +72,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    from . import lines
+
+    return {"op7_lines": lines.SQL}
