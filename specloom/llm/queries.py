@@ -26,6 +26,18 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import substrings
+
+    return substrings.dedup(table(spark, sf_dir, "documents"), text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
+
+
+def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram
+
+    return ngram.held_out_scores(spark, table(spark, sf_dir, "documents")).select("doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import toxicity
 
