@@ -32,6 +32,12 @@ def op2_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substrings.dedup(table(spark, sf_dir, "documents"), text=False).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans")
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html
+
+    return html.extract_pages(table(spark, sf_dir, "pages"))
+
+
 def op4_ngram(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram
 
