@@ -56,9 +56,9 @@ def later_runs(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, windo
     grams = F.transform(around, lambda s: F.struct(s.alias("s"), F.xxhash64(F.transform(gram(s), lambda e: e["h"])).alias("g1"), F.hash(F.transform(gram(s), lambda e: e["g"])).alias("g2")))
     anchors = ws.put(rows.select(F.col("f.h").alias("fp"), "id", "key", grams.alias("grams")), "anchors")
     common = ws.put(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "common")
-    found = ws.put(anchors.join(common, "fp").select("id", "key", F.inline("grams")), "windows")
+    found = ws.put(anchors.join(common.hint("merge"), "fp").select("id", "key", F.inline("grams")), "windows")
     first = ws.put(found.groupBy("g1", "g2").agg(F.min(F.struct("id", "key", "s")).alias("first")), "first")
-    later = found.join(first, ["g1", "g2"]).where(F.struct("id", "key", "s") != F.col("first")).groupBy("key").agg(F.collect_set("s").alias("starts"))
+    later = found.join(first.hint("merge"), ["g1", "g2"]).where(F.struct("id", "key", "s") != F.col("first")).groupBy("key").agg(F.collect_set("s").alias("starts"))
     out = ws.put(later, "later")
     ws.drop(anchors, common, found, first)
     return out
@@ -70,7 +70,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     key, starts = fresh(docs, "line_key"), fresh(docs, "line_starts")
     later = later_runs(ws, docs, id_col, text_col, window).select(F.col("key").alias(key), F.col("starts").alias(starts))
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
-    joined = keyed.join(later, key, "left")
+    joined = keyed.join(later.hint("merge"), key, "left")
     lines = _split(F.col(text_col))
     places = F.transform(_counting(lines), lambda e: e["at"])
     gone = F.array_distinct(F.flatten(F.transform(F.col(starts), lambda s: F.sequence(s, s + (window - 1)))))
