@@ -1,4 +1,4 @@
-"""Shared folder, written intermediate tables, and shipping of this package to executors."""
+"""Shared folder and written intermediate tables."""
 
 from __future__ import annotations
 
@@ -7,31 +7,10 @@ import os
 import shutil
 import tempfile
 import uuid
-import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
-_shipped: set[str] = set()
-
-
-def ship(spark: SparkSession) -> None:
-    """Make this package importable on executors that do not have it: once per application, the driver serves a zip of it."""
-    sc = spark.sparkContext
-    if sc.applicationId in _shipped:
-        return
-    top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
-    name = os.path.basename(top)
-    folder = tempfile.mkdtemp(prefix="ship-")
-    atexit.register(shutil.rmtree, folder, ignore_errors=True)
-    path = os.path.join(folder, f"{name}.zip")
-    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
-        for d, _, files in os.walk(top):
-            for f in sorted(files):
-                if f.endswith(".py"):
-                    full = os.path.join(d, f)
-                    z.write(full, os.path.join(name, os.path.relpath(full, top)))
-    sc.addPyFile(path)
-    _shipped.add(sc.applicationId)
+from ..shipping import ship as ship
 
 
 def shared_dir(spark: SparkSession) -> str:
