@@ -2,11 +2,36 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import types as T
 
 
 def _struct(spec: str) -> T.StructType:
-    return T._parse_datatype_string(spec)
+    """The struct that a list of ``name type`` means; types are string, boolean, array<> and struct<>. Needs no session."""
+    words = re.findall(r"\w+|[<>:,]", spec)
+
+    def fields(end: str | None) -> T.StructType:
+        out = T.StructType()
+        while words and words[0] != end:
+            name = words.pop(0)
+            if words[0] == ":":
+                words.pop(0)
+            out.add(name, kind())
+            if words and words[0] == ",":
+                words.pop(0)
+        return out
+
+    def kind() -> T.DataType:
+        word = words.pop(0)
+        if word in ("string", "boolean"):
+            return T.StringType() if word == "string" else T.BooleanType()
+        words.pop(0)
+        out = fields(">") if word == "struct" else T.ArrayType(kind())
+        words.pop(0)
+        return out
+
+    return fields(None)
 
 
 #: Literal values (defaults, constraint values) are JSON texts; parse_json turns them into VARIANT.
@@ -37,7 +62,6 @@ REQUIRED = {
 
 OPERATION = "type string, id string, title string, name string, description string, scenarios array<string>, condition string, applies_to string, message string, entity_id string, field_name string, field_type string, required boolean, default string, new_name string, new_description string, target_id string, target_type string"
 MIGRATION = f"id string, title string, description string, dependencies array<string>, up array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in OPERATION.split(', ')))}>>, down array<struct<{', '.join(f'{a}: {b}' for a, b in (x.split(' ', 1) for x in OPERATION.split(', ')))}>>"
-STATE = "applied_migrations array<string>, last_migration string, created_at string, updated_at string"
 
 #: Sections in the order in which rules visit them.
 SECTIONS = ["entities", "features", "actions", "flows", "constraints", "traceability"]

@@ -17,7 +17,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.scalars import is_blank
-from ..model import STATE
 from ..shipping import ship
 
 
@@ -273,11 +272,17 @@ def empty_state(now: str) -> dict:
 def read_state(spark: SparkSession, path: str, now: str | None = None) -> dict:
     """The state file; a missing or broken one is an empty state."""
     now = now or datetime.now(UTC).isoformat()
+    jvm = spark.sparkContext._jvm
+    p = jvm.org.apache.hadoop.fs.Path(path)  # by the file system, since Spark's readers skip names that begin with a dot
     try:
-        r = spark.read.schema(STATE).option("multiLine", True).option("mode", "FAILFAST").json(path).first()
+        stream = p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(p)
+        try:
+            state = json.loads(jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
+        finally:
+            stream.close()
+        return {k: state[k] for k in ("applied_migrations", "created_at", "updated_at")} | {"last_migration": state.get("last_migration")}
     except Exception:
         return empty_state(now)
-    return r.asDict() if r and r.applied_migrations is not None and r.created_at is not None and r.updated_at is not None else empty_state(now)
 
 
 def applied_frame(spark: SparkSession, state: dict) -> DataFrame:

@@ -173,10 +173,10 @@ def is_yaml(path):
 
 def read_texts(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
     """(doc, text) of whole files; doc is the path."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if glob:
         reader = reader.option("pathGlobFilter", glob)
-    return reader.text(list(paths)).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
+    return reader.text(list(paths), wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
 
 
 def read_specs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> DataFrame:

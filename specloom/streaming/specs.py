@@ -12,7 +12,7 @@ from ..sources.specs import parse_specs
 
 def validate_stream(spark: SparkSession, folder: str, out: str, checkpoint: str) -> StreamingQuery:
     """Reports on files as they appear in a folder. Rules look only inside a document, so each batch is complete in itself; a batch that is run again overwrites its own output."""
-    files = spark.readStream.option("wholetext", True).text(folder).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
+    files = spark.readStream.text(folder, wholetext=True).select(F.col("_metadata.file_path").alias("doc"), F.col("value").alias("text"))
 
     def batch(df: DataFrame, number: int) -> None:
         docs = parse_specs(df)
