@@ -1,14 +1,17 @@
 """Suffix-array dedup: bytes of texts that lie in a repeated string of ``length`` bytes.
 
-1. Anchors. In every window of ``length`` bytes the ``GRAM``-byte string with the smallest hash is an anchor (all of equal ones). Copies of a string of
-   ``length`` bytes share an anchor, so strings can be compared among the places of one anchor only.
-2. Anchors that occur once are dropped by a count; the others are sent, with the bytes around them that any such string can hold, to the shard of
-   their hash. Equal surroundings are kept once there.
-3. In a shard, suffixes are sorted by prefix doubling to the depth of ``length`` bytes, equal ones by position: in document order, then place. The previous and the next
+1. Anchors. Every string of ``length`` bytes belongs to the ``GRAM``-byte string in it with the smallest hash (the first of equal ones), so copies belong to copies of
+   one anchor, and strings need comparing only among the places of one anchor.
+2. Anchors that occur once are dropped by a count; the others are sent, with the bytes of the strings that belong to them, to the shard of their hash.
+   Equal runs of bytes are kept once there.
+3. In a shard, suffixes are put in suffix order to the depth of ``length`` bytes, equal ones by position: in document order, then place. The previous and the next
    smaller position in this order give the longest previous factor; it reaches ``length`` if the neighbour before is equal to that depth.
    ``keep="first"`` removes strings with such an earlier match; ``keep="none"`` also those with a later one, that is, all copies.
 4. The union of removed strings is cut out of each text. Equal texts are found by their hashes and treated as one.
 
+Only neighbours that are equal to the full depth matter, so the order among unequal suffixes is free. ``order="fingerprint"`` sorts by a 64-bit hash of
+the ``length`` bytes; ``order="lexicographic"`` by prefix doubling, six sorts of every byte. Both give the same result.
+
 An anchor with more than ``max_places`` places is not gathered: its strings are counted by hash in pre-aggregated rows instead.
 
 Texts are judged as UTF-8 bytes, whole, on the input; strings never cross texts. Null texts are empty. Texts shorter than ``length`` lose nothing.
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from . import _runtime, _text
 
-LENGTH, GRAM, MAX_PLACES, CHUNK, SLAB = 200, 40, 200_000, 1 << 19, 1 << 20
+LENGTH, GRAM, MAX_PLACES, CHUNK, SLAB = 200, 40, 200_000, 1 << 18, 2 << 20
 U64 = np.uint64
 _rng = np.random.Generator(np.random.PCG64(11))
 _BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
@@ -53,31 +56,27 @@ def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
     return op(m[: len(x) - width + 1], m[width - size :][: len(x) - width + 1]) if size < width else m
 
 
-def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(text, place in the text, hash) of every anchor."""
+def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int = GRAM) -> tuple[np.ndarray, ...]:
+    """(text, place of the first string that belongs to it, number of such strings, hash) of every anchor. The strings of an anchor follow one another."""
     width, n = length - gram + 1, len(raw)
-    if n < length:
+    size = np.diff(offs)
+    if not (size >= length).any():
         z = np.zeros(0, np.int64)
-        return z, z, z.astype(U64)
+        return z, z, z, z.astype(U64)
     c = sums(raw)
-    power = _text._powers(n + 1)[1]
-    full = _text.mix((c[gram:] - c[:-gram]) * power[: n - gram + 1])
-    h = (full >> U64(32)).astype(np.uint32)
-    low = _sliding(h, width, np.minimum)
-    # strings that would cross texts do not count; 0 is below any hash that matters
-    inside = np.zeros(n + 1, np.int32)
-    size = np.diff(offs)
+    full = _text.mix((c[gram:] - c[:-gram]) * _text._powers(n + 1)[1][: n - gram + 1])
+    ranked = (full >> U64(32) << U64(32)) | np.arange(len(full), dtype=U64)
+    owner = (_sliding(ranked, width, np.minimum) & U64(0xFFFFFFFF)).astype(np.int64)
+    inside = np.zeros(n + 1, np.int32)  # strings that would cross texts do not count
     fits = size >= length
     np.add.at(inside, offs[:-1][fits], 1)
     np.add.at(inside, offs[1:][fits] - length + 1, -1)
-    inside = np.cumsum(inside)[: len(low)] > 0
-    h = np.maximum(h, 1)
-    low = np.where(inside, np.maximum(low, 1), 0).astype(np.uint32)
-    pad = np.zeros(width - 1, np.uint32)
-    most = _sliding(np.concatenate([pad, low, pad]), width, np.maximum)[: len(h)]
-    at = np.flatnonzero(most == h)
-    text = np.searchsorted(offs, at, "right") - 1
-    return text, at - offs[text], full[at]
+    start = np.flatnonzero(np.cumsum(inside)[: len(owner)] > 0)
+    own = owner[start]
+    first = np.flatnonzero(np.append(True, own[1:] != own[:-1]))
+    place = start[first]
+    text = np.searchsorted(offs, place, "right") - 1
+    return text, place - offs[text], np.diff(np.append(first, len(own))), full[own[first]]
 
 
 def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
@@ -93,31 +92,27 @@ def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
     return rank
 
 
-def repeated_windows(contexts: list[bytes], group: np.ndarray, origin: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of each context, the places of the first and the last of its strings that are repeated in its group (the last is -1 without any).
+def suffix_keys(raw: np.ndarray, start: np.ndarray, length: int, order: str) -> np.ndarray:
+    """Keys of the suffixes at ``start``: equal exactly where the first ``length`` bytes are."""
+    if order == "lexicographic":
+        return suffix_ranks(raw, length)[start].astype(U64)
+    return hashes(sums(raw), start, start + length)
 
-    ``origin`` is each context's position in the order of all texts; contexts of one text may overlap, and what they share is one place.
-    """
-    sizes = np.array([len(c) for c in contexts])
-    first = np.cumsum(sizes) - sizes
-    buf = np.frombuffer(b"".join(contexts), np.uint8)
-    rank = suffix_ranks(buf, length)
-    per = sizes - length + 1
-    owner = np.repeat(np.arange(len(contexts)), per)
+
+def repeated_windows(raw: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray, length: int, keep: str, order: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of bytes, the places of its first and last string that is repeated in its group (the last is -1 without any). Runs stand in global order inside a group."""
+    per = size - length + 1
+    owner = np.repeat(np.arange(len(size)), per)
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    key = rank[first[owner] + place] * (int(group.max()) + 1) + group[owner]
-    position = origin[owner] + place
-    order = np.lexsort((position, key))  # the suffix array, to the depth that matters; equal strings by position
-    begin = np.flatnonzero(np.append(True, key[order][1:] != key[order][:-1]))
-    size = np.diff(np.append(begin, len(order)))
-    earliest, latest = (np.repeat(position[order][k], size) for k in (begin, begin + size - 1))
-    # the previous smaller position in suffix order is an equal string: an earlier match; the next, with keep="none", a later one
-    match = position[order] > earliest
-    if keep == "none":
-        match |= position[order] < latest
+    key = suffix_keys(raw, first[owner] + place, length, order)
+    key = _text.mix(key + group[owner].astype(U64) * _text._STEP)
+    suffixes = np.argsort(key, kind="stable")  # the suffix array, to the depth that matters; equal strings by position
+    same = key[suffixes][1:] == key[suffixes][:-1]
     hit = np.zeros(len(key), bool)
-    hit[order] = match
-    lo, hi = np.full(len(contexts), 1 << 40), np.full(len(contexts), -1)
+    hit[suffixes[1:][same]] = True  # the previous smaller position in suffix order is an equal string: an earlier match
+    if keep == "none":
+        hit[suffixes[:-1][same]] = True  # and so is the next: a later match
+    lo, hi = np.full(len(size), 1 << 40), np.full(len(size), -1)
     np.minimum.at(lo, owner[hit], place[hit])
     np.maximum.at(hi, owner[hit], place[hit])
     return lo, hi
@@ -132,63 +127,69 @@ def _anchor_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for a, _, raw, offs in _text.chunks(batch.column(2), CHUNK):
-                text, at, fp = anchors(raw, offs, length, gram)
+                text, place, n, fp = anchors(raw, offs, length, gram)
                 take = pa.array(text + a)
-                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(at.astype(np.int32))], ["fp", "k1", "k2", "at"])
+                yield pa.RecordBatch.from_arrays([pa.array(fp.view(np.int64)), batch.column(0).take(take), batch.column(1).take(take), pa.array(place.astype(np.int32)), pa.array(n.astype(np.int32))], ["fp", "k1", "k2", "place", "n"])
 
-    return rows.select("k1", "k2", "x").mapInArrow(run, "fp long, k1 long, k2 long, at int")
+    return rows.select("k1", "k2", "x").mapInArrow(run, "fp long, k1 long, k2 long, place int, n int")
 
 
-def _context_rows(rows: DataFrame, length: int, gram: int) -> DataFrame:
-    """Rows k1, k2, id, x, places -> the bytes around each place in which a string of ``length`` can lie."""
-    left = length - gram
-    schema = pa.schema([("fp", pa.int64()), ("hot", pa.bool_()), ("id", pa.int64()), ("k1", pa.int64()), ("k2", pa.int64()), ("start", pa.int64()), ("context", pa.binary())])
+def _context_rows(rows: DataFrame, length: int) -> DataFrame:
+    """Rows k1, k2, id, x, places -> for each anchor the bytes of the strings that belong to it."""
+    names = ["fp", "hot", "id", "k1", "k2", "start", "context"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            out: list[tuple] = []
-            for k1, k2, i, x, places in zip(*(batch.column(k) for k in range(5))):
-                data, k1, k2, i = x.as_buffer().to_pybytes(), k1.as_py(), k2.as_py(), i.as_py()
-                for p in places.as_py():
-                    start, end = max(0, p["at"] - left), min(len(data), p["at"] + length)
-                    if end - start >= length:
-                        out.append((p["fp"], p["hot"], i, k1, k2, start, data[start:end]))
-                if len(out) >= 20_000:
-                    yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
-                    out = []
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), schema.types)], schema=schema)
+            places = batch.column(4)
+            bounds = places.offsets.to_numpy()
+            flat = places.values
+            place, n, fp = (flat.field(k).to_numpy().astype(np.int64) for k in range(3))
+            hot = flat.field(3)
+            for a, b, raw, offs in _text.chunks(batch.column(3), CHUNK):
+                lo, hi = bounds[a], bounds[b]
+                text = np.repeat(np.arange(a, b), np.diff(bounds[a : b + 1]))
+                start, size = offs[text - a] + place[lo:hi], n[lo:hi] + length - 1
+                for x in range(0, hi - lo, 8192):
+                    y = min(x + 8192, hi - lo)
+                    s, z = start[x:y], size[x:y]
+                    at = np.concatenate([[0], np.cumsum(z)])
+                    data = raw[np.arange(at[-1]) + np.repeat(s - at[:-1], z)]
+                    context = pa.Array.from_buffers(pa.binary(), y - x, [None, pa.py_buffer(at.astype(np.int32).tobytes()), pa.py_buffer(data.tobytes())])
+                    take = pa.array(text[x:y])
+                    yield pa.RecordBatch.from_arrays([pa.array(fp[lo + x : lo + y]), hot.slice(lo + x, y - x), *(batch.column(k).take(take) for k in (2, 0, 1)), pa.array(place[lo + x : lo + y]), context], names)
 
     return rows.select("k1", "k2", "id", "x", "places").mapInArrow(run, "fp long, hot boolean, id long, k1 long, k2 long, start long, context binary")
 
 
-def _shard(contexts: DataFrame, length: int, keep: str) -> DataFrame:
-    """(k1, k2, start, end) of the removed bytes around each place; rows come sorted by fp, id, k1, k2, start."""
+def _shard(contexts: DataFrame, length: int, keep: str, order: str) -> DataFrame:
+    """(k1, k2, start, end) of the removed bytes among the strings of each anchor; rows come sorted by fp, id, k1, k2, start."""
 
     def slab(t: pa.Table) -> pa.RecordBatch:
         fp, k1, k2, start = (t.column(k).to_numpy() for k in (0, 2, 3, 4))
-        context = t.column(5).to_pylist()
+        raw, offs = _text.buffers(t.column(5).combine_chunks())
+        raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
+        size, n = np.diff(offs), len(fp)
         group = np.cumsum(np.append(True, fp[1:] != fp[:-1])) - 1
-        size = np.array([len(c) for c in context])
-        text = np.cumsum(np.append(True, (fp[1:] != fp[:-1]) | (k1[1:] != k1[:-1]) | (k2[1:] != k2[:-1])))
-        origin = (text << 40) + start
-        order = np.lexsort((size, origin))
-        again = np.zeros(len(fp), bool)  # two anchors of a short text may have one and the same context
-        again[order[1:]] = (origin[order][1:] == origin[order][:-1]) & (size[order][1:] == size[order][:-1])
-        seen: dict = {}
-        unique = np.array([-1 if again[k] else seen.setdefault((g, c), k) for k, (g, c) in enumerate(zip(group.tolist(), context))])
-        firsts = np.flatnonzero(unique == np.arange(len(unique)))
-        times = np.bincount(unique[unique >= 0], minlength=len(unique))
-        lo, hi = np.zeros(len(unique), np.int64), np.full(len(unique), -1)
+        again = np.append(False, (fp[1:] == fp[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (start[1:] == start[:-1]))  # a repeated row
+        whole = _text.mix(hashes(sums(raw), offs[:-1], offs[1:]) + group.astype(U64) * _text._STEP + size.astype(U64))
+        alike = np.argsort(whole, kind="stable")
+        begin = np.append(True, whole[alike][1:] != whole[alike][:-1])
+        unique = np.empty(n, np.int64)
+        unique[alike] = alike[np.flatnonzero(begin)][np.cumsum(begin) - 1]  # the first run of equal bytes
+        times = np.bincount(unique[~again], minlength=n)
+        firsts = np.flatnonzero(unique == np.arange(n))
+        lo, hi = np.zeros(n, np.int64), np.full(n, -1)
         per_group = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
-        for part in _parts(firsts[per_group[group[firsts]] > 1], group, size):
-            lo[part], hi[part] = repeated_windows([context[k] for k in part], group[part] - group[part[0]], origin[part], length, keep)
+        many = firsts[(per_group[group[firsts]] > 1) | (size[firsts] > length)]
+        for part in _parts(many, group, size):
+            a = int(offs[part[0]])
+            lo[part], hi[part] = repeated_windows(raw[a : offs[part[-1] + 1]], offs[part] - a, size[part], group[part], length, keep, order)
         if keep == "none":
             more = firsts[times[firsts] > 1]
             lo[more], hi[more] = 0, size[more] - length
             lo, hi = lo[unique], hi[unique]
         else:
-            later = np.flatnonzero((unique >= 0) & (unique != np.arange(len(unique))))
+            later = unique != np.arange(n)
             lo[later], hi[later] = 0, size[later] - length
         ok = (hi >= 0) & ~again
         return pa.RecordBatch.from_arrays([pa.array(x[ok]) for x in (k1, k2, start + lo, start + hi + length)], ["k1", "k2", "start", "end"])
@@ -199,14 +200,16 @@ def _shard(contexts: DataFrame, length: int, keep: str) -> DataFrame:
         for batch in batches:
             held.append(batch)
             size += batch.nbytes
-            if size < 16 << 20:
+            if size < 2 * SLAB:
                 continue
             t = pa.Table.from_batches(held).combine_chunks()
             fp = t.column(0).to_numpy()
-            n = len(fp) - int((fp[::-1] != fp[-1]).argmax()) if fp[0] != fp[-1] else 0
+            n = int(np.searchsorted(fp, fp[-1], "left")) if fp[0] != fp[-1] else 0  # rows are sorted by fp
             if n:
                 yield slab(t.slice(0, n))
-            held, size = t.slice(n).to_batches(), t.slice(n).nbytes if n else size
+                t = t.slice(n)
+                size = t.nbytes
+            held = t.to_batches()
         if held:
             yield slab(pa.Table.from_batches(held).combine_chunks())
 
@@ -246,21 +249,21 @@ def _counted(ws: _runtime.Workspace, contexts: DataFrame, length: int, keep: str
     return found.select("k1", "k2", "start", (F.col("start") + length).alias("end"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "none", max_places: int = MAX_PLACES) -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "none", max_places: int = MAX_PLACES, order: str = "fingerprint") -> DataFrame:
     """id, k1, k2, x, whole (the text is a copy to be removed as a whole) and spans (removed ranges, unmerged; null if none), for each row."""
-    assert keep in ("none", "first") and 8 <= gram < length
+    assert keep in ("none", "first") and order in ("fingerprint", "lexicographic") and 8 <= gram < length
     ws = _runtime.Workspace(docs.sparkSession, "substrings")
     rows, key = _keyed(docs, id_col, text_col), ["k1", "k2"]
     copies = ws.put(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first_id")).where("c > 1"), "copies").hint("merge")
     places = ws.put(_anchor_rows(rows.where(F.octet_length("x") >= length), length, gram), "anchors")
     common = ws.put(places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", (F.col("c") > max_places).alias("hot")), "common")
-    wanted = ws.put(places.join(common.hint("merge"), "fp").groupBy(*key).agg(F.collect_set(F.struct("at", "fp", "hot")).alias("places")), "places")
+    wanted = ws.put(places.join(common.hint("merge"), "fp").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "fp", "hot")).alias("places")), "places")
     ws.drop(places, common)
     one = rows.join(wanted.hint("merge"), key).join(copies, key, "left").where("c is null or id <=> first_id")
-    contexts = ws.put(_context_rows(one, length, gram), "contexts")
+    contexts = ws.put(_context_rows(one, length), "contexts")
     ws.drop(wanted)
     cold = contexts.where("not hot").select("fp", "id", "k1", "k2", "start", "context").repartition("fp").sortWithinPartitions("fp", "id", "k1", "k2", "start")
-    marks = _shard(cold, length, keep)
+    marks = _shard(cold, length, keep, order)
     hot = contexts.where("hot")
     if not hot.isEmpty():
         marks = marks.unionByName(_counted(ws, hot, length, keep))
