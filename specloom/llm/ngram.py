@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _runtime, _text
 
 U64 = np.uint64
-STEP, DISCOUNT, ORDER, SHARD_KEYS = 0.0005, 0.75, 3, 4_000_000
+STEP, DISCOUNT, ORDER, SHARD_KEYS, MEMO = 0.0005, 0.75, 3, 4_000_000, 19
 END = U64(0xE4D0E4D0E4D0E4D0)
 _SELECT = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
 for _b in range(256):
@@ -61,12 +61,16 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence of n unsigned numbers below ``universe``."""
+    """A non-decreasing sequence of n unsigned numbers below ``universe``: low bits packed, high bits in unary, and a running count of ones for each word of 64 bits."""
+
+    SAMPLE = 5  # every 32nd one and zero has its word noted when a file is opened
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
+        self.n, self.bits, self.low, self.high = n, bits, low, high
         self.mask = U64((1 << bits) - 1)
-        self.zeros = np.arange(len(ones)) * 512 - ones
+        ones = np.asarray(ones, np.int64)
+        self.before = {False: ones, True: np.arange(len(ones)) * 64 - ones}
+        self.samples = {f: np.searchsorted(c, np.arange(0, int(c[-1]) + 1, 1 << self.SAMPLE), "right") - 1 for f, c in self.before.items()}
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -82,41 +86,30 @@ class EliasFano:
             over = (at & 63) + bits > 64
             np.bitwise_or.at(low, word[over] + 1, part[over] >> (U64(64) - shift[over]))
         top = (v >> U64(bits)).astype(np.int64) + np.arange(n)
-        size = n + (universe >> bits) + 2
-        words = (size + 511) // 512 * 8
+        words = (n + (universe >> bits) + 2 + 63) // 64 + 2
         unary = np.zeros(words * 64, bool)
         unary[top] = True
         high = np.packbits(unary, bitorder="little").view(U64)
-        per = np.bitwise_count(high.reshape(-1, 8)).sum(1).astype(np.int64)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(per)]))
+        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]))
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"n": np.array([self.n, self.bits]), "low": self.low, "high": self.high, "ones": self.ones}
+        return {"n": np.array([self.n, self.bits]), "low": self.low, "high": self.high, "ones": self.before[False].astype(np.uint32)}
 
     @classmethod
     def load(cls, a: dict[str, np.ndarray]) -> EliasFano:
         return cls(int(a["n"][0]), int(a["n"][1]), a["low"], a["high"], a["ones"])
 
-    def _select(self, k: np.ndarray, before: np.ndarray, flip: bool) -> np.ndarray:
-        block = np.searchsorted(before, k, "right") - 1
-        rest = k - before[block]
-        word = block * 8
-        chosen = np.zeros(len(k), U64)
-        open_ = np.ones(len(k), bool)
-        at = word.copy()
-        for j in range(8):
-            w = self.high[word + j]
-            if flip:
-                w = ~w
-            n = np.bitwise_count(w).astype(np.int64)
-            here = open_ & (rest < n)
-            chosen[here] = w[here]
-            at[here] = word[here] + j
-            open_ &= ~here
-            rest = np.where(open_, rest - n, rest)
-            if not open_.any():
-                break
-        return at * 64 + _select_in_word(chosen, rest)
+    def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
+        """Place of the k-th one or zero."""
+        before = self.before[zeros]
+        word = self.samples[zeros][k >> self.SAMPLE]
+        behind = np.flatnonzero(before[word + 1] <= k)
+        if len(behind):
+            word[behind] += 1
+            behind = behind[before[word[behind] + 1] <= k[behind]]
+            word[behind] = np.searchsorted(before, k[behind], "right") - 1  # among the many successors of a common context
+        chosen = self.high[word]
+        return word * 64 + _select_in_word(~chosen if zeros else chosen, k - before[word])
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -127,7 +120,7 @@ class EliasFano:
         return ((self.low[word] >> shift) | np.where(shift > 0, upper, U64(0))) & self.mask
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = (self._select(i, self.ones, False) - i).astype(U64)
+        high = (self._select(i, False) - i).astype(U64)
         return high << U64(self.bits) | self.lows(i)
 
     def find(self, x: np.ndarray) -> np.ndarray:
@@ -136,13 +129,19 @@ class EliasFano:
         if not self.n or not len(x):
             return out
         high = (x >> U64(self.bits)).astype(np.int64)
-        want = x & self.mask
-        begin = np.zeros(len(x), np.int64)
-        later = high > 0
-        begin[later] = self._select(high[later] - 1, self.zeros, True) - (high[later] - 1)
-        end = self._select(high, self.zeros, True) - high
-        todo = np.flatnonzero(begin < end)
-        lo, hi, want = begin[todo], end[todo], want[todo]
+        # the bucket of equal high bits is the run of ones after the zero before it
+        start = np.zeros(len(x), np.int64)
+        later = np.flatnonzero(high)
+        start[later] = self._select(high[later] - 1, True) + 1
+        word, shift = start >> 6, (start & 63).astype(U64)
+        run = ~(self.high[word] >> shift)
+        n = np.bitwise_count((run & (~run + U64(1))) - U64(1)).astype(np.int64)  # ones below the first zero
+        lo = start - high
+        hi = lo + n
+        over = np.flatnonzero(n >= 64 - (start & 63))  # the run goes on in the next word
+        hi[over] = self._select(high[over], True) - high[over]
+        todo = np.flatnonzero(lo < hi)
+        lo, hi, want = lo[todo], hi[todo], x[todo] & self.mask
         while len(todo):
             mid = (lo + hi) >> 1
             got = self.lows(mid)
@@ -150,7 +149,7 @@ class EliasFano:
             out[todo[same]] = mid[same]
             less = got < want
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-            go = ~same & (lo < hi)
+            go = np.flatnonzero(~same & (lo < hi))
             todo, lo, hi, want = todo[go], lo[go], hi[go], want[go]
         return out
 
@@ -187,6 +186,7 @@ def _open(uri: str) -> dict[str, np.ndarray]:
             os.replace(part, local)
         path = local
     m = np.memmap(path, np.uint8, "r")
+    m = m.view(np.ndarray)
     n = int.from_bytes(m[:8].tobytes(), "little")
     return {k: m[8 + n + at : 8 + n + at + np.dtype(t).itemsize * size].view(t) for k, (t, size, at) in json.loads(m[8 : 8 + n].tobytes()).items()}
 
@@ -202,9 +202,10 @@ class Level:
         self.files, self.starts, self.sizes = files, np.array(starts, np.int64), np.array(sizes, np.int64)
         self.base = np.concatenate([[0], np.cumsum(self.sizes)])
         self._open: dict[int, dict] = {}
+        self._memo: tuple | None = None
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}}
+        return self.__dict__ | {"_open": {}, "_memo": None}
 
     def shard(self, k: int) -> dict:
         if k not in self._open:
@@ -217,8 +218,8 @@ class Level:
         if len(self.files) == 1:
             yield 0, np.arange(len(of))
             return
-        order = np.argsort(of, kind="stable")
-        cut = np.searchsorted(of[order], np.arange(len(self.files) + 1))
+        order = np.argsort(of.astype(np.int16) if len(self.files) < 1 << 15 else of, kind="stable")
+        cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.files)))])
         for k in range(len(self.files)):
             if cut[k] < cut[k + 1]:
                 yield k, order[cut[k] : cut[k + 1]]
@@ -240,6 +241,15 @@ class Level:
         """Positions of (context, word), -1 where absent, and the contexts' log10 mass for shorter ones. Contexts of -1 have no successors and leave all."""
         position, back = np.full(len(context), -1, np.int64), np.zeros(len(context))
         live = np.flatnonzero(context >= 0)
+        if self._memo is None:  # recent searches
+            self._memo = np.full(1 << MEMO, -1, np.int64), np.zeros(1 << MEMO, np.int64), np.zeros(1 << MEMO)
+        keys, positions, backs = self._memo
+        key = context[live] * (n_words + 1) + word[live] + 1
+        slot = (_text.mix(key.view(U64)) >> U64(64 - MEMO)).astype(np.int64)
+        position[live], back[live] = positions[slot], backs[slot]
+        miss = keys[slot] != key
+        live, key, slot = live[miss], key[miss], slot[miss]
+        position[live] = -1
         for k, rows in self.each(np.searchsorted(self.starts, context[live], "right") - 1):
             s, rows = self.shard(k), live[rows]
             c = context[rows] - self.starts[k]
@@ -248,6 +258,7 @@ class Level:
             rows, c = rows[some], c[some]
             at = s["key"].find(c.astype(U64) * U64(n_words) + word[rows].astype(U64))
             position[rows] = np.where(at >= 0, at + self.base[k], -1)
+        keys[slot], positions[slot], backs[slot] = key, position[live], back[live]
         return position, back
 
 
@@ -262,32 +273,27 @@ class Model:
     def __getstate__(self) -> dict:
         return self.__dict__ | {"_cache": None}
 
-    def words(self, h: np.ndarray) -> np.ndarray:
-        """Ids of word hashes, -1 if unknown; a table of recent hashes spares most searches."""
+    def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of word hashes, -1 if unknown, and their counts; a table of recent hashes spares most searches."""
         if self._cache is None:
-            self._cache = np.zeros(1 << 18, U64), np.full(1 << 18, -1, np.int64)
-        key, value = self._cache
-        slot = (h >> U64(46)).astype(np.int64)
-        out = value[slot]
+            self._cache = np.zeros(1 << 19, U64), np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, np.int64)
+        key, value, count = self._cache
+        slot = (h >> U64(45)).astype(np.int64)
+        ids, counts = value[slot], count[slot]
         miss = np.flatnonzero(key[slot] != h)
         if len(miss):
-            x = h[miss]
-            got = np.full(len(x), -1, np.int64)
+            x, back = np.unique(h[miss], return_inverse=True)
+            got, n = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
             v, low = self.vocabulary, x & U64((1 << (64 - self.bits)) - 1)
             shard = (x >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)
             for k, rows in v.each(shard):
                 at = v.shard(k)["key"].find(low[rows])
                 got[rows] = np.where(at >= 0, at + v.base[k], -1)
-            out[miss] = got
-            key[slot[miss]], value[slot[miss]] = x, got
-        return out
-
-    def counts(self, ids: np.ndarray) -> np.ndarray:
-        out = np.zeros(len(ids), np.int64)
-        known = np.flatnonzero(ids >= 0)
-        unique, back = np.unique(ids[known], return_inverse=True)
-        out[known] = self.vocabulary.gather(unique, "count")[back]
-        return out
+            known = np.flatnonzero(got >= 0)
+            n[known] = v.gather(got[known], "count")
+            ids[miss], counts[miss] = got[back], n[back]
+            key[slot[miss]], value[slot[miss]], count[slot[miss]] = h[miss], ids[miss], counts[miss]
+        return ids, counts
 
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.n_words + 1))
@@ -297,7 +303,7 @@ class Model:
 
         ``begins``: where texts begin. The context of a text's first token is the end token; no context crosses a text.
         """
-        end = self.words(np.array([END]))[0]
+        end = self.words(np.array([END]))[0][0]
         before = np.concatenate([[end], ids[:-1]])
         before[begins] = end
         score = unigram if unigram is not None else np.zeros(len(ids))
@@ -322,7 +328,7 @@ def tokens(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    for _, _, raw, offs in _text.chunks(column, 1 << 22):
+    for _, _, raw, offs in _text.chunks(column, 1 << 21):
         yield tokens(_text.words(raw, offs))
 
 
@@ -413,14 +419,13 @@ def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Mode
         for batch in batches:
             got = []
             for h, first in _chunks(batch.column(0)):
-                ids = model.words(h)
+                ids, n = model.words(h)
                 if model.levels:
-                    context, _ = model.walk(ids, first[:-1])
-                    ok = context >= 0
+                    context, _ = model.walk(np.where(n > 1, ids, -1), first[:-1])
+                    ok = (context >= 0) & (n > 1)
                 else:
                     context = np.concatenate([[0], ids[:-1]])
-                    context[first[:-1]] = model.words(np.array([END]))[0]
-                    n = model.counts(ids)
+                    context[first[:-1]] = model.words(np.array([END]))[0][0]
                     ok = (n > 1) & (np.concatenate([[0], n[:-1]]) > 1)
                     ok[first[:-1]] = n[first[:-1]] > 1
                 got.append(np.unique(context[ok].astype(U64) << U64(32) | ids[ok].astype(U64), return_counts=True))
@@ -484,12 +489,12 @@ def _store_shard(path: str, model: Model, keys: np.ndarray, n: np.ndarray, lo: i
         total = model.levels[-1].gather(parents, "count")
         last = (model.levels[-1].gather(parents, "key") % U64(model.n_words)).astype(np.int64)[of]
         position, back = model.levels[0].find(last, word, model.n_words)
-        shorter = back + model.base(model.counts(word))
+        shorter = back + model.base(model.vocabulary.gather(word, "count"))
         hit = position >= 0
         shorter[hit] = model.levels[0].gather(position[hit], "prob")
     else:
-        total = model.counts(parents)
-        shorter = model.base(model.counts(word))
+        total = model.vocabulary.gather(parents, "count")
+        shorter = model.base(model.vocabulary.gather(word, "count"))
     seen = (n - DISCOUNT) / total[of]
     left = np.maximum(1 - np.bincount(of, weights=seen, minlength=len(parents)), 1e-6)
     prob = np.log10(seen + left[of] * 10**shorter)
@@ -529,9 +534,9 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for batch in batches:
             got = []
             for h, first in _chunks(batch.column(1)):
-                ids = model.words(h)
-                base = model.base(model.counts(ids))
-                _, p = model.walk(ids, first[:-1], base)
+                ids, n = model.words(h)
+                base = model.base(n)
+                _, p = model.walk(np.where(n > 1, ids, -1), first[:-1], base)  # rarer words are in no longer n-gram
                 got.append((np.diff(first), _text.reduce_sum((ids >= 0).astype(np.int64), first), _text.reduce_sum(base, first), _text.reduce_sum(p, first)))
             cols = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), model.tokens)), pa.array(cols[2]), pa.array(cols[3])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
