@@ -119,6 +119,8 @@ READ = {b"mdhd": _mdhd, b"hdlr": _hdlr, b"stsd": _stsd, b"stsz": _stsz, b"stts":
 def sample_ranges(t: Track, file_size: int) -> np.ndarray:
     """(start, length) of every sample, from stsz, stsc and stco or co64."""
     size = t.tables.get("size", (0, 0))
+    if isinstance(size, tuple) and size[0] * size[1] > file_size:
+        raise BadMedia("more sample bytes than the file has")
     sizes = np.full(size[1], size[0], np.int64) if isinstance(size, tuple) else size
     offsets, runs = t.tables.get("offset", np.zeros(0, np.int64)), t.tables.get("chunk", np.zeros((0, 3), np.int64)).reshape(-1, 3)
     if not len(sizes):
@@ -127,6 +129,7 @@ def sample_ranges(t: Track, file_size: int) -> np.ndarray:
         raise BadMedia("samples without chunks")
     until = np.append(runs[1:, 0], len(offsets) + 1)
     per = np.repeat(runs[:, 1], np.maximum(until - runs[:, 0], 0))[: len(offsets)]
+    per = np.minimum(per, len(sizes))
     if per.sum() < len(sizes):
         raise BadMedia("fewer places than samples")
     chunk = np.repeat(np.arange(len(per)), per)[: len(sizes)]
