@@ -79,7 +79,8 @@ class Packer:
     def __init__(self, base: int, tiers: tuple[int, ...], group_tokens: int) -> None:
         self.tiers, self.top, self.base, self.group_tokens = sorted(tiers), max(tiers), base, group_tokens
         self.wait = {t: deque() for t in self.tiers}
-        self.waiting = self.n_seq = self.n_group = self.in_group = 0
+        self.waiting = self.n_seq = self.n_group = self.ready_tokens = 0
+        self.ready: dict[int, deque] = {}
         self.done: list[tuple[int, list]] = []
         self.rows: list[tuple] = []
 
@@ -147,19 +148,29 @@ class Packer:
             for q in self.wait.values():
                 q.clear()
             self.waiting = 0
-        self.flush()
-
-    def flush(self) -> None:
-        for size, parts in sorted(self.done, key=lambda d: -d[0]):
-            if self.in_group + size > self.group_tokens:
-                self.n_group, self.in_group = self.n_group + 1, 0
-            offset = 0
-            for doc_id, at, ids, n in parts:
-                self.rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), n, self.base + self.n_seq, offset, size, self.base + self.n_group))
-                offset += len(ids)
-            self.in_group += size
-            self.n_seq += 1
+        self.flush(last)
+
+    def flush(self, last: bool) -> None:
+        """Whole step groups of the packed sequences, the largest first: powers of two fill a group to the last token."""
+        for size, parts in self.done:
+            self.ready.setdefault(size, deque()).append(parts)
+            self.ready_tokens += size
         self.done = []
+        while self.ready_tokens >= self.group_tokens or last and self.ready_tokens:
+            room = self.group_tokens
+            for size in sorted(self.ready, reverse=True):
+                while self.ready[size] and size <= room:
+                    self.emit(size, self.ready[size].popleft())
+                    room -= size
+            self.ready_tokens -= self.group_tokens - room
+            self.n_group += 1
+
+    def emit(self, size: int, parts: list) -> None:
+        offset = 0
+        for doc_id, at, ids, n in parts:
+            self.rows.append((doc_id, at, len(ids), zlib.crc32(ids.tobytes()), n, self.base + self.n_seq, offset, size, self.base + self.n_group))
+            offset += len(ids)
+        self.n_seq += 1
 
 
 def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", tiers: tuple[int, ...] = TIERS, end_id: int = 0, pool_tokens: int = 1 << 20, group_sequences: int = 16) -> DataFrame:
