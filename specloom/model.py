@@ -73,3 +73,24 @@ def document_type() -> T.StructType:
 
 def migration_type() -> T.StructType:
     return _struct(MIGRATION)
+
+
+#: Metadata beside a feature file.
+FEATURE_META = "feature struct<id: string, name: string, description: string, file: string, scenarios: array<struct<id: string, title: string, line: string, action: string, traceability: array<struct<to: string, relation: string>>>>>"
+
+
+def feature_meta_type() -> T.StructType:
+    return _struct(FEATURE_META)
+
+
+# Design principles by group, code and name.
+PRINCIPLES = {
+    "Structure": {"Si": "Simplicity", "Mo": "Modularity", "Co": "Composability", "Ex": "Extensibility", "Pm": "Policy/Mechanism Separation", "Gr": "Generalized Design"},
+    "Efficiency": {"Sc": "Scalability", "Rc": "Reuse of Computation", "Wv": "Work Avoidance", "Cc": "Common-Case Specialization", "Bo": "Bottleneck-Oriented", "Ha": "Hardware-Aware", "Op": "Optimistic Design", "La": "Learned Approximation"},
+    "Semantics": {"Al": "Abstraction Lifting", "Lu": "Language Homogeneity", "Se": "Semantically Explicit", "Fs": "Formal Specification", "Ig": "Invariant-Guided"},
+    "Distribution": {"Lt": "Location Transparency", "Dc": "Decentralized Control", "Fp": "Function Placement", "Lo": "Locality of Reference"},
+    "Planning": {"Ep": "Equivalence-based", "Cm": "Cost-based", "Cp": "Constraint-based", "Gd": "Goal-Directed", "Bb": "Black-Box Tuning", "Ah": "Advisory Hinting"},
+    "Operability": {"Ad": "Adaptive Processing", "Ec": "Elasticity", "Wa": "Workload-Aware", "Au": "Automation", "Ho": "Human Observability", "Ev": "Evolvability"},
+    "Reliability": {"Ft": "Fault Tolerance", "Is": "Isolation", "At": "Atomic Execution", "Cr": "Consistency Relaxation"},
+    "Security": {"Sy": "Security via Isolation", "Ac": "Access Control", "Lp": "Least Privilege", "Tq": "Trust via Quorum", "Cf": "Conservative Defaults", "Sa": "Safety by Construction"},
+}

@@ -227,13 +227,47 @@ EXECUTE = {
 }
 
 
-def fold(document: dict, operations: list[dict]) -> dict:
+def _link(op: dict) -> tuple:
+    return op.get("from"), op.get("to")
+
+
+def _add_link(doc: dict, op: dict) -> None:
+    doc["traceability"].append({"from": op["from"], "to": op["to"], "relation": op["relation"], "description": op.get("description")})
+
+
+def _remove_link(doc: dict, op: dict) -> None:
+    doc["traceability"] = [t for t in doc["traceability"] if (t["from"], t["to"]) != _link(op)]
+
+
+def _update_link(doc: dict, op: dict) -> None:
+    found = [t for t in doc["traceability"] if (t["from"], t["to"]) == _link(op)]
+    if not found:
+        raise MigrationError(f"Link '{op.get('from')}' -> '{op.get('to')}' not found")
+    for t in found:
+        t["relation"] = op.get("relation") or t["relation"]
+
+
+def _modify_feature(doc: dict, op: dict) -> None:
+    row = _first(doc["features"], op["id"], "Feature")
+    for key, new in (("title", op.get("new_name")), ("description", op.get("new_description"))):
+        if new is not None:
+            row[key] = new
+
+
+#: Operations that the language describes beyond those that migration files could hold so far; ``fold`` takes them only if asked.
+EXTENDED = EXECUTE | {
+    "modify_feature": _modify_feature, "modify_action": _modify("actions", "Action"), "modify_constraint": _modify("constraints", "Constraint"),
+    "add_traceability_link": _add_link, "remove_traceability_link": _remove_link, "update_traceability_link": _update_link,
+}
+
+
+def fold(document: dict, operations: list[dict], extended: bool = False) -> dict:
     """The document after all operations; the first that fails raises, and the given document is never changed."""
-    doc = copy.deepcopy(document)
+    doc, known = copy.deepcopy(document), EXTENDED if extended else EXECUTE
     for op in operations:
-        if op.get("type") not in EXECUTE:
+        if op.get("type") not in known:
             raise MigrationError(f"unknown operation `{op.get('type')}`")
-        EXECUTE[op["type"]](doc, op)
+        known[op["type"]](doc, op)
     return doc
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..model import PRINCIPLES
 from ..plans.catalog import Catalog
 from .relational import coverage as _coverage
 from .relational import union_all
@@ -78,6 +79,69 @@ def quality(scores: dict[str, Column], weights: dict[str, float], grades: tuple[
     return score, grade
 
 
-def undeclared(spark: SparkSession, used: DataFrame, declared: DataFrame) -> DataFrame:
+def consistency(links: DataFrame) -> DataFrame:
+    """(from, to, problem): the same link twice, or one pair under several relations."""
+    per = links.groupBy("from", "to").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("relation").alias("k"))
+    return per.where("n > 1").select("from", "to", F.when(F.col("k") > 1, "several relations").otherwise("repeated link").alias("problem"))
+
+
+def link_status(links: DataFrame, targets: DataFrame) -> DataFrame:
+    """Links with ``stale``: whether their target (column ``to``) is gone; and with it the mean confidence by relation is one aggregate away."""
+    there = targets.select(F.col("to")).distinct().withColumn("_there", F.lit(True))
+    return links.join(there, "to", "left").withColumn("stale", F.col("_there").isNull()).drop("_there")
+
+
+def flow_edges(docs: DataFrame) -> DataFrame:
+    """(doc, flow, from, to, condition): each step leads to the next, and to the steps that its conditions name."""
+    steps = Catalog(docs).section("flows").select("doc", F.col("e.id").alias("flow"), F.col("e.steps").alias("steps"))
+    pair = F.transform(F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0))), lambda s, i: F.struct(s["id"].alias("from"), F.get("steps", i + 1)["id"].alias("to"), F.lit(None).cast("string").alias("condition")))
+    ids = F.transform("steps", lambda s: s["id"])
+    named = F.flatten(F.transform("steps", lambda s: F.transform(F.coalesce(s["conditions"], F.array().cast("array<string>")), lambda c: F.struct(s["id"].alias("from"), F.regexp_extract(c, r"([^\s:]+)\s*$", 1).alias("to"), c.alias("condition")))))
+    return steps.select("doc", "flow", F.inline(F.concat(pair, F.filter(named, lambda x: F.array_contains(ids, x["to"])))))
+
+
+def meta_links(meta: DataFrame) -> DataFrame:
+    """(doc, from, to, relation): the links of all feature metadata, which one traceability file would hold."""
+    s = meta.where("document is not null").select("doc", F.explode("document.feature.scenarios").alias("s"))
+    return s.select("doc", F.col("s.id").alias("from"), F.inline("s.traceability"))
+
+
+def meta_findings(meta: DataFrame, steps: DataFrame, scenario_lines: DataFrame, ids: DataFrame) -> DataFrame:
+    """(doc, problem): metadata whose feature file is missing, whose lines name no scenario, whose ids repeat in the project, or whose targets do not exist.
+
+    ``steps``: files as (file); ``scenario_lines``: (file, line); ``ids``: (id) of actions, requirements and interfaces.
+    """
+    m = meta.where("document is not null").select("doc", "document.feature.*")
+    own = m.select("doc", "file", F.explode("scenarios").alias("s")).select("doc", "file", "s.*")
+    all_ids = m.select("doc", "id").unionByName(own.select("doc", "id"))
+    twice = all_ids.groupBy("id").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("id")
+    return union_all(
+        [
+            m.join(steps, "file", "left_anti").select("doc", F.concat(F.lit("missing file: "), F.coalesce("file", F.lit(""))).alias("problem")),
+            own.join(scenario_lines.select("file", F.col("line").cast("string").alias("line")), ["file", "line"], "left_anti").select("doc", F.concat(F.lit("no scenario at line: "), F.coalesce("line", F.lit(""))).alias("problem")),
+            all_ids.join(twice, "id", "left_semi").select("doc", F.concat(F.lit("repeated id: "), "id").alias("problem")),
+            meta_links(meta).join(ids.withColumnRenamed("id", "to"), "to", "left_anti").select("doc", F.concat(F.lit("unknown target: "), "to").alias("problem")),
+        ]
+    )
+
+
+def principles(spark: SparkSession) -> DataFrame:
+    """(group, code, name) of the design principles."""
+    return spark.createDataFrame([(g, c, n) for g, codes in PRINCIPLES.items() for c, n in codes.items()], "group string, code string, name string")
+
+
+def unknown_principles(used: DataFrame) -> DataFrame:
+    """(doc, code) that the taxonomy lacks."""
+    return used.select("doc", "code").distinct().where(~F.col("code").isin(*(c for codes in PRINCIPLES.values() for c in codes)))
+
+
+def principle_coverage(spark: SparkSession, used: DataFrame) -> DataFrame:
+    """(doc, group, declared, total): how many principles of each group a document declares."""
+    table = principles(spark)
+    total = table.groupBy("group").agg(F.count(F.lit(1)).alias("total"))
+    return used.select("doc", "code").distinct().join(F.broadcast(table), "code").groupBy("doc", "group").agg(F.count(F.lit(1)).alias("declared")).join(F.broadcast(total), "group")
+
+
+def undeclared(used: DataFrame, declared: DataFrame) -> DataFrame:
     """Principles that strategies name but the document does not declare: (doc, code)."""
     return used.select("doc", "code").distinct().join(declared.select("doc", "code"), ["doc", "code"], "left_anti")

@@ -209,3 +209,44 @@ def test_legacy_grammar():
     for bad in ("entity:\n  id: 'x", "a:\n    b: 1\n  c: 2", "entity:\n  fields:\n    - name: x\n      type: y\n", "what: 1"):
         with pytest.raises(legacy.GrammarError):
             legacy.parse(bad)
+
+
+META = """
+feature:
+  id: buy
+  file: buy.feature
+  scenarios:
+    - {id: one, title: One, line: 3, action: pay, traceability: [{to: BR-1, relation: implements}, {to: BR-9, relation: tests}]}
+    - {id: buy, title: Two, line: 9}
+"""
+
+
+def test_feature_metadata(spark):
+    from specloom.model import feature_meta_type
+
+    meta = parse_specs(spark.createDataFrame([("m", META.replace("line: 3", "line: '3'").replace("line: 9", "line: '9'"))], "doc string, text string"), "FAILFAST", feature_meta_type())
+    frame = lambda rows, ddl: spark.createDataFrame(rows, ddl)
+    got = {r.problem for r in trace.meta_findings(meta, frame([("other.feature",)], "file string"), frame([("buy.feature", 3)], "file string, line int"), frame([("BR-1",)], "id string")).collect()}
+    assert got == {"missing file: buy.feature", "no scenario at line: 9", "repeated id: buy", "unknown target: BR-9"}
+    assert {(r["from"], r.to) for r in trace.meta_links(meta).collect()} == {("one", "BR-1"), ("one", "BR-9")}
+
+
+def test_flows_links_and_principles(spark):
+    d = docs(spark, "flows: [{id: f, name: F, steps: [{id: a, action: x, conditions: ['on_failure: c']}, {id: b, action: y}, {id: c, action: z}]}]")
+    assert {(r["from"], r.to) for r in trace.flow_edges(d).collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
+    links = spark.createDataFrame([("a", "b", "tests"), ("a", "b", "blocks"), ("c", "d", "tests"), ("c", "d", "tests"), ("e", "f", "tests")], "from string, to string, relation string")
+    assert {tuple(r) for r in trace.consistency(links).collect()} == {("a", "b", "several relations"), ("c", "d", "repeated link")}
+    assert {r.to for r in trace.link_status(links, spark.createDataFrame([("b",)], "to string")).where("stale").collect()} == {"d", "f"}
+    used = spark.createDataFrame([("d", "Si"), ("d", "Mo"), ("d", "Zz")], "doc string, code string")
+    assert [r.code for r in trace.unknown_principles(used).collect()] == ["Zz"] and trace.principles(spark).count() == 45
+    assert tuple(trace.principle_coverage(spark, used).select("group", "declared", "total").first()) == ("Structure", 2, 6)
+    assert trace.undeclared(used, used.where("code = 'Si'")).count() == 2
+
+
+def test_extended_operations_are_optional():
+    doc = parse_text(DOC + "\ntraceability: [{from: f, to: a, relation: tests}]", specs.document_type())
+    ops = [op("modify_feature", id="f", new_name="New"), {"type": "update_traceability_link", "from": "f", "to": "a", "relation": "verifies"}, {"type": "add_traceability_link", "from": "f", "to": "u", "relation": "tests"}, {"type": "remove_traceability_link", "from": "f", "to": "u"}]
+    with pytest.raises(migrate.MigrationError):
+        migrate.fold(doc, ops)
+    got = migrate.fold(doc, ops, extended=True)
+    assert got["features"][0]["title"] == "New" and [t["relation"] for t in got["traceability"]] == ["verifies"]
