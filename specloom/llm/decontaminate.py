@@ -62,7 +62,7 @@ class Items:
             self.shingles += [s[a:b] for a, b in zip(first[:-1], first[1:])]
             self.n_words += np.diff(w.first).tolist()
         self.sets = [np.unique(s, return_counts=True) for s in self.shingles]
-        self.size = np.array([len(s) for s in self.shingles])
+        self.size = np.array([len(s) for s in self.shingles], np.int64)
         self.prints = np.concatenate([fingerprints(votes(s)[-1:]) for s in self.shingles]) if rows else np.zeros((0, 2), U64)
         owner = np.repeat(np.arange(len(rows)), self.size)
         flat = np.concatenate(self.shingles) if rows else np.zeros(0, U64)
@@ -184,4 +184,4 @@ def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_co
     """``docs`` without the documents that hold a benchmark item."""
     key = fresh(docs, "leaked_id")
     leaked = matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaked, F.col(id_col).cast("long") == leaked[key], "left_anti")
+    return docs.join(leaked.hint("merge"), F.col(id_col).cast("long") == leaked[key], "left_anti")

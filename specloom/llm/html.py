@@ -8,7 +8,7 @@ every text slot, the path of its element, how much its text varies among pages,
 Every page is then read whole: its blocks are kept unless their element, or one around it, is of a kind that is never main text (menus, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments: by tag, role, or class and id words), or the host's wrapper
 shows the slot to be template text (the same on nearly all sampled pages and outside the main element). If the page has a main element (article, main) its content is
-the text; else the densest block container is.
+the text; else the innermost element is that holds three quarters of the prose.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined in page order by one space. Nothing else is dropped or cut.
 
@@ -42,6 +42,8 @@ DROP_WORDS = {
     "signup", "skip", "social", "sponsor", "sponsored", "subscribe", "subscription", "tags", "toolbar", "topbar", "widget", "widgets", "alert", "toc", "legal", "copyright", "rail", "aside", "teaser", "paywall", "login", "search", "hidden",
 }
 BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption", "center", "dd", "details", "dialog", "dir", "div", "dl", "dt", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "html", "legend", "li", "main", "menu", "nav", "ol", "option", "p", "pre", "section", "summary", "table", "tbody", "td", "tfoot", "th", "thead", "tr", "ul"}
+#: Elements that can hold a whole article.
+CONTAINERS = {"body", "center", "div", "section", "td"}
 #: A start tag closes an open element of these, as HTML allows their end tags to be left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
 LIMITS = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body"}
@@ -112,6 +114,7 @@ class Block:
     main: int  # number of the main element around it, -1 if none
     off: bool
     linked: int = 0  # characters inside links
+    inside: tuple = ()  # numbers of the open containers
 
 
 def blocks(page: str) -> tuple[list[Block], list[tuple]]:
@@ -120,6 +123,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
     off = [False]
     mains: list[int] = []
     n_main = -1
+    numbers: list[int] = []
+    n_open = 0
     out: list[Block] = []
     stream: list[tuple] = []
     piece: list[str] = []
@@ -130,12 +135,13 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
         if piece:
             text = _SPACE.sub(" ", "".join(piece)).strip()
             if text:
-                out.append(Block(tuple(t.shape for t in open_ if t.name in BLOCKS or t.name in DROP_TAGS), text, mains[-1] if mains else -1, off[-1], linked))
+                out.append(Block(tuple(t.shape for t in open_ if t.name in BLOCKS or t.name in DROP_TAGS), text, mains[-1] if mains else -1, off[-1], linked, tuple(k for k, t in zip(numbers, open_) if t.name in CONTAINERS)))
             piece, linked = [], 0
 
     def pop() -> None:
         t = open_.pop()
         off.pop()
+        numbers.pop()
         if t.name in ("article", "main"):
             mains.pop()
 
@@ -169,6 +175,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
                 continue
             inside = bool(mains)
             open_.append(t)
+            numbers.append(n_open)
+            n_open += 1
             header = t.name == "header" and not inside
             off.append(off[-1] or header or dropped(t))
             if t.name in ("article", "main"):
@@ -329,16 +337,17 @@ def extract(page: str, template: set[tuple] = frozenset()) -> str:
         # a page's article is its largest main element; lists of teasers in further ones are not
         best = max(inside, key=lambda k: (inside[k], -k))
         return " ".join(b.text for b in live if b.main == best)
-    weight: dict[tuple, int] = {}
-    for b in live:
-        if b.linked * 2 <= len(b.text):
-            for k in range(max(0, len(b.path) - 2), len(b.path)):
-                weight[b.path[:k]] = weight.get(b.path[:k], 0) + len(b.text)
-    if not weight:
-        return " ".join(b.text for b in live)
-    total = sum(len(b.text) for b in live if b.linked * 2 <= len(b.text))
-    best = max(weight, key=lambda p: (weight[p] * 2 >= total, len(p) if weight[p] * 2 >= total else 0, weight[p]))
-    return " ".join(b.text for b in live if b.path[: len(best)] == best and b.linked * 2 <= len(b.text))
+    # else the innermost element that holds most of the text that is not links
+    prose = [b for b in live if b.linked * 2 <= len(b.text)]
+    total, weight = sum(len(b.text) for b in prose), {}
+    for b in prose:
+        for depth, k in enumerate(b.inside):
+            weight[k] = (weight.get(k, (0,))[0] + len(b.text), depth)
+    most = [(depth, k) for k, (n, depth) in weight.items() if n * 4 >= total * 3]
+    if not most:
+        return " ".join(b.text for b in prose)
+    best = max(most)[1]
+    return " ".join(b.text for b in prose if best in b.inside)
 
 
 def _host(url):
