@@ -24,10 +24,10 @@ def components(ws: Workspace, edges: DataFrame, max_rounds: int = 50) -> DataFra
     for _ in range(max_rounds if stamp[0] else 0):
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = ws.put(both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m")), "large")
-        big = ws.put(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
+        big = ws.put(both.join(low.hint("merge"), "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct(), "large-star")
         ws.drop(e, low)
         low = ws.put(big.groupBy("u").agg(F.min("v").alias("m")), "small")
-        linked = big.join(low, "u")
+        linked = big.join(low.hint("merge"), "u")
         e = ws.put(linked.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v"))).distinct(), "small-star")
         ws.drop(big, low)
         was, stamp = stamp, _stamp(e)

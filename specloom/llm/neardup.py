@@ -6,9 +6,10 @@ can be in no shared table key, so half keys are counted first and table keys are
 pair is in no common table with a probability of 2 * (1 - 0.75^2)^M: 0.0005 for M = 10; above 0.8 it is under 0.0001.
 
 Sets that are equal are one node. In every table bucket each node is first verified against the bucket's smallest node, and components are taken
-over the links found. Only buckets that still hold several components go on: their nodes are dealt to blocks, and each pair of blocks compares
-the minhash sketches of nodes of different components; pairs with enough equal minhashes are verified. A bucket thus never becomes
-all its pairs in rows, and no task gets a whole large bucket. Verification counts full sets: 100 * both >= 75 * either.
+over the links found. Only buckets that still hold several components go on: nodes that such buckets connect form a family, whose nodes are dealt to
+blocks; each pair of blocks is one group of rows, which compares sketches and verifies at once, on full sets, the pairs that share a table key and
+agree in enough minhashes. So a bucket never becomes all its pairs in rows, no task gets a whole large family, and no pair is left out.
+Verification counts full sets: 100 * both >= 75 * either.
 
 Null and empty texts, and those without words, have an empty set and no links. With fewer than five words the whole sequence is the one element. Null
 doc_ids are linked with nothing. Rows with equal doc_id are judged each by its own text, as one node if the sets are equal. Other columns are not read by
@@ -28,13 +29,13 @@ from . import _runtime, _text
 from .components import components
 from .lines import fresh
 
-M, PERCENT, BLOCK = 10, 75, 256
-#: Of the 4 * M minhashes, as many must agree before a pair of a mixed bucket is verified; at similarity 0.75 fewer do with probability under 0.0001.
-AGREE = 18
+M, PERCENT, BLOCK, BLOCK_BYTES = 10, 75, 1024, 8 << 20
+#: Of the 4 * M minhashes, as many must agree before a pair of a mixed bucket is verified; at similarity 0.75 fewer do with a probability of about 0.0002.
+AGREE = 20
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, 4 * M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, 4 * M, dtype=np.uint64)
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64())), ("sketch", pa.binary())])
+_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
 
 def sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -54,7 +55,7 @@ def half_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, d1, d2, halves, sketch): size and digest of each row's set, its half keys and minhashes."""
+    """(id, n, d1, d2, halves): size and digest of each row's set, and its half keys."""
     _runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -68,10 +69,9 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 mins = minhashes(flat, at)
                 halves = half_keys(mins).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * M)), pa.array(halves.ravel()))
-                sketch = [row.tobytes() for row in (mins >> np.uint64(32)).astype("<u4")]
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), lists, pa.array(sketch, pa.binary())], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), lists], schema=_SIGNED)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("x")).mapInArrow(run, "id long, n long, d1 long, d2 long, halves array<long>, sketch binary")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("x")).mapInArrow(run, "id long, n long, d1 long, d2 long, halves array<long>")
 
 
 def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -91,46 +91,64 @@ def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
 
 
-def compare_blocks(rows: DataFrame) -> DataFrame:
-    """Candidates (a, b) of each (key, i, j): nodes of different components whose sketches agree. Rows: key, i, j, side, node, component, centre, sketch."""
+def compare_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Links (a, b) between the two blocks of each (family, i, j). Rows, sorted by family, i and j: family, i, j, side, node, component, x.
 
-    def group(node, comp, side, centre, same, sketch) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        sk = np.frombuffer(b"".join(sketch), "<u4").reshape(len(node), -1)
-        left = np.flatnonzero(side == 0)
-        right = left if same else np.flatnonzero(side == 1)
-        for k in left:
+    Pairs that share a table key, whose sketches agree and whose nodes are in different components are verified on full sets; a link found
+    joins components at once, so that a block gives fewer links than it has nodes.
+    """
+
+    def links(side: np.ndarray, node: np.ndarray, comp: np.ndarray, texts: pa.Array, same: bool) -> list[tuple[int, int]]:
+        shingles = [u for _, _, raw, offs in _text.chunks(texts) for u in sets(raw, offs)]
+        n = np.array([len(u) for u in shingles])
+        flat, first = np.concatenate(shingles), np.concatenate([[0], np.cumsum(n)])
+        mins = minhashes(flat, first)
+        sketch = (mins >> np.uint64(32)).astype(np.uint32)
+        right = np.flatnonzero(side == (0 if same else 1))
+        found = []
+        for k in np.flatnonzero(side == 0):
             to = right[right > k] if same else right
-            to = to[comp[to] != comp[k]]
-            to = to[(node[to] != centre) & (node[k] != centre)]
-            to = to[(sk[to] == sk[k]).sum(1) >= AGREE]
-            if len(to):
-                yield np.full(len(to), node[k]), node[to]
+            to = to[(comp[to] != comp[k]) & (100 * np.minimum(n[to], n[k]) >= percent * np.maximum(n[to], n[k]))]
+            to = to[(sketch[to] == sketch[k]).sum(1) >= AGREE]
+            if not len(to):
+                continue
+            half = (mins[to, 0::2] == mins[k, 0::2]) & (mins[to, 1::2] == mins[k, 1::2])
+            to = to[half[:, :M].any(1) & half[:, M:].any(1)]
+            if not len(to):
+                continue
+            elements = np.concatenate([shingles[t] for t in to])
+            at = np.minimum(np.searchsorted(shingles[k], elements), n[k] - 1)
+            both = _text.reduce_sum((shingles[k][at] == elements).astype(np.int64), np.concatenate([[0], np.cumsum(n[to])]))
+            for t in to[100 * both >= percent * (n[to] + n[k] - both)]:
+                if comp[t] != comp[k]:
+                    found.append((int(node[k]), int(node[t])))
+                    comp[comp == comp[t]] = comp[k]
+        return found
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
         def flush(t: pa.Table) -> pa.RecordBatch:
-            key, i, j = (t.column(k).to_numpy() for k in range(3))
-            side, node, comp, centre = (t.column(k).to_numpy() for k in range(3, 7))
-            sketch = t.column(7).to_pylist()
-            cut = np.flatnonzero(np.append(True, (key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
-            got = [g for a, b in zip(cut, np.append(cut[1:], len(key))) for g in group(node[a:b], comp[a:b], side[a:b], centre[a], i[a] == j[a], sketch[a:b])]
-            a, b = (np.concatenate(x) for x in zip(*got)) if got else (np.zeros(0, np.int64), np.zeros(0, np.int64))
-            return pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], ["a", "b"])
+            t = t.combine_chunks()
+            family, i, j, side, node, comp = (t.column(k).to_numpy() for k in range(6))
+            cut = np.flatnonzero(np.append(True, (family[1:] != family[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])))
+            texts = t.column(6).combine_chunks()
+            got = [x for a, b in zip(cut, np.append(cut[1:], len(family))) for x in links(side[a:b], node[a:b], comp[a:b].copy(), texts.slice(a, b - a), i[a] == j[a])]
+            return pa.RecordBatch.from_arrays([pa.array([x[0] for x in got], pa.int64()), pa.array([x[1] for x in got], pa.int64())], ["a", "b"])
 
         for batch in batches:
             t = pa.Table.from_batches([batch])
             t = pa.concat_tables([held, t]) if held is not None else t
-            key, i, j = (t.column(k).to_numpy() for k in range(3))
-            last = (key == key[-1]) & (i == i[-1]) & (j == j[-1])
-            n = len(key) - int(last[::-1].argmin()) if not last.all() else 0
-            held = t.slice(n).combine_chunks()
+            family, i, j = (t.column(k).to_numpy() for k in range(3))
+            last = (family == family[-1]) & (i == i[-1]) & (j == j[-1])
+            n = len(family) - int(last[::-1].argmin()) if not last.all() else 0
+            held = t.slice(n)
             if n:
                 yield flush(t.slice(0, n))
         if held is not None and len(held):
             yield flush(held)
 
-    return rows.mapInArrow(run, "a long, b long")
+    return rows.select("family", "i", "j", "side", "node", "component", "x").mapInArrow(run, "a long, b long")
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -141,43 +159,50 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     digest = ["d1", "d2", "n"]
     reps = ws.put(signed.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("rep")), "reps")
     nodes = ws.put(
-        signed.where("n > 0").join(reps, digest).where("id = rep").dropDuplicates(["rep", *digest]).select(F.col("rep").alias("node"), "halves", "sketch"), "nodes"
+        signed.where("n > 0").join(reps.hint("merge"), digest).where("id = rep").dropDuplicates(["rep", *digest]).select(F.col("rep").alias("node"), "halves"), "nodes"
     )
     exploded = nodes.select("node", F.posexplode("halves").alias("slot", "half"))
     shared = ws.put(exploded.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "shared")
     side = lambda first: F.collect_list(F.when((F.col("slot") < M) == F.lit(first), F.col("half")))
-    halves = exploded.join(shared, "half").groupBy("node").agg(side(True).alias("l"), side(False).alias("r"))
+    halves = exploded.join(shared.hint("merge"), "half").groupBy("node").agg(side(True).alias("l"), side(False).alias("r"))
     keys = F.flatten(F.transform("l", lambda x: F.transform(F.col("r"), lambda y: F.xxhash64(x, y))))
     tables = ws.put(halves.select("node", F.explode(keys).alias("key")), "tables")
     buckets = ws.put(tables.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
-    stars = ws.put(tables.join(buckets, "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    stars = ws.put(tables.join(buckets.hint("merge"), "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
 
     texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("x")).where("node is not null")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
         """Verified pairs. Texts of nodes come from the input; a repeated doc_id has several, and any that is similar enough links."""
-        one = ws.put(texts.join(ws.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids"), "node", "left_semi"), f"{name}-texts")
+        one = ws.put(texts.join(ws.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids").hint("merge"), "node", "left_semi"), f"{name}-texts")
         left = one.select(F.col("node").alias("a"), F.col("x").alias("xa"))
         right = one.select(F.col("node").alias("b"), F.col("x").alias("xb"))
-        out = ws.put(verify(pairs.join(left, "a").join(right, "b")).distinct(), f"{name}-links")
+        out = ws.put(verify(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")).distinct(), f"{name}-links")
         ws.drop(one)
         return out
 
     links = linked(stars, "star")
     comp = ws.put(components(ws, links), "star-components")
-    member = ws.put(tables.join(comp, "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
-    mixed = ws.put(
-        member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("key", "centre", F.ceil(F.col("c") / BLOCK).cast("int").alias("blocks")), "mixed"
-    )
-    pieces = member.join(mixed, "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = pieces.join(nodes.select("node", "sketch"), "node").select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "centre", "sketch")
-    more = ws.put(compare_blocks(dealt.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "side", "node")).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "candidates")
-    if not more.isEmpty():
-        links = links.union(linked(more, "block"))
-        comp = ws.put(components(ws, links), "components")
-    out = signed.select("id", "n", "d1", "d2").join(reps, digest, "left")
+    member = ws.put(tables.join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
+    mixed = ws.put(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("key", "centre"), "mixed")
+    near = ws.put(member.join(mixed.hint("merge"), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near")
+    if not near.isEmpty():
+        family = ws.put(components(ws, near), "families").withColumnRenamed("component", "family")
+        placed = family.join(comp.hint("merge"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
+        told = ws.put(texts.join(placed.hint("merge"), "node"), "family-texts")
+        load = told.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("x")).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
+        blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
+        load = ws.put(load.select("family", blocks.alias("blocks")), "family-blocks")
+        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
+        dealt = told.join(load.hint("merge"), "family").select("family", "node", "component", "x", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+        dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "x")
+        more = ws.put(compare_blocks(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "node")).distinct(), "block-links")
+        ws.drop(told)
+        if not more.isEmpty():
+            comp = ws.put(components(ws, links.union(more)), "components")
+    out = signed.select("id", "n", "d1", "d2").join(reps.hint("merge"), digest, "left")
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
-    out = out.join(comp, out["rep"] == comp["node"], "left")
+    out = out.join(comp.hint("merge"), out["rep"] == comp["node"], "left")
     component = F.coalesce(F.col("component"), F.col("rep"), F.col("id"))
     return out.select(F.col("id").alias("doc_id"), F.col("n").alias("n_shingles"), component.alias("component_id"), F.coalesce(component == F.col("id"), F.lit(True)).alias("kept"))
 
@@ -186,4 +211,4 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> Da
     """The rows of ``docs`` that are kept: one document of each component."""
     key = fresh(docs, "kept_id")
     kept = classes(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == kept[key], "left_anti")
+    return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == kept[key], "left_anti")
