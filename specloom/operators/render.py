@@ -1,4 +1,7 @@
-"""Code skeletons by ordered string aggregation: one line for each child row, joined by parent, then by file. Result: (doc, path, content, keep_existing)."""
+"""Code skeletons by ordered string aggregation: one line for each child row, joined by parent, then by file. Result: (doc, path, content, keep_existing).
+
+Fixed values: the texts in quotes below are the texts of the generated files, which have to come out letter by letter.
+"""
 
 from __future__ import annotations
 

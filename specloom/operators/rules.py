@@ -5,60 +5,70 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..model import SECTIONS
 from ..plans.catalog import Catalog
-from .relational import dangling, repeats, union_all
+from .relational import dangling, union_all
 
 COLUMNS = ["doc", "rule", "section", "ord", "sub", "check", "message"]
 Rule = Callable[[Catalog], DataFrame]
 
 
-def _found(rows: DataFrame, rule: int, check: int, template: str, *args: Column | str, sub: Column | None = None) -> DataFrame:
-    return rows.select("doc", F.lit(rule).alias("rule"), "section", "ord", (F.lit(-1) if sub is None else sub).alias("sub"), F.lit(check).alias("check"), F.format_string(template, *args).alias("message"))
+def _bad(section: str, items: Column, broken: Callable[[Column], Column], check: int, message: Callable[[Column, Column], Column], parent: tuple[Column, Column] | None = None) -> Column:
+    """An array of findings on the elements of an array; with ``parent`` (its place and itself) the elements are the parent's."""
+    numbered = F.transform(items, lambda e, i: F.struct(i.alias("i"), e.alias("e")))
+    place = (lambda i: (parent[0], i)) if parent else (lambda i: (i, F.lit(-1)))
+    found = lambda x: F.struct(F.lit(SECTIONS.index(section)).alias("section"), place(x["i"])[0].alias("ord"), place(x["i"])[1].alias("sub"), F.lit(check).alias("check"), message(x["e"], x["i"]).alias("message"))
+    return F.transform(F.filter(numbered, lambda x: broken(x["e"])), found)
+
+
+def _rows(c: Catalog, rule: int, findings: list[Column]) -> DataFrame:
+    """One pass over the documents, without a shuffle."""
+    return c.docs.select("doc", F.lit(rule).alias("rule"), F.inline(F.concat(*findings)))
 
 
 def required_ids(c: Catalog) -> DataFrame:
     """Empty ids, titles, names and rules."""
-    at = lambda kind: f"{kind} at index %d is missing required 'id' field"
     out = []
-    for k, (section, kind) in enumerate((("entities", "Entity"), ("features", "Feature"), ("actions", "Action"), ("flows", "Flow"), ("constraints", "Constraint"))):
-        rows = c.section(section)
-        out.append(_found(rows.where("e.id = ''"), 0, 0, at(kind), "ord"))
+    for section, kind in (("entities", "Entity"), ("features", "Feature"), ("actions", "Action"), ("flows", "Flow"), ("constraints", "Constraint")):
+        items = F.col(section)
+        out.append(_bad(section, items, lambda e: e["id"] == "", 0, lambda e, i, k=kind: F.format_string(f"{k} at index %d is missing required 'id' field", i)))
         for n, part in enumerate({"features": ["title"], "flows": ["name"], "constraints": ["name", "rule"]}.get(section, []), 1):
-            out.append(_found(rows.where(F.col("e")[part] == ""), 0, n, f"{kind} '%s' is missing required '{part}' field", "e.id"))
-    s = c.scenarios()
-    out.append(_found(s.where("id = ''"), 0, 0, "Scenario at index %d in feature '%s' is missing required 'id' field", "sub", "feature", sub=F.col("sub")))
-    out.append(_found(s.where("title = ''"), 0, 1, "Scenario '%s' in feature '%s' is missing required 'title' field", "id", "feature", sub=F.col("sub")))
-    return union_all(out)
+            out.append(_bad(section, items, lambda e, p=part: e[p] == "", n, lambda e, i, k=kind, p=part: F.format_string(f"{k} '%s' is missing required '{p}' field", e["id"])))
+
+    def scenarios(f: Column, i: Column) -> Column:
+        no_id = _bad("features", f["scenarios"], lambda s: s["id"] == "", 0, lambda s, j: F.format_string("Scenario at index %d in feature '%s' is missing required 'id' field", j, f["id"]), (i, f))
+        no_title = _bad("features", f["scenarios"], lambda s: s["title"] == "", 1, lambda s, j: F.format_string("Scenario '%s' in feature '%s' is missing required 'title' field", s["id"], f["id"]), (i, f))
+        return F.concat(no_id, no_title)
+
+    return _rows(c, 0, [*out, F.flatten(F.transform("features", scenarios))])
 
 
 def unique_ids(c: Catalog) -> DataFrame:
     """Ids that occur again anywhere in their document; empty ones do not count."""
-    again = repeats(c.ids().where("id <> ''"), ["doc", "id"], ["section", "ord", "sub"])
-    return _found(again, 1, 0, "Duplicate ID found: '%s'", "id", sub=F.col("sub"))
+    again = F.row_number().over(W.partitionBy("doc", "id").orderBy("section", "ord", "sub"))
+    rows = c.ids().where("id <> ''").withColumn("nth", again).where("nth > 1")
+    return rows.select("doc", F.lit(1).alias("rule"), "section", "ord", "sub", F.lit(0).alias("check"), F.format_string("Duplicate ID found: '%s'", "id").alias("message"))
 
 
 def valid_references(c: Catalog) -> DataFrame:
     """Feature dependencies and trace links without a target of any kind."""
-    ids = c.ids().select("doc", F.col("id").alias("to")).distinct()
-    deps = dangling(c.dependencies(), ids, ["doc", "to"])
-    out = [_found(deps, 2, 0, "Feature '%s' references unknown dependency: '%s'", "from", "to", sub=F.col("sub"))]
-    for n, end in enumerate(("from", "to")):
-        links = dangling(c.trace(), ids.withColumnRenamed("to", end), ["doc", end])
-        out.append(_found(links, 2, n, f"Traceability references unknown '{end}' element: '%s'", end))
-    return union_all(out)
+    lost = dangling(c.references(), c.ids().select("doc", F.col("id").alias("to")).distinct(), ["doc", "to"])
+    said = F.when(F.col("kind") == "dependency", F.format_string("Feature '%s' references unknown dependency: '%s'", "from", "to")).otherwise(F.format_string("Traceability references unknown '%s' element: '%s'", "kind", "to"))
+    return lost.select("doc", F.lit(2).alias("rule"), "section", "ord", "sub", "check", said.alias("message"))
 
 
 def required_fields(c: Catalog) -> DataFrame:
     """Fields without a name or a type."""
-    f = c.fields()
-    return union_all(
-        [
-            _found(f.where("name = ''"), 3, 0, "Field in entity '%s' is missing required 'name'", "entity", sub=F.col("sub")),
-            _found(f.where("type = ''"), 3, 1, "Field '%s' in entity '%s' is missing required 'type'", "name", "entity", sub=F.col("sub")),
-        ]
-    )
+
+    def fields(e: Column, i: Column) -> Column:
+        no_name = _bad("entities", e["fields"], lambda f: f["name"] == "", 0, lambda f, j: F.format_string("Field in entity '%s' is missing required 'name'", e["id"]), (i, e))
+        no_type = _bad("entities", e["fields"], lambda f: f["type"] == "", 1, lambda f, j: F.format_string("Field '%s' in entity '%s' is missing required 'type'", f["name"], e["id"]), (i, e))
+        return F.concat(no_name, no_type)
+
+    return _rows(c, 3, [F.flatten(F.transform("entities", fields))])
 
 
 RULES: dict[str, Rule] = {"required_ids": required_ids, "unique_ids": unique_ids, "valid_references": valid_references, "required_fields": required_fields}

@@ -15,7 +15,10 @@ RELATIONS = ("implements", "verifies", "tests", "blocks", "depends_on", "represe
 
 
 def depths(edges: DataFrame, child: str, parent: str, limit: int = 200) -> DataFrame:
-    """(node, depth): the longest way from a node without parents. Each round is one join on the frontier; a way longer than ``limit`` is a cycle."""
+    """(node, depth): the longest way from a node without parents. Each round is one join on the frontier; a way longer than ``limit`` is a cycle.
+
+    All ways are walked, so this is for graphs of the size of schemas and migration logs.
+    """
     spark = edges.sparkSession
     edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("_depth_edges")
     return spark.sql(f"""

@@ -33,12 +33,19 @@ class Catalog:
         return rows.select("doc", "feature", "scenario", "ord", "sub", "k", "phase", F.posexplode("texts").alias("n", "text"))
 
     def ids(self) -> DataFrame:
-        """(doc, section, ord, sub, kind, id): the shared namespace. A feature comes before its scenarios (sub -1)."""
-        own = lambda s, kind: self.section(s).select("doc", "section", "ord", F.lit(-1).alias("sub"), F.lit(kind).alias("kind"), F.col("e.id").alias("id"))
-        out = self.scenarios().select("doc", "section", "ord", "sub", F.lit("scenario").alias("kind"), "id")
-        for s, kind in (("entities", "entity"), ("features", "feature"), ("actions", "action"), ("flows", "flow"), ("constraints", "constraint")):
-            out = out.unionByName(own(s, kind))
-        return out
+        """(doc, section, ord, sub, kind, id): the shared namespace, in one pass over the documents. A feature comes before its scenarios (sub -1)."""
+        row = lambda section, ord_, sub, kind, id_: F.struct(F.lit(SECTIONS.index(section)).alias("section"), ord_.alias("ord"), sub.alias("sub"), F.lit(kind).alias("kind"), id_.alias("id"))
+        all_of = lambda section, kind: F.transform(section, lambda e, i: row(section, i, F.lit(-1), kind, e["id"]))
+        own = [all_of(section, kind) for section, kind in (("entities", "entity"), ("features", "feature"), ("actions", "action"), ("flows", "flow"), ("constraints", "constraint"))]
+        scenarios = F.flatten(F.transform("features", lambda f, i: F.transform(f["scenarios"], lambda s, j: row("features", i, j, "scenario", s["id"]))))
+        return self.docs.select("doc", F.inline(F.concat(*own, scenarios)))
+
+    def references(self) -> DataFrame:
+        """(doc, section, ord, sub, check, kind, from, to): feature dependencies and both ends of trace links, each with the id that must exist as ``to``."""
+        row = lambda section, i, j, check, kind, a, b: F.struct(F.lit(SECTIONS.index(section)).alias("section"), i.alias("ord"), j.alias("sub"), F.lit(check).alias("check"), F.lit(kind).alias("kind"), a.alias("from"), b.alias("to"))
+        needs = F.transform("features", lambda f, i: F.transform(F.coalesce(f["dependencies"], F.array().cast("array<string>")), lambda d, j: row("features", i, j, 0, "dependency", f["id"], d)))
+        ends = F.transform("traceability", lambda t, i: F.array(row("traceability", i, F.lit(-1), 0, "from", t["to"], t["from"]), row("traceability", i, F.lit(-1), 1, "to", t["from"], t["to"])))
+        return self.docs.select("doc", F.inline(F.flatten(F.concat(needs, ends))))
 
     def dependencies(self) -> DataFrame:
         return self.section("features").select("doc", "section", "ord", F.col("e.id").alias("from"), F.posexplode("e.dependencies").alias("sub", "to"))

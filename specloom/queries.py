@@ -250,13 +250,18 @@ def spec_report(spark, sf):
 
 
 def spec_listing(spark, sf):
-    return R.union_all([rules.listing(_shop(spark), k).select(F.lit(k).alias("kind"), "ord", "id", "label", "count") for k in ("entities", "features", "actions")])
+    return R.union_all([rules.listing(_shop(spark), k).select(F.lit(k).alias("kind"), "ord", "id", "label", F.coalesce("count", F.lit(0)).alias("count")) for k in ("entities", "features", "actions")])
 
 
 def spec_render(spark, sf):
     return R.union_all([render.generate(_shop(spark), k).where("not keep_existing").select(F.lit(k).alias("language"), "path", "content") for k in ("typescript", "python", "go")])
 
 
+def render_entity(spark, sf):
+    """The interface file of a specification."""
+    return render.generate(_shop(spark), "typescript").where("path = 'types.ts'").select("path", "content")
+
+
 def spec_steps(spark, sf):
     return Catalog(_shop(spark)).steps().select("feature", "scenario", "phase", "n", "text")
 
@@ -269,7 +274,7 @@ def spec_migration(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """required_ids_report duplicate_ids duplicate_rows duplicate_ids_global dangling_refs required_fields list_with_counts validation_summary pending_set status_counts
     rollback_plan log_replay_survivors last_modification_wins find_first retain_filter semi_filter positional_index topo_depth cycle_check pascal_case http_verb route_name type_map sample_values
-    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts operation_checks operation_lines spec_validation spec_report spec_listing spec_render spec_steps spec_migration"""
+    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts operation_checks operation_lines spec_validation spec_report spec_listing render_entity spec_render spec_steps spec_migration"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -333,5 +338,12 @@ def oracle_sql() -> dict[str, str]:
         "element_counts": "SELECT lang, source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL",
         "operation_checks": _rows(list(enumerate([True, False, True, True, False, True, False, False])), "seq, bad").replace("*", "seq::BIGINT AS seq, bad", 1),
         "operation_lines": _rows([(1, "    + Add feature: f (Title)"), (4, "    + Add entity: e (E)"), (6, "    ~ Modify entity: "), (7, "    - Remove feature: x")], "seq, line").replace("*", "seq::BIGINT AS seq, line", 1),
+        "spec_validation": _rows([(1, 1, 0, 0, 0, "Duplicate ID found: ''cart''"), (2, 1, 0, 0, 0, "Feature ''buying'' references unknown dependency: ''paying''"), (2, 5, 1, -1, 1, "Traceability references unknown ''to'' element: ''nothing''"), (3, 0, 1, 1, 0, "Field in entity ''cart'' is missing required ''name''")], 'rule, section, ord, sub, "check", message'),
+        "spec_listing": _rows([("entities", 0, "shop_user", "User", 3), ("entities", 1, "cart", "cart", 2), ("features", 0, "buying", "Buying", 1), ("actions", 0, "get_cart", "get_cart", 0), ("actions", 1, "remove_cart", "remove_cart", 0)], "kind, ord, id, label, count"),
+        "spec_steps": _rows([("buying", "cart", "given", 0, "a cart"), ("buying", "cart", "when", 0, "an item is added"), ("buying", "cart", "then", 0, "it is there")], "feature, scenario, phase, n, text"),
+        "spec_migration": _rows([("shop_user", 0, 0, "id", "string"), ("shop_user", 0, 1, "age", "int"), ("shop_user", 0, 2, "active", "boolean"), ("cart", 1, 0, "", "date"), ("cart", 1, 1, "note", "string")], "entity, ord, sub, name, type"),
+        "render_entity": f"""WITH f AS ({_rows([("shop_user", 0, 0, "id", "string", True), ("shop_user", 0, 1, "age", "int", False), ("shop_user", 0, 2, "active", "boolean", True), ("cart", 1, 0, "total", "float", True), ("cart", 1, 1, "", "date", True)], "e, ord, sub, name, x, need")}),
+            per AS (SELECT e, ord, string_agg('  ' || name || CASE WHEN need THEN '' ELSE '?' END || ': ' || {_case(S.TYPES["typescript"], S.OTHER_TYPE["typescript"])} || ';' || chr(10), '' ORDER BY sub) AS body FROM f GROUP BY e, ord)
+            SELECT 'types.ts' AS path, '// Generated entity interfaces' || chr(10) || chr(10) || string_agg('export interface ' || array_to_string(list_transform(string_split(e, '_'), lambda w: upper(w[1]) || w[2:]), '') || ' {{' || chr(10) || body || '}}' || chr(10) || chr(10), '' ORDER BY ord) AS content FROM per""",
         "spec_report": "SELECT 'shop' AS doc, false AS valid, 4::BIGINT AS error_count, 'Duplicate ID found: ''cart''' || chr(10) || 'Feature ''buying'' references unknown dependency: ''paying''' || chr(10) || 'Traceability references unknown ''to'' element: ''nothing''' || chr(10) || 'Field in entity ''cart'' is missing required ''name''' AS errors",
     }
