@@ -46,6 +46,7 @@ BLOCKS = {"address", "article", "aside", "blockquote", "body", "br", "caption",
 CONTAINERS = {"body", "center", "div", "section", "td"}
 #: A start tag closes an open element of these, as HTML allows their end tags to be left out.
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"thead", "tr", "td", "th"}, "tfoot": {"tbody", "tr", "td", "th"}}
+HEAD = {"base", "head", "link", "meta", "noscript", "script", "style", "template", "title"}
 LIMITS = {"ul", "ol", "dl", "table", "select", "div", "article", "section", "body"}
 P_ENDS = {"address", "article", "aside", "blockquote", "center", "details", "dialog", "dir", "div", "dl", "fieldset", "figcaption", "figure", "footer", "form", "h1", "h2", "h3", "h4", "h5", "h6", "header", "hgroup", "hr", "main", "menu", "nav", "ol", "p", "pre", "section", "summary", "table", "ul"}
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<![^>]*(?:>|$)|<\?[^>]*(?:>|$)|<(/?)([a-zA-Z][^\s/>\x00]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(?:>|$)", re.S)
@@ -100,9 +101,9 @@ def dropped(t: Token) -> bool:
         return True
     if "display:none" in a.get("style", "").lower().replace(" ", ""):
         return True
-    if t.name in ("html", "body", "main", "p", "h1", "h2", "h3"):
+    if t.name in ("html", "body", "main"):
         return False
-    if t.name == "article":  # its class often names features; only a whole word counts
+    if t.name in ("article", "p", "h1", "h2", "h3"):  # their classes often name features; only a whole word counts
         return any(w in DROP_WORDS for w in a.get("class", "").lower().split())
     return any(w in DROP_WORDS for v in (a.get("class", ""), a.get("id", "")) for w in _WORD.findall(re.sub(r"([a-z])([A-Z])", r"\1 \2", v).lower()))
 
@@ -150,6 +151,8 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
             text = t.name if open_ and open_[-1].name in ("script", "style") else _html.unescape(t.name)
             if text.strip():
                 stream.append(("#", tuple(x.shape for x in open_ if x.name in BLOCKS or x.name in DROP_TAGS), _SPACE.sub(" ", text).strip()))
+            if off and off[-1]:  # also inside a block, as an advert in a span
+                continue
             piece.append(text)
             if any(x.name == "a" for x in open_):
                 linked += len(text.strip())
@@ -158,6 +161,9 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
         if block:
             close_block()
         if t.kind == "<":
+            if open_ and t.name not in HEAD and "head" in [x.name for x in open_]:  # its end tag may be left out
+                while any(x.name == "head" for x in open_):
+                    pop()
             if t.name in P_ENDS and "p" in [x.name for x in open_]:
                 k = max(i for i, x in enumerate(open_) if x.name == "p")
                 if not any(x.name in LIMITS for x in open_[k:]):

@@ -32,6 +32,9 @@ NAV = '<nav><ul><li><a href="/a">Home</a></li></ul></nav>'
         ("<article><p>x</p><script>var a='<p>no</p>';</script><noscript>no</noscript><div style='display: none'>no</div><p hidden>no</p><div role=alert>no</div></article>", "x"),
         ("<div class=menu>menu menu</div><div id=page><div><p>A long paragraph of the text.</p><p>Another long one.</p></div></div><div>short</div>", "A long paragraph of the text. Another long one."),
         ("<body><div>All <a href=/>menus</a> <a href=/>and links here</a></div><div><div><p>A long paragraph of the text.</p></div><div><p>Another of them.</p></div></div><div>short</div></body>", "A long paragraph of the text. Another of them."),
+        ("<article><p>Text <span class=ad>buy now</span> goes on</p><p class='notice'>no</p><p class='share-count-ok'>yes</p><button>b</button></article>", "Text goes on yes"),
+        ("<html><head><meta charset=x><title>T</title><body><article>A</article>", "A"),
+        ("<title>T</title><link rel=x><div><p>No head, no body.</p></div>", "No head, no body."),
         ("<article>a &lt;b&gt; &#233; &#x41; &copy; &amp</article>", "a <b> é A © &"),
         ("<article><!-- no <p> --><p>in<em>line</em>d</p> <ul><li>one<li>two</ul></article>", "inlined one two"),
         ("<ARTICLE><P>Upper</P></ARTICLE><article>x</article>", "Upper"),
