@@ -77,7 +77,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     lost = F.transform(gone, lambda c: F.get(places, c))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
-    out = [text.alias(c) if c == text_col else F.col(c) for c in docs.columns]
+    out = [text.alias(c) if c == text_col else F.col(f"`{c}`") for c in docs.columns]
     if counts:
         out += [F.size(_counting(lines)).cast("long").alias("n_lines"), F.coalesce(F.size(F.when(F.col(starts).isNotNull(), gone)).cast("long"), F.lit(0)).alias("n_removed")]
     return joined.select(*out)
