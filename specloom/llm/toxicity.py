@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from . import _runtime, _text
 
-MAX_DOCS, MAX_BYTES, MAX_WORDS, BITS, Z = 8000, 48 << 20, 4096, 22, 3
+MAX_DOCS, MAX_BYTES, MAX_WORDS, BITS, Z = 8000, 24 << 20, 4096, 22, 3
 _SEP = np.zeros(256, bool)
 _SEP[[b for b in range(128) if not chr(b).isalnum()]] = True
 _STOP = np.zeros(256, bool)
@@ -86,28 +86,28 @@ def train(texts: list[str], toxic: np.ndarray, max_words: int = MAX_WORDS, steps
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
     column = pa.array(texts, pa.string())
-    all_docs, pos = np.zeros(1 << BITS), np.zeros(1 << BITS)
-    for a, b, raw, offs in _text.chunks(column):
+    all_docs, pos = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
+    for a, b, raw, offs in _text.chunks(column, 1 << 19):
         w = _text.words(raw, offs, _SEP)
         if len(w.start):
             doc, f = _distinct(np.tile(np.repeat(np.arange(b - a), np.diff(w.first)), 7), features(w).ravel())
             np.add.at(all_docs, f, 1)
             np.add.at(pos, f, y[a + doc])
     seen = np.flatnonzero(all_docs >= 4)
-    neg, pos, p, n = (all_docs - pos)[seen], pos[seen], y.sum(), len(y) - y.sum()
+    neg, pos, p, n = (all_docs - pos)[seen].astype(float), pos[seen].astype(float), y.sum(), len(y) - y.sum()
     odds = np.log((pos + 0.5) / (p - pos + 0.5)) - np.log((neg + 0.5) / (n - neg + 0.5))
     z = np.abs(odds) / np.sqrt(1 / (pos + 0.5) + 1 / (p - pos + 0.5) + 1 / (neg + 0.5) + 1 / (n - neg + 0.5))
     good = np.flatnonzero(z >= Z)
     good = np.sort(seen[good[np.argsort(-z[good], kind="stable")[:max_words]]])
-    new = np.full(1 << BITS, -1)
+    new = np.full(1 << BITS, -1, np.int32)
     new[good] = np.arange(len(good))
     sents, feats, doc_of, n_sent, at = [], [], [], [], 0
-    for a, b, raw, offs in _text.chunks(column):
+    for a, b, raw, offs in _text.chunks(column, 1 << 19):
         w, of, first = sentences(raw, offs)
         if len(of):
             f = new[features(w)]
             row, word = np.nonzero(f >= 0)
-            s, f = _distinct(of[word], f[row, word])
+            s, f = _distinct(of[word], f[row, word].astype(np.int64))
             sents.append(s + at)
             feats.append(f)
         doc_of.append(np.repeat(np.arange(a, b), np.diff(first)))
@@ -151,7 +151,7 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     # By id, not by a join: Spark then reads the chosen rows in one narrow pass.
     chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("x")).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(set(taken))], "id long")), "id", "left_semi")
     y = {r.id: r.y for r in said.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(set(taken))], "id long")), "id", "left_semi").collect()}
-    rows = sorted(((r.id, r.x) for r in chosen.collect()), key=lambda r: r[0])
+    rows = sorted(((r.id, r.x) for r in chosen.toLocalIterator()), key=lambda r: r[0])
     return train([x for _, x in rows], np.array([y[i] for i, _ in rows]))
 
 
@@ -196,7 +196,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            got = [score_chunk(model, table, raw, offs) for _, _, raw, offs in _text.chunks(batch.column(0))]
+            got = [score_chunk(model, table, raw, offs) for _, _, raw, offs in _text.chunks(batch.column(0), 1 << 19)]
             cols = [np.concatenate(x) for x in zip(*got)] if got else [np.zeros(0)] * 4
             yield pa.RecordBatch.from_arrays([*batch.columns[1:], *(pa.array(c, t) for c, t in zip(cols, (pa.float64(), pa.int64(), pa.int64(), pa.float64())))], names)
 
@@ -212,7 +212,7 @@ def drop(docs: DataFrame, model: Model, text_col: str = "text", threshold: float
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = model.table()
         for batch in batches:
-            got = [score_chunk(model, table, raw, offs)[0] for _, _, raw, offs in _text.chunks(batch.column(at))]
+            got = [score_chunk(model, table, raw, offs)[0] for _, _, raw, offs in _text.chunks(batch.column(at), 1 << 19)]
             yield batch.filter(pa.array(np.concatenate(got) < threshold)) if got else batch
 
     return docs.mapInArrow(run, docs.schema)
