@@ -12,6 +12,7 @@ from .operators import constraints, migrate, render, rules, trace
 from .operators import relational as R
 from .plans.catalog import Catalog
 from .sources.specs import parse_specs
+from .streaming.specs import counts_by_window
 
 NAMES = ["order_item", "user", "oRDER__x_", "get_user", "list_orders", "create_order", "add_item", "update_user", "modify_cart", "delete_user", "remove_item", "checkout", "getuser", ""]
 KINDS = ["string", "int", "integer", "float", "double", "bool", "boolean", "date", "datetime", "uuid", "String", ""]
@@ -220,6 +221,11 @@ def element_counts(spark, sf):
     return _t(spark, sf, "documents").groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), F.avg("n_chars").alias("mean_chars"))
 
 
+def event_windows(spark, sf):
+    """The plan of the event stream, over the whole table at once."""
+    return counts_by_window(_t(spark, sf, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
+
+
 OPS = [("add_feature", "f", "", None), ("add_feature", "f", "Title", None), ("remove_entity", " \t", None, None), ("remove_entity", "  ", None, None), ("add_entity", "e", None, "E"), ("add_entity", "e", None, " "), ("modify_entity", "", None, None), ("remove_feature", "x", None, None)]
 
 
@@ -274,7 +280,7 @@ def spec_migration(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """required_ids_report duplicate_ids duplicate_rows duplicate_ids_global dangling_refs required_fields list_with_counts validation_summary pending_set status_counts
     rollback_plan log_replay_survivors last_modification_wins find_first retain_filter semi_filter positional_index topo_depth cycle_check pascal_case http_verb route_name type_map sample_values
-    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts operation_checks operation_lines spec_validation spec_report spec_listing render_entity spec_render spec_steps spec_migration"""
+    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts event_windows operation_checks operation_lines spec_validation spec_report spec_listing render_entity spec_render spec_steps spec_migration"""
     return {n: globals()[n] for n in names.split()}
 
 
@@ -336,6 +342,7 @@ def oracle_sql() -> dict[str, str]:
         "coverage": "SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS linked, count(*) FILTER (b.doc_id IS NULL) AS left_orphans, count(*) FILTER (a.doc_id IS NULL) AS right_orphans, count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) / count(a.doc_id) AS coverage FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id",
         "trace_matrix": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOP") + " FROM orders GROUP BY 1",
         "element_counts": "SELECT lang, source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL",
+        "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
         "operation_checks": _rows(list(enumerate([True, False, True, True, False, True, False, False])), "seq, bad").replace("*", "seq::BIGINT AS seq, bad", 1),
         "operation_lines": _rows([(1, "    + Add feature: f (Title)"), (4, "    + Add entity: e (E)"), (6, "    ~ Modify entity: "), (7, "    - Remove feature: x")], "seq, line").replace("*", "seq::BIGINT AS seq, line", 1),
         "spec_validation": _rows([(1, 1, 0, 0, 0, "Duplicate ID found: ''cart''"), (2, 1, 0, 0, 0, "Feature ''buying'' references unknown dependency: ''paying''"), (2, 5, 1, -1, 1, "Traceability references unknown ''to'' element: ''nothing''"), (3, 0, 1, 1, 0, "Field in entity ''cart'' is missing required ''name''")], 'rule, section, ord, sub, "check", message'),
