@@ -114,11 +114,10 @@ def strict_gate(findings: DataFrame) -> None:
 
 def listing(docs: DataFrame, kind: str) -> DataFrame:
     """(doc, ord, id, label, description, count, rule) of features, entities, actions or constraints, in document order."""
-    rows = Catalog(docs).section(kind)
-    null = F.lit(None)
-    label = {"features": F.col("e.title") if kind == "features" else null, "constraints": F.col("e.name")}.get(kind, F.coalesce(F.col("e.name"), F.col("e.id")) if kind != "features" else null)
-    count = F.size("e.scenarios") if kind == "features" else F.size("e.fields") if kind == "entities" else null.cast("int")
-    rule = F.col("e.rule") if kind == "constraints" else null.cast("string")
+    rows, none = Catalog(docs).section(kind), F.lit(None)
+    label = {"features": F.col("e.title"), "constraints": F.col("e.name")}.get(kind, F.coalesce("e.name", "e.id"))
+    count = {"features": F.size("e.scenarios"), "entities": F.size("e.fields")}.get(kind, none.cast("int"))
+    rule = F.col("e.rule") if kind == "constraints" else none.cast("string")
     return rows.select("doc", "ord", F.col("e.id").alias("id"), label.alias("label"), F.col("e.description").alias("description"), F.when(count > 0, count).alias("count"), rule.alias("rule"))
 
 
