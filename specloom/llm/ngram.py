@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from . import _runtime, _text
 
 U64 = np.uint64
-STEP, DISCOUNT, ORDER, SHARD_KEYS, MEMO = 0.0005, 0.75, 3, 4_000_000, 19
+STEP, DISCOUNT, ORDER, SHARD_KEYS, MERGE, MEMO = 0.0005, 0.75, 3, 4_000_000, 3_000_000, 19
 END = U64(0xE4D0E4D0E4D0E4D0)
 _SELECT = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
 for _b in range(256):
@@ -349,12 +349,8 @@ def _made(rows: list[tuple]) -> pa.RecordBatch:
 
 def _vocabulary(ws: _runtime.Workspace, texts: DataFrame, root: str) -> tuple[Level, int, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = [np.unique(h, return_counts=True) for h, _ in _chunks(batch.column(0))]
-            if got:
-                h, back = np.unique(np.concatenate([g[0] for g in got]), return_inverse=True)
-                n = np.bincount(back, weights=np.concatenate([g[1] for g in got])).astype(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
+        for h, n in _merged(np.unique(h, return_counts=True) for batch in batches for h, _ in _chunks(batch.column(0))):
+            yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = ws.put(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
     bits = max(0, int(counted.count() // SHARD_KEYS).bit_length())
@@ -407,6 +403,19 @@ def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.n
     return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
 
 
+def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Merged counts of as many parts at a time as hold MERGE keys, so that memory does not follow a batch."""
+    held, size = [], 0
+    for p in parts:
+        held.append(p)
+        size += len(p[0])
+        if size >= MERGE:
+            yield _merge(held)
+            held, size = [], 0
+    if held:
+        yield _merge(held)
+
+
 def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Model) -> Level:
     """The level below the deepest one of ``model``, from the counts of its n-grams in all texts."""
     level = len(model.levels) + 2
@@ -415,25 +424,23 @@ def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Mode
     # a context's key: its number in the upper 32 bits of the run, the word's in the lower; contexts are counted from the shard's first
     starts = np.array([n_context * k // n_shards for k in range(n_shards)], np.int64)
 
+    def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        ids, n = model.words(h)
+        if model.levels:
+            context, _ = model.walk(np.where(n > 1, ids, -1), first[:-1])
+            ok = (context >= 0) & (n > 1)
+        else:
+            context = np.concatenate([[0], ids[:-1]])
+            context[first[:-1]] = model.words(np.array([END]))[0][0]
+            ok = (n > 1) & (np.concatenate([[0], n[:-1]]) > 1)
+            ok[first[:-1]] = n[first[:-1]] > 1
+        return np.unique(context[ok].astype(U64) << U64(32) | ids[ok].astype(U64), return_counts=True)
+
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            got = []
-            for h, first in _chunks(batch.column(0)):
-                ids, n = model.words(h)
-                if model.levels:
-                    context, _ = model.walk(np.where(n > 1, ids, -1), first[:-1])
-                    ok = (context >= 0) & (n > 1)
-                else:
-                    context = np.concatenate([[0], ids[:-1]])
-                    context[first[:-1]] = model.words(np.array([END]))[0][0]
-                    ok = (n > 1) & (np.concatenate([[0], n[:-1]]) > 1)
-                    ok[first[:-1]] = n[first[:-1]] > 1
-                got.append(np.unique(context[ok].astype(U64) << U64(32) | ids[ok].astype(U64), return_counts=True))
-            if got:
-                keys, n = _merge(got)
-                cut = np.append(np.searchsorted(keys, starts.astype(U64) << U64(32)), len(keys))
-                rows = [(k, _runs(keys[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "run"])
+        for keys, n in _merged(counted(h, first) for batch in batches for h, first in _chunks(batch.column(0))):
+            cut = np.append(np.searchsorted(keys, starts.astype(U64) << U64(32)), len(keys))
+            rows = [(k, _runs(keys[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "run"])
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list = []
@@ -455,9 +462,9 @@ def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Mode
                     now, held, size = k, [], 0
                 held.append(_unrun(run.as_buffer()))
                 size += len(held[-1][0])
-                if size > 2 * SHARD_KEYS and len(held) > 1:  # what stays is at most the distinct n-grams
+                if size > MERGE and len(held) > 1:  # what stays is at most the distinct n-grams
                     held = [_merge(held)]
-                    size = 0
+                    size = 0  # what comes next is merged once it is as much again
         if now is not None:
             close()
         yield _made(rows)
