@@ -254,12 +254,14 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     assert keep in ("none", "first") and order in ("fingerprint", "lexicographic") and 8 <= gram < length
     ws = _runtime.Workspace(docs.sparkSession, "substrings")
     rows, key = _keyed(docs, id_col, text_col), ["k1", "k2"]
-    copies = ws.put(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min("id").alias("first_id")).where("c > 1"), "copies").hint("merge")
+    copies = ws.put(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id"))["id"].alias("first_id")).where("c > 1"), "copies")
     places = ws.put(_anchor_rows(rows.where(F.octet_length("x") >= length), length, gram), "anchors")
     common = ws.put(places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", (F.col("c") > max_places).alias("hot")), "common")
-    wanted = ws.put(places.join(common.hint("merge"), "fp").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "fp", "hot")).alias("places")), "places")
+    wanted = places.join(common.hint("merge"), "fp").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "fp", "hot")).alias("places"))
+    wanted = ws.put(wanted.join(copies.hint("merge"), key, "left"), "places")
     ws.drop(places, common)
-    one = rows.join(wanted.hint("merge"), key).join(copies, key, "left").where("c is null or id <=> first_id")
+    # texts meet one table with one row for each key, so that Spark can split the rows of a text with very many copies
+    one = rows.join(wanted.hint("merge"), key).where("c is null or id <=> first_id")
     contexts = ws.put(_context_rows(one, length), "contexts")
     ws.drop(wanted)
     cold = contexts.where("not hot").select("fp", "id", "k1", "k2", "start", "context").repartition("fp").sortWithinPartitions("fp", "id", "k1", "k2", "start")
@@ -267,12 +269,13 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     hot = contexts.where("hot")
     if not hot.isEmpty():
         marks = marks.unionByName(_counted(ws, hot, length, keep))
-    marks = ws.put(marks.groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("spans")), "marks")
-    ws.drop(contexts)
+    marks = marks.groupBy(*key).agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    found = ws.put(copies.hint("merge").join(marks, key, "full"), "found")
+    ws.drop(contexts, copies, wanted)
     whole = F.col("c").isNotNull() & (F.octet_length("x") >= length)
     if keep == "first":
         whole = whole & ~F.col("id").eqNullSafe(F.col("first_id"))
-    return rows.join(copies, key, "left").join(marks.hint("merge"), key, "left").select("id", *key, "x", F.coalesce(whole, F.lit(False)).alias("whole"), "spans")
+    return rows.join(found.hint("merge"), key, "left").select("id", *key, "x", F.coalesce(whole, F.lit(False)).alias("whole"), "spans")
 
 
 def merged(spans: list[dict] | None, n: int, whole: bool) -> list[tuple[int, int]]:

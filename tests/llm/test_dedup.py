@@ -161,5 +161,7 @@ def test_substrings_match_brute_force(make, rng, keep, order, places):
 def test_substrings_odd_tables(make, rng):
     assert substrings.dedup(make([(1, "a")]).where("false")).count() == 0
     same = words(rng, 60)
+    first = substrings.dedup(make([(3, same), (None, same), (4, same)]), keep="first").collect()
+    assert sorted((str(r.doc_id), r.n_removed) for r in first) == [("3", len(same)), ("4", len(same)), ("None", 0)]
     got = substrings.dedup(make([(1, same), (1, same), (2, None)])).collect()
     assert sorted((r.doc_id, r.n_removed) for r in got) == [(1, len(same)), (1, len(same)), (2, 0)]
