@@ -298,21 +298,21 @@ class Model:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.n_words + 1))
 
-    def walk(self, ids: np.ndarray, begins: np.ndarray, unigram: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-        """(context of each token at the deepest level, log10 probability of each token).
+    def walk(self, ids: np.ndarray, begins: np.ndarray, unigram: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
+        """(context of each token at the deepest level, log10 probability of each token, from that of ``unigram``; none without it).
 
         ``begins``: where texts begin. The context of a text's first token is the end token; no context crosses a text.
         """
         end = self.words(np.array([END]))[0][0]
         before = np.concatenate([[end], ids[:-1]])
         before[begins] = end
-        score = unigram if unigram is not None else np.zeros(len(ids))
-        inner = before
-        for k, level in enumerate(self.levels):
+        score, inner = unigram, before
+        for level in self.levels:
             position, back = level.find(inner, ids, self.n_words)
-            hit = position >= 0
-            score = back + score
-            score[hit] = level.gather(position[hit], "prob")
+            if score is not None:
+                hit = np.flatnonzero(position >= 0)
+                score = back + score
+                score[hit] = level.gather(position[hit], "prob")
             inner = np.concatenate([[-1], position[:-1]])
             inner[begins] = -1
         return inner, score
