@@ -19,6 +19,7 @@ from its whole html. Null and empty pages have the empty text. Null urls form a
 from __future__ import annotations
 
 import html as _html
+import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -370,8 +371,6 @@ def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
     picked = sized.groupBy("host", F.pmod(F.col("k"), F.lit(SAMPLE)).alias("bucket")).agg(F.min_by(F.struct("html"), "k").alias("p"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import json
-
         held: dict[str, list] = {}
         for batch in batches:
             for host, page in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -382,8 +381,6 @@ def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
         yield out(held)
 
     def out(held: dict[str, list]) -> pa.RecordBatch:
-        import json
-
         slots = {h: json.dumps(sorted((list(p), t) for p, t in template_slots(infer(s), len(s)))) for h, s in held.items() if len(s) > 1}
         return pa.RecordBatch.from_arrays([pa.array(list(slots), pa.string()), pa.array(list(slots.values()), pa.string())], ["host", "slots"])
 
@@ -393,8 +390,6 @@ def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
 
 def extract_pages(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """page_id, url, text and n_chars of every page."""
-    import json
-
     ws = _runtime.Workspace(pages.sparkSession, "html")
     known = ws.put(wrappers(pages, id_col, url_col, html_col), "wrappers")
     rows = pages.select(F.col(id_col).cast("long").alias("page_id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"), _host(F.col(url_col)).alias("host"))
