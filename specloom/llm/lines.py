@@ -6,6 +6,9 @@ that occur twice or more are joined by position; each is extended both ways in w
 equal to one that begins earlier, in the order of doc_id, then place in the text, is a later copy. The union of such windows is the
 later run, and its lines are deleted. Every repeated run loses all but its first copy.
 
+A line of ``long_words`` or more words is a run by itself: its later copies are deleted whatever stands beside them, in texts of one or two lines too.
+With ``long_words=None`` only runs of ``window`` lines count, as in ``SQL``. The first copy of a line is in no window equal to an earlier one, so it always stays.
+
 Only fingerprints are shuffled, not lines. First positions come from a pre-aggregated minimum, so a very common line is one row for each task,
 and joins back to it are of stored tables, which Spark can split.
 
@@ -21,7 +24,7 @@ from pyspark.sql import functions as F
 
 from ._runtime import Workspace
 
-WINDOW = 3
+WINDOW, LONG_WORDS = 3, 50
 
 
 def fresh(df: DataFrame, name: str) -> str:
@@ -35,45 +38,54 @@ def _split(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n", -1)
 
 
-def _counting(lines: Column) -> Column:
-    """(place, hash, second hash) of each line that is not blank."""
-    each = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g"), (F.trim(x) == "").alias("blank")))
+def _long(line: Column, words: int | None) -> Column:
+    """Whether a line has as many words. The pattern never goes back and reads no further than those words; shorter lines than can hold them are not searched."""
+    return F.lit(False) if words is None else (F.length(line) >= 2 * words - 1) & F.rlike(line, F.lit(rf"^\s*+(?:\S++\s++){{{words - 1}}}\S"))
+
+
+def _counting(lines: Column, long_words: int | None = None) -> Column:
+    """(place, hash, second hash, blank, long) of each line that is not blank."""
+    each = F.transform(lines, lambda x, i: F.struct(i.alias("at"), F.xxhash64(F.trim(x)).alias("h"), F.hash(F.trim(x)).alias("g"), (F.trim(x) == "").alias("blank"), _long(x, long_words).alias("long")))
     return F.filter(each, lambda e: ~e["blank"])
 
 
-def later_runs(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, window: int) -> DataFrame:
-    """(key, starts): for each document that holds later copies, where they begin, counted in lines that are not blank."""
-    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), _counting(_split(F.col(text_col))).alias("a"))
-    rows = rows.where(F.size("a") >= window)
+def later_runs(ws: Workspace, docs: DataFrame, id_col: str, text_col: str, window: int, long_words: int | None = None) -> DataFrame:
+    """(key, starts): for each document that holds later copies, (s, n): where they begin, counted in lines that are not blank, and their number of lines."""
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(id_col), F.col(text_col)).alias("key"), _counting(_split(F.col(text_col)), long_words).alias("a"))
+    rows = rows.where(F.size("a") >= (window if long_words is None else 1))
     ranked = F.transform(F.col("a"), lambda e, i: F.struct(e["h"].alias("h"), (-i).alias("i")))
-    starts = F.sequence(F.lit(1), F.size("a") - window + 1)
+    starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("a") - window + 1))
     rows = rows.withColumn("ranked", ranked)
     picked = F.array_distinct(F.transform(starts, lambda j: F.array_min(F.slice("ranked", j, window))))
+    picked = F.transform(picked, lambda f: F.struct(f["h"].alias("h"), (-f["i"]).alias("at"), F.lit(window).alias("n")))
+    if long_words is not None and window > 1:  # their fingerprints are hashed once more, so that they meet only each other
+        each = F.transform(F.col("a"), lambda e, i: F.struct(F.xxhash64(e["h"], F.lit(1)).alias("h"), i.alias("at"), F.lit(1).alias("n"), e["long"].alias("long")))
+        picked = F.concat(F.when(F.size("a") >= window, picked).otherwise(F.slice(picked, 1, 0)), F.transform(F.filter(each, lambda e: e["long"]), lambda e: F.struct(e["h"].alias("h"), e["at"].alias("at"), e["n"].alias("n"))))
     rows = rows.select("id", "key", "a", F.explode(picked).alias("f"))
-    at = -F.col("f.i")
-    around = F.sequence(F.greatest(F.lit(0), at - window + 1), F.least(at, F.size("a") - window))
-    gram = lambda s: F.slice("a", s + 1, window)
-    grams = F.transform(around, lambda s: F.struct(s.alias("s"), F.xxhash64(F.transform(gram(s), lambda e: e["h"])).alias("g1"), F.hash(F.transform(gram(s), lambda e: e["g"])).alias("g2")))
+    at, n = F.col("f.at"), F.col("f.n")
+    around = F.sequence(F.greatest(F.lit(0), at - n + 1), F.least(at, F.size("a") - n))
+    gram = lambda s: F.slice("a", s + 1, n)
+    grams = F.transform(around, lambda s: F.struct(s.alias("s"), n.alias("n"), F.xxhash64(F.transform(gram(s), lambda e: e["h"])).alias("g1"), F.hash(F.transform(gram(s), lambda e: e["g"])).alias("g2")))
     anchors = ws.put(rows.select(F.col("f.h").alias("fp"), "id", "key", grams.alias("grams")), "anchors")
-    common = ws.put(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("fp"), "common")
+    common = ws.put(anchors.groupBy("fp").agg(F.count(F.lit(1)).alias("k")).where("k > 1").select("fp"), "common")
     found = ws.put(anchors.join(common.hint("merge"), "fp").select("id", "key", F.inline("grams")), "windows")
-    first = ws.put(found.groupBy("g1", "g2").agg(F.min(F.struct("id", "key", "s")).alias("first")), "first")
-    later = found.join(first.hint("merge"), ["g1", "g2"]).where(F.struct("id", "key", "s") != F.col("first")).groupBy("key").agg(F.collect_set("s").alias("starts"))
+    first = ws.put(found.groupBy("n", "g1", "g2").agg(F.min(F.struct("id", "key", "s")).alias("first")), "first")
+    later = found.join(first.hint("merge"), ["n", "g1", "g2"]).where(F.struct("id", "key", "s") != F.col("first")).groupBy("key").agg(F.collect_set(F.struct("s", "n")).alias("starts"))
     out = ws.put(later, "later")
     ws.drop(anchors, common, found, first)
     return out
 
 
-def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = False) -> DataFrame:
-    """``docs`` without later copies of runs of ``window`` or more lines; ``counts`` adds n_lines and n_removed."""
+def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = WINDOW, counts: bool = False, long_words: int | None = LONG_WORDS) -> DataFrame:
+    """``docs`` without later copies of runs of ``window`` or more lines and of lines of ``long_words`` or more words; ``counts`` adds n_lines and n_removed."""
     ws = Workspace(docs.sparkSession, "lines")
     key, starts = fresh(docs, "line_key"), fresh(docs, "line_starts")
-    later = later_runs(ws, docs, id_col, text_col, window).select(F.col("key").alias(key), F.col("starts").alias(starts))
+    later = later_runs(ws, docs, id_col, text_col, window, long_words).select(F.col("key").alias(key), F.col("starts").alias(starts))
     keyed = docs.withColumn(key, F.xxhash64(F.col(id_col), F.col(text_col)))
     joined = keyed.join(later.hint("merge"), key, "left")
     lines = _split(F.col(text_col))
     places = F.transform(_counting(lines), lambda e: e["at"])
-    gone = F.array_distinct(F.flatten(F.transform(F.col(starts), lambda s: F.sequence(s, s + (window - 1)))))
+    gone = F.array_distinct(F.flatten(F.transform(F.col(starts), lambda r: F.sequence(r["s"], r["s"] + r["n"] - 1))))
     lost = F.transform(gone, lambda c: F.get(places, c))
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), lost)
     text = F.when(F.col(starts).isNull(), F.col(text_col)).otherwise(F.array_join(F.transform(kept, lambda p: F.get(lines, p)), "\n"))
@@ -83,7 +95,7 @@ def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", windo
     return joined.select(*out)
 
 
-#: What ``op7_lines`` returns, by comparing lines themselves.
+#: What ``op7_lines`` returns (runs of windows only), by comparing lines themselves.
 SQL = f"""
 WITH p AS (SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, generate_subscripts(string_split(coalesce(text, ''), chr(10)), 1) AS pos FROM documents),
 nb AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY pos) AS c FROM p WHERE trim(line) <> ''),

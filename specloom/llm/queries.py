@@ -61,7 +61,8 @@ def op6_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op7_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import lines
 
-    return lines.dedup(table(spark, sf_dir, "documents"), counts=True).select("doc_id", "n_lines", "n_removed", "text")
+    # its SQL knows no long lines; the pipeline's stage deletes them too
+    return lines.dedup(table(spark, sf_dir, "documents"), counts=True, long_words=None).select("doc_id", "n_lines", "n_removed", "text")
 
 
 def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -116,6 +116,24 @@ def test_lines_odd_rows(make, rng):
     assert lines.dedup(docs.where("false")).count() == 0
 
 
+def test_long_lines_are_runs_by_themselves(make, rng):
+    long, short, other = words(rng, 50), words(rng, 49), words(rng, 60)
+    w = lambda: words(rng, 5)
+    rows = [(1, long), (2, f"{w()}\n{long}"), (3, f"{w()}\n{w()}\n\t{other}\n{w()}"), (4, f"{w()}\n{w()}\n {long} \n{w()}\n{short}"), (5, f"{short}\n{w()}"), (6, f"\t{other}"), (7, long), (8, f"{w()}\n{long}\n{w()}\n{long}"), (9, other)]
+    seen, want = set(), {}
+    for i, t in rows:
+        kept = []
+        for x in t.split("\n"):
+            x, line = x.strip(" "), x
+            if len(x.split()) >= 50 and x in seen:
+                continue
+            seen.add(x)
+            kept.append(line)
+        want[i] = "\n".join(kept)
+    assert {r.doc_id: r.text for r in lines.dedup(make(rows)).collect()} == want and want[7] == "" and short in want[5]
+    assert {r.doc_id: r.text for r in lines.dedup(make(rows), long_words=None).collect()} == dict(rows)
+
+
 # --- substrings
 
 
