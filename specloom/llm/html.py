@@ -7,7 +7,7 @@ every text slot, the path of its element, how much its text varies among pages,
 
 Every page is then read whole: its blocks are kept unless their element, or one around it, is of a kind that is never main text (menus, headers and
 footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments: by tag, role, or class and id words), or the host's wrapper
-shows the slot to be template text (the same on nearly all sampled pages and outside the main element). If the page has a main element (article, main) its content is
+shows the slot to be template text (the same on nearly all sampled pages that differ, three at least, and outside the main element). If the page has a main element (article, main) its content is
 the text; else the innermost element is that holds three quarters of the prose.
 
 Character references are decoded; white space inside a block becomes one space; blocks are trimmed and joined in page order by one space. Nothing else is dropped or cut.
@@ -31,6 +31,8 @@ from pyspark.sql import functions as F
 from . import _runtime
 
 SAMPLE, SAMPLE_BYTES = 8, 1 << 16
+#: Different pages that must hold a text before it is template.
+LEAST = 3
 VOID = {"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"}
 RAW = {"script", "style", "textarea", "title", "xmp", "iframe", "noembed", "noframes", "noscript"}
 #: Elements that never hold main text.
@@ -208,14 +210,14 @@ class Node:
 
     shape: str
     path: tuple | None = None
-    texts: dict = field(default_factory=dict)  # text -> pages that had it
+    texts: dict = field(default_factory=dict)  # text -> numbers of the pages that had it
     optional: bool = False
     repeated: bool = False
     group: list = field(default_factory=list)
 
 
-def _node(token: tuple) -> Node:
-    return Node(token[0], token[1], {token[2]: 1} if token[0] == "#" else {})
+def _node(token: tuple, page: int) -> Node:
+    return Node(token[0], token[1], {token[2]: {page}} if token[0] == "#" else {})
 
 
 def _fits(node: Node, stream: list[tuple], at: int) -> int:
@@ -229,17 +231,17 @@ def _fits(node: Node, stream: list[tuple], at: int) -> int:
     return at
 
 
-def _note(node: Node, stream: list[tuple], at: int) -> int:
+def _note(node: Node, stream: list[tuple], at: int, page: int) -> int:
     if node.group:
         for part in node.group:
-            at = _note(part, stream, at)
+            at = _note(part, stream, at, page)
         return at
     if node.shape == "#":
-        node.texts[stream[at][2]] = node.texts.get(stream[at][2], 0) + 1
+        node.texts.setdefault(stream[at][2], set()).add(page)
     return at + 1
 
 
-def align(wrapper: list[Node], stream: list[tuple], reach: int = 400) -> list[Node]:
+def align(wrapper: list[Node], stream: list[tuple], page: int, reach: int = 400) -> list[Node]:
     """The wrapper generalised to also match the page.
 
     At a mismatch the nearest resumption is sought: of the shapes that follow in the wrapper and in the page, the pair with the fewest tokens skipped in all. A skipped
@@ -251,10 +253,10 @@ def align(wrapper: list[Node], stream: list[tuple], reach: int = 400) -> list[No
         if i < len(wrapper):
             end = _fits(wrapper[i], stream, j)
             if end >= 0:
-                _note(wrapper[i], stream, j)
+                _note(wrapper[i], stream, j, page)
                 j = end
                 while wrapper[i].repeated and (end := _fits(wrapper[i], stream, j)) > j:
-                    _note(wrapper[i], stream, j)
+                    _note(wrapper[i], stream, j, page)
                     j = end
                 out.append(wrapper[i])
                 i += 1
@@ -291,18 +293,18 @@ def align(wrapper: list[Node], stream: list[tuple], reach: int = 400) -> list[No
                 if [t.shape for t in tail] == [r[0] for r in run[:size]] and (size > 1 or run[0][0] != "#"):
                     break
             else:
-                node = _node(run[0])
+                node = _node(run[0], page)
                 node.optional = True
                 out.append(node)
                 run = run[1:]
                 continue
             if size == 1 and out[-1].group:
                 used = _fits(out[-1], run, 0)
-                _note(out[-1], run, 0)
+                _note(out[-1], run, 0, page)
                 out[-1].repeated = True
             else:
                 group = Node("", group=out[-size:], repeated=True, optional=all(t.optional for t in out[-size:]))
-                _note(group, run, 0)
+                _note(group, run, 0, page)
                 used = size
                 out[-size:] = [group]
             run = run[used:]
@@ -311,14 +313,25 @@ def align(wrapper: list[Node], stream: list[tuple], reach: int = 400) -> list[No
 
 
 def infer(pages: list[list[tuple]]) -> list[Node]:
-    wrapper = [_node(t) for t in pages[0]] if pages else []
-    for p in pages[1:]:
-        wrapper = align(wrapper, p)
+    wrapper = [_node(t, 0) for t in pages[0]] if pages else []
+    for k, p in enumerate(pages[1:], 1):
+        wrapper = align(wrapper, p, k)
     return wrapper
 
 
+def different(pages: list[list[tuple]]) -> list[list[tuple]]:
+    """Pages without those that share half of their characters, by distinct texts, with an earlier one: copies say nothing about a template."""
+    kept: list[tuple[set, list]] = []
+    size = lambda texts: sum(map(len, texts))
+    for p in pages:
+        own = {t[2] for t in p if t[0] == "#"}
+        if own and all(2 * size(own & other) < size(own | other) for other, _ in kept):
+            kept.append((own, p))
+    return [p for _, p in kept]
+
+
 def template_slots(wrapper: list[Node], n_pages: int, share: float = 0.8) -> set[tuple]:
-    """(path, text) of slots outside main elements whose text is the same on ``share`` of the pages or more."""
+    """(path, text) of slots outside main elements whose text is the same on ``share`` of the pages or more, and on ``LEAST`` at least."""
     found: set[tuple] = set()
 
     def visit(nodes: list[Node]) -> None:
@@ -326,7 +339,7 @@ def template_slots(wrapper: list[Node], n_pages: int, share: float = 0.8) -> set
             if x.group:
                 visit(x.group)
             elif x.shape == "#" and x.path is not None and not any(p.startswith(("<article", "<main")) for p in x.path):
-                found.update((x.path, t) for t, n in x.texts.items() if n >= max(2, share * n_pages))
+                found.update((x.path, t) for t, on in x.texts.items() if len(on) >= max(LEAST, share * n_pages))
 
     visit(wrapper)
     return found
@@ -381,7 +394,8 @@ def wrappers(pages: DataFrame, id_col: str, url_col: str, html_col: str) -> Data
         yield out(held)
 
     def out(held: dict[str, list]) -> pa.RecordBatch:
-        slots = {h: json.dumps(sorted((list(p), t) for p, t in template_slots(infer(s), len(s)))) for h, s in held.items() if len(s) > 1}
+        unlike = {h: s for h, pages in held.items() if len(s := different(pages)) >= LEAST}
+        slots = {h: json.dumps(sorted((list(p), t) for p, t in template_slots(infer(s), len(s)))) for h, s in unlike.items()}
         return pa.RecordBatch.from_arrays([pa.array(list(slots), pa.string()), pa.array(list(slots.values()), pa.string())], ["host", "slots"])
 
     rows = picked.select("host", F.col("p.html").alias("html"), "bucket").repartition("host").sortWithinPartitions("host", "bucket")

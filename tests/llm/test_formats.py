@@ -66,6 +66,20 @@ def test_wrappers_find_groups_and_slots(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+def test_copies_and_repeats_are_no_template(spark):
+    def slots(pages):
+        unlike = html.different([html.blocks(p)[1] for p in pages])
+        return {t for _, t in html.template_slots(html.infer(unlike), len(unlike))}
+
+    copy = "<body><p>The same whole article on two pages.</p><p>And its end.</p></body>"
+    rows = [(k, "http://two.example/", copy) for k in range(2)] + [(k, "http://many.example/", copy if k < 32 else f"<body><p>Another article {k}.</p></body>") for k in range(2, 40)]
+    got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert all(r.text == "The same whole article on two pages. And its end." for r in got if r.page_id < 32)
+    # a cell that repeats inside one page is no template of its host
+    tables = [f"<body><p>Long text of page number {k} as it goes {k}.</p><ul>{'<li>yes</li>' * (6 if k == 0 else 0)}<li>item {k}</li></ul><div>Foot</div></body>" for k in range(4)]
+    assert slots(tables) == {"Foot"}
+
+
 def test_very_long_page_is_whole():
     page = "<article>" + "".join(f"<p>{k} word</p>" for k in range(30_000)) + "</article>"
     assert html.extract(page) == " ".join(f"{k} word" for k in range(30_000))
