@@ -6,7 +6,8 @@ a slot; a differing run of tags becomes a repeated group if it continues a run o
 every text slot, the path of its element, how much its text varies among pages, and whether it lies in a repeated group of links.
 
 Every page is then read whole: its blocks are kept unless their element, or one around it, is of a kind that is never main text (menus, headers and
-footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments: by tag, role, or class and id words), or the host's wrapper
+footers of the page, sidebars, notices, adverts, forms, scripts, styles, reader comments: by tag, role, or class and id words; such words do not switch off the
+elements around a page's only main element), or the host's wrapper
 shows the slot to be template text (the same on nearly all sampled pages that differ, three at least, and outside the main element). If the page has a main element (article, main) its content is
 the text; else the innermost element is that holds three quarters of the prose.
 
@@ -98,12 +99,16 @@ def tokenize(page: str) -> Iterator[Token]:
 
 
 def dropped(t: Token) -> bool:
-    """Whether an element is of a kind that is never main text. The heading of an article may stand in a header element."""
+    """Whether an element is of a kind that is never main text, by tag, role or style. The heading of an article may stand in a header element."""
     a = t.attrs
     if t.name in DROP_TAGS or a.get("role", "").lower() in DROP_ROLES or "hidden" in a or a.get("aria-hidden", "").lower() == "true":
         return True
-    if "display:none" in a.get("style", "").lower().replace(" ", ""):
-        return True
+    return "display:none" in a.get("style", "").lower().replace(" ", "")
+
+
+def named(t: Token) -> bool:
+    """Whether an element's class or id names a part that is not main text."""
+    a = t.attrs
     if t.name in ("html", "body", "main"):
         return False
     if t.name in ("article", "p", "h1", "h2", "h3"):  # their classes often name features; only a whole word counts
@@ -119,6 +124,7 @@ class Block:
     off: bool
     linked: int = 0  # characters inside links
     inside: tuple = ()  # numbers of the open containers
+    named: tuple = ()  # (number, main elements begun before it) of the open elements whose names say that they are not main text
 
 
 def blocks(page: str) -> tuple[list[Block], list[tuple]]:
@@ -129,6 +135,7 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
     n_main = -1
     numbers: list[int] = []
     n_open = 0
+    names_: list[tuple] = []  # (number, main elements begun before it), of open blocks that are off by name only
     out: list[Block] = []
     stream: list[tuple] = []
     piece: list[str] = []
@@ -139,13 +146,14 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
         if piece:
             text = _SPACE.sub(" ", "".join(piece)).strip()
             if text:
-                out.append(Block(tuple(t.shape for t in open_ if t.name in BLOCKS or t.name in DROP_TAGS), text, mains[-1] if mains else -1, off[-1], linked, tuple(k for k, t in zip(numbers, open_) if t.name in CONTAINERS)))
+                out.append(Block(tuple(t.shape for t in open_ if t.name in BLOCKS or t.name in DROP_TAGS), text, mains[-1] if mains else -1, off[-1], linked, tuple(k for k, t in zip(numbers, open_) if t.name in CONTAINERS), tuple(names_)))
             piece, linked = [], 0
 
     def pop() -> None:
         t = open_.pop()
         off.pop()
-        numbers.pop()
+        if numbers.pop() == (names_[-1][0] if names_ else None):
+            names_.pop()
         if t.name in ("article", "main"):
             mains.pop()
 
@@ -187,7 +195,10 @@ def blocks(page: str) -> tuple[list[Block], list[tuple]]:
             numbers.append(n_open)
             n_open += 1
             header = t.name == "header" and not inside
-            off.append(off[-1] or header or dropped(t))
+            by_name = named(t)
+            off.append(off[-1] or header or dropped(t) or (by_name and (inside or not block or t.name == "article")))
+            if by_name and not off[-1]:
+                names_.append((numbers[-1], n_main))
             if t.name in ("article", "main"):
                 n_main += 1
                 mains.append(mains[-1] if mains else n_main)
@@ -345,10 +356,24 @@ def template_slots(wrapper: list[Node], n_pages: int, share: float = 0.8) -> set
     return found
 
 
+def unnamed(live: list[Block]) -> list[Block]:
+    """Blocks outside elements that are off by name. If all main elements stand in such ones, those around the largest are on."""
+    if all(b.named for b in live if b.main >= 0):
+        weight: dict[int, int] = {}
+        for b in live:
+            if b.main >= 0 and not any(at >= b.main for _, at in b.named):
+                weight[b.main] = weight.get(b.main, 0) + len(b.text)
+        if weight:
+            best = max(weight, key=lambda k: (weight[k], -k))
+            around = {k for b in live if b.main == best for k, at in b.named if at < best}
+            return [b for b in live if all(k in around for k, _ in b.named)]
+    return [b for b in live if not b.named]
+
+
 def extract(page: str, template: set[tuple] = frozenset()) -> str:
     """Main text of a page, given the template slots of its host's wrapper."""
     got, _ = blocks(page)
-    live = [b for b in got if not b.off and (b.main >= 0 or (b.path, b.text) not in template)]
+    live = unnamed([b for b in got if not b.off and (b.main >= 0 or (b.path, b.text) not in template)])
     inside: dict[int, int] = {}
     for b in live:
         if b.main >= 0:

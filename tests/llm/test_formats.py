@@ -66,6 +66,19 @@ def test_wrappers_find_groups_and_slots(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+@pytest.mark.parametrize(
+    "page, text",
+    [
+        ("<body><div class='layout has-sidebar'><article><p>The text</p></article></div>", "The text"),
+        ("<body><div class='no-comments'><section id=content-with-sidebar><h1>Beside</h1><main><p>The text</p><div class=ad>buy</div></main></section><div class=ad>buy</div></div>", "The text"),
+        ("<body><div class=related><article>Teaser that is longer than all</article></div><article>Text</article>", "Text"),
+        ("<body><div class=has-sidebar><article class=comment>A long reader comment</article><article>Text</article></div>", "Text"),
+    ],
+)
+def test_names_around_the_main_element(page, text):
+    assert html.extract(page) == text
+
+
 def test_copies_and_repeats_are_no_template(spark):
     def slots(pages):
         unlike = html.different([html.blocks(p)[1] for p in pages])
