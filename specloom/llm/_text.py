@@ -1,12 +1,14 @@
 """Vectorised words and hashes over Arrow batches of texts.
 
 A word is ``[^\\x20\\x09-\\x0D]+`` after lower-casing A-Z. All separators are ASCII, so words are cut on UTF-8 bytes.
-A word's hash is a polynomial over random byte values, read off one prefix sum for the whole chunk, then mixed.
+A word's hash starts from its length and takes in eight bytes at a time, each followed by a bijective mix; words above ``LONG`` bytes are
+hashed by BLAKE2. So no family of words collides by its structure; two different words have equal hashes with a probability of 2^-64.
 Everything works on chunks of a few MB, so memory does not follow the batch or the table.
 """
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -17,25 +19,15 @@ U64 = np.uint64
 CHUNK = 1 << 21
 SHINGLE = 5
 
-_rng = np.random.Generator(np.random.PCG64(20240229))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-_BYTE[65:91] = _BYTE[97:123]
+LONG = 256
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] = _LOWER[97:123]
 _SEP = np.zeros(256, bool)
 _SEP[[32, 9, 10, 11, 12, 13]] = True
 _BASE = U64(0x9E3779B97F4A7C15)
-_UNBASE = U64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 _STEP = U64(0xD6E8FEB86659FD93)
-_pow: list[np.ndarray] = [np.ones(1, U64), np.ones(1, U64)]
-
-
-def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_pow[0]) < n:
-        size = max(n, CHUNK + (1 << 17))
-        for k, base in enumerate((_BASE, _UNBASE)):
-            p = np.full(size, base, U64)
-            p[0] = 1
-            _pow[k] = np.multiply.accumulate(p)
-    return _pow[0], _pow[1]
+_SEED = U64(0x2545F4914F6CDD1D)
+_FIRST = np.array([(1 << 8 * k) - 1 for k in range(9)], U64)  # masks of the first k bytes
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -72,18 +64,44 @@ def chunks(column: pa.Array, size: int = CHUNK) -> Iterator[tuple[int, int, np.n
         a = b
 
 
+def eights(raw: np.ndarray) -> np.ndarray:
+    """The eight bytes that begin at each place, as one number; beyond the end lie zeros."""
+    padded = np.concatenate([raw, np.zeros(8, np.uint8)])
+    return np.ndarray(len(raw) + 1, "<u8", padded, strides=(1,))
+
+
 @dataclass
 class Words:
     start: np.ndarray  # byte offsets in the chunk
     end: np.ndarray
     hash: np.ndarray
     first: np.ndarray  # n+1: where each text's words begin
-    sums: np.ndarray | None = None  # prefix sums behind the hashes
+    wide: np.ndarray | None = None  # eights of the lower-cased bytes
 
     def part(self, start: np.ndarray, end: np.ndarray, salt: int) -> np.ndarray:
-        """Hashes of the byte ranges start:end, apart from those of words and of other salts."""
-        h = (self.sums[end] - self.sums[start]) * _powers(len(self.sums))[1][start]
-        return mix(h + U64(salt * int(_BASE) & 0xFFFFFFFFFFFFFFFF))
+        """Hashes of the byte ranges start:end, of at most eight bytes, apart from those of words and of other salts."""
+        return mix(mix(self.wide[start] & _FIRST[end - start]) + U64(salt * int(_BASE) & 0xFFFFFFFFFFFFFFFF))
+
+
+def ranges(raw: np.ndarray, wide: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Hashes of the byte ranges start:end."""
+    size = end - start
+    h = mix(size.astype(U64) * _STEP + _SEED)
+    live, k = np.arange(len(start)), 0
+    long = np.flatnonzero(size > LONG)
+    if len(long):
+        live = np.flatnonzero(size <= LONG)
+    while len(live):
+        live = live[size[live] > k]
+        at, left = start[live] + k, size[live] - k
+        block = wide[at]
+        short = left < 8
+        block[short] &= _FIRST[left[short]]
+        h[live] = mix(h[live] ^ block)
+        k += 8
+    for i in long:
+        h[i] = int.from_bytes(hashlib.blake2b(raw[start[i] : end[i]].tobytes(), digest_size=8).digest(), "little")
+    return h
 
 
 def words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SEP) -> Words:
@@ -100,15 +118,9 @@ def words(raw: np.ndarray, offs: np.ndarray, separators: np.ndarray = _SEP) -> W
     stop = word
     stop[:-1] &= sep[1:] | edge[1:n]
     start, end = np.flatnonzero(begin), np.flatnonzero(stop) + 1
-    power, unpower = _powers(n)
-    v = _BYTE[raw]
-    v *= power[:n]
-    c = np.empty(n + 1, U64)
-    c[0] = 0
-    np.cumsum(v, out=c[1:])
-    h = (c[end] - c[start]) * unpower[start]
-    h += (end - start).astype(U64) * _STEP
-    return Words(start, end, mix(h), np.searchsorted(start, offs), c)
+    low = _LOWER[raw]
+    wide = eights(low)
+    return Words(start, end, ranges(low, wide, start, end), np.searchsorted(start, offs), wide)
 
 
 def shingles(w: Words, k: int = SHINGLE) -> tuple[np.ndarray, np.ndarray]:
