@@ -1,18 +1,16 @@
 """Suffix-array dedup: bytes of texts that lie in a repeated string of ``length`` bytes.
 
 1. Anchors. Every string of ``length`` bytes belongs to the ``GRAM``-byte string in it with the smallest hash (the first of equal ones), so copies belong to copies of
-   one anchor, and strings need comparing only among the places of one anchor.
+   one anchor, at one offset, and strings need comparing only among the places of one anchor. The strings of one place all differ.
 2. Anchors that occur once are dropped by a count; the others are sent, with the bytes of the strings that belong to them, to the shard of their hash.
-   Equal runs of bytes are kept once there.
-3. In a shard, suffixes are put in suffix order to the depth of ``length`` bytes, equal ones by position: in document order, then place. The previous and the next
-   smaller position in this order give the longest previous factor; it reaches ``length`` if the neighbour before is equal to that depth.
-   ``keep="first"`` removes strings with such an earlier match; ``keep="none"`` also those with a later one, that is, all copies.
-4. The union of removed strings is cut out of each text. Equal texts are found by their hashes and treated as one.
+   Equal runs of bytes are kept once there, compared by their bytes.
+3. In a shard, suffixes are sorted by their first ``length`` bytes, and the longest common prefixes of neighbours are read off the bytes, up to ``length``.
+   Positions count in document order, then by place. One pass over the suffix array finds each suffix's previous and next smaller position in suffix order and its
+   common prefix with both; the longer one is its longest previous factor. Where this reaches ``length``, the string is a copy of an earlier one.
+   ``keep="first"`` removes such strings; ``keep="none"`` also the earlier ones they copy, that is, all copies.
+4. The union of removed strings is cut out of each text. Equal texts are found by 128 bits of hashes and length and treated as one.
 
-Only neighbours that are equal to the full depth matter, so the order among unequal suffixes is free. ``order="fingerprint"`` sorts by a 64-bit hash of
-the ``length`` bytes; ``order="lexicographic"`` by prefix doubling, six sorts of every byte. Both give the same result.
-
-An anchor with more than ``max_places`` places is not gathered: its strings are counted by hash in pre-aggregated rows instead.
+An anchor with more than ``max_windows`` strings is not gathered in one task: its strings are counted by a 128-bit hash in pre-aggregated rows instead, with the same result.
 
 Texts are judged as UTF-8 bytes, whole, on the input; strings never cross texts. Null texts are empty. Texts shorter than ``length`` lose nothing.
 Rows with equal texts have equal results under ``keep="none"``; under ``keep="first"`` those with the smallest doc_id count as the first. Null doc_ids pass through and come first.
@@ -26,25 +24,26 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import _runtime, _text
 
-LENGTH, GRAM, MAX_PLACES, CHUNK, SLAB = 200, 40, 200_000, 1 << 18, 2 << 20
+LENGTH, GRAM, MAX_WINDOWS, CHUNK, SLAB, BATCH = 200, 40, 1 << 18, 1 << 18, 2 << 20, 1 << 15
 U64 = np.uint64
-_rng = np.random.Generator(np.random.PCG64(11))
-_BYTE = _rng.integers(1, 1 << 63, 256, dtype=np.uint64) * U64(2) + U64(1)
-
+_ODD = U64(0x9FB21C651E98DF25)
 
-def sums(raw: np.ndarray) -> np.ndarray:
-    c = np.zeros(len(raw) + 1, U64)
-    np.cumsum(_BYTE[raw] * _text._powers(len(raw))[0][: len(raw)], out=c[1:])
-    return c
 
-
-def hashes(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    return _text.mix((c[end] - c[start]) * _text._powers(len(c))[1][start])
+def gram_hashes(raw: np.ndarray, gram: int, seed: int = 0) -> np.ndarray:
+    """The hash of every string of ``gram`` (8 or more) bytes, eight bytes at a time; the last eight may overlap those before."""
+    wide, n = _text.eights(raw), len(raw) - gram + 1
+    h = np.full(n, U64(seed), U64)
+    for k in [*range(0, gram - 8, 8), gram - 8]:
+        h ^= wide[k : k + n]
+        h *= _ODD
+        h ^= h >> U64(29)
+    return _text.mix(h)
 
 
 def _sliding(x: np.ndarray, width: int, op) -> np.ndarray:
@@ -63,8 +62,7 @@ def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     if not (size >= length).any():
         z = np.zeros(0, np.int64)
         return z, z, z, z.astype(U64)
-    c = sums(raw)
-    full = _text.mix((c[gram:] - c[:-gram]) * _text._powers(n + 1)[1][: n - gram + 1])
+    full = gram_hashes(raw, gram)
     ranked = (full >> U64(32) << U64(32)) | np.arange(len(full), dtype=U64)
     owner = (_sliding(ranked, width, np.minimum) & U64(0xFFFFFFFF)).astype(np.int64)
     inside = np.zeros(n + 1, np.int32)  # strings that would cross texts do not count
@@ -79,39 +77,70 @@ def anchors(raw: np.ndarray, offs: np.ndarray, length: int = LENGTH, gram: int =
     return text, place - offs[text], np.diff(np.append(first, len(own))), full[own[first]]
 
 
-def suffix_ranks(buf: np.ndarray, depth: int) -> np.ndarray:
-    """Rank of each suffix by its first ``depth`` bytes, by prefix doubling from 8; beyond the end lie zeros."""
-    wide = np.lib.stride_tricks.sliding_window_view(np.concatenate([buf, np.zeros(8, np.uint8)]), 8)[: len(buf)]
-    rank, have = np.unique(np.ascontiguousarray(wide).view(">u8").ravel().astype(U64), return_inverse=True)[1].astype(np.int64) + 1, 8
-    while have < depth:
-        step = min(have, depth - have)
-        after = np.zeros(len(buf), np.int64)
-        after[:-step] = rank[step:] if step < len(buf) else 0
-        rank = np.unique(rank * (len(buf) + 2) + after, return_inverse=True)[1].astype(np.int64) + 1
-        have += step
-    return rank
-
-
-def suffix_keys(raw: np.ndarray, start: np.ndarray, length: int, order: str) -> np.ndarray:
-    """Keys of the suffixes at ``start``: equal exactly where the first ``length`` bytes are."""
-    if order == "lexicographic":
-        return suffix_ranks(raw, length)[start].astype(U64)
-    return hashes(sums(raw), start, start + length)
-
-
-def repeated_windows(raw: np.ndarray, first: np.ndarray, size: np.ndarray, group: np.ndarray, length: int, keep: str, order: str) -> tuple[np.ndarray, np.ndarray]:
-    """Of each run of bytes, the places of its first and last string that is repeated in its group (the last is -1 without any). Runs stand in global order inside a group."""
+def suffix_array(raw: np.ndarray, start: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """The suffixes at ``start`` (increasing) in the order of their first ``length`` bytes, equal ones by position, and the common prefix of each with the one before it (0 for the first)."""
+    n, width = len(start), -(-length // 8) * 8
+    if width == length:
+        rows = np.ascontiguousarray(np.lib.stride_tricks.sliding_window_view(raw, length)[start])
+    else:
+        rows = np.zeros((n, width), np.uint8)
+        rows[:, :length] = np.lib.stride_tricks.sliding_window_view(raw, length)[start]
+    order = _sorted(rows)
+    blocks = rows.view(U64)[order]
+    lcp = np.zeros(n, np.int64)
+    differ = blocks[1:] ^ blocks[:-1]
+    first = (differ != 0).argmax(1)
+    x = differ[np.arange(n - 1), first]
+    lcp[1:] = np.where(x == 0, length, first * 8 + (np.bitwise_count((x & (~x + U64(1))) - U64(1)) >> 3))
+    return order, lcp
+
+
+def _sorted(rows: np.ndarray) -> np.ndarray:
+    """The stable order of rows of bytes: by their first eight bytes, and ties by all."""
+    key = rows.view(">u8")[:, 0].astype(U64)
+    order = np.argsort(key, kind="stable")
+    tied = np.append(False, key[order][1:] == key[order][:-1])
+    tied[:-1] |= tied[1:]
+    at = np.flatnonzero(tied)
+    if len(at):
+        some = np.sort(order[at])
+        column = pa.FixedSizeBinaryArray.from_buffers(pa.binary(rows.shape[1]), len(some), [None, pa.py_buffer(np.ascontiguousarray(rows[some]))])
+        order[at] = some[pc.array_sort_indices(column).to_numpy()]
+    return order
+
+
+def previous_factors(suffixes: np.ndarray, lcp: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """By position: the previous and the next smaller position in suffix order (-1 without any), the length of the longest previous factor and where it lies.
+
+    One pass with a stack of positions that wait for a smaller one; each carries its common prefix with the one below it, its previous smaller position.
+    """
+    n = len(suffixes)
+    before, after, factor, source = [-1] * n, [-1] * n, [0] * n, [-1] * n
+    waiting, shared = [], []
+    for at, common in zip([*suffixes.tolist(), -1], [*lcp.tolist(), 0]):
+        while waiting and waiting[-1] > at:
+            top, below = waiting.pop(), shared.pop()
+            after[top] = at
+            if common > below:
+                factor[top], source[top], common = common, at, below
+            else:
+                factor[top], source[top] = below, before[top]
+        if at >= 0:
+            before[at] = waiting[-1] if waiting else -1
+            waiting.append(at)
+            shared.append(common if len(waiting) > 1 else 0)
+    return tuple(np.array(x, np.int64) for x in (before, after, factor, source))
+
+
+def repeated_windows(raw: np.ndarray, first: np.ndarray, size: np.ndarray, length: int, keep: str) -> tuple[np.ndarray, np.ndarray]:
+    """Of each run of bytes, the places of its first and last string that is repeated (the last is -1 without any). Runs stand in global order."""
     per = size - length + 1
     owner = np.repeat(np.arange(len(size)), per)
     place = np.arange(per.sum()) - np.repeat(np.cumsum(per) - per, per)
-    key = suffix_keys(raw, first[owner] + place, length, order)
-    key = _text.mix(key + group[owner].astype(U64) * _text._STEP)
-    suffixes = np.argsort(key, kind="stable")  # the suffix array, to the depth that matters; equal strings by position
-    same = key[suffixes][1:] == key[suffixes][:-1]
-    hit = np.zeros(len(key), bool)
-    hit[suffixes[1:][same]] = True  # the previous smaller position in suffix order is an equal string: an earlier match
+    _, _, factor, source = previous_factors(*suffix_array(raw, first[owner] + place, length))
+    hit = factor >= length
     if keep == "none":
-        hit[suffixes[:-1][same]] = True  # and so is the next: a later match
+        hit[source[hit]] = True
     lo, hi = np.full(len(size), 1 << 40), np.full(len(size), -1)
     np.minimum.at(lo, owner[hit], place[hit])
     np.maximum.at(hi, owner[hit], place[hit])
@@ -161,29 +190,25 @@ def _context_rows(rows: DataFrame, length: int) -> DataFrame:
     return rows.select("k1", "k2", "id", "x", "places").mapInArrow(run, "fp long, hot boolean, id long, k1 long, k2 long, start long, context binary")
 
 
-def _shard(contexts: DataFrame, length: int, keep: str, order: str) -> DataFrame:
+def _shard(contexts: DataFrame, length: int, keep: str) -> DataFrame:
     """(k1, k2, start, end) of the removed bytes among the strings of each anchor; rows come sorted by fp, id, k1, k2, start."""
 
     def slab(t: pa.Table) -> pa.RecordBatch:
         fp, k1, k2, start = (t.column(k).to_numpy() for k in (0, 2, 3, 4))
-        raw, offs = _text.buffers(t.column(5).combine_chunks())
-        raw, offs = raw[offs[0] : offs[-1]], offs - offs[0]
+        context = t.column(5).combine_chunks()
+        raw, offs = _text.buffers(context)
         size, n = np.diff(offs), len(fp)
         group = np.cumsum(np.append(True, fp[1:] != fp[:-1])) - 1
         again = np.append(False, (fp[1:] == fp[:-1]) & (k1[1:] == k1[:-1]) & (k2[1:] == k2[:-1]) & (start[1:] == start[:-1]))  # a repeated row
-        whole = _text.mix(hashes(sums(raw), offs[:-1], offs[1:]) + group.astype(U64) * _text._STEP + size.astype(U64))
-        alike = np.argsort(whole, kind="stable")
-        begin = np.append(True, whole[alike][1:] != whole[alike][:-1])
-        unique = np.empty(n, np.int64)
-        unique[alike] = alike[np.flatnonzero(begin)][np.cumsum(begin) - 1]  # the first run of equal bytes
+        code = context.dictionary_encode().indices.to_numpy()  # equal bytes, equal code
+        firsts, unique = (x.astype(np.int64) for x in np.unique(code, return_index=True, return_inverse=True)[1:])
+        unique = firsts[unique]
+        firsts = np.sort(firsts)
         times = np.bincount(unique[~again], minlength=n)
-        firsts = np.flatnonzero(unique == np.arange(n))
         lo, hi = np.zeros(n, np.int64), np.full(n, -1)
         per_group = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
-        many = firsts[(per_group[group[firsts]] > 1) | (size[firsts] > length)]
-        for part in _parts(many, group, size):
-            a = int(offs[part[0]])
-            lo[part], hi[part] = repeated_windows(raw[a : offs[part[-1] + 1]], offs[part] - a, size[part], group[part], length, keep, order)
+        for part in _parts(firsts[per_group[group[firsts]] > 1], group, size - length + 1):
+            lo[part], hi[part] = repeated_windows(raw, offs[part], size[part], length, keep)
         if keep == "none":
             more = firsts[times[firsts] > 1]
             lo[more], hi[more] = 0, size[more] - length
@@ -216,15 +241,15 @@ def _shard(contexts: DataFrame, length: int, keep: str, order: str) -> DataFrame
     return contexts.mapInArrow(run, "k1 long, k2 long, start long, end long")
 
 
-def _parts(rows: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[np.ndarray]:
-    """Runs of whole groups with about SLAB bytes."""
+def _parts(rows: np.ndarray, group: np.ndarray, windows: np.ndarray) -> Iterator[np.ndarray]:
+    """Runs of whole groups with about BATCH strings."""
     if not len(rows):
         return
     cut = np.flatnonzero(np.append(True, group[rows][1:] != group[rows][:-1]))
-    at = np.cumsum(size[rows])
+    at = np.cumsum(windows[rows])
     a = 0
     for b in np.append(cut[1:], len(rows)):
-        if at[b - 1] - (at[a - 1] if a else 0) >= SLAB or b == len(rows):
+        if at[b - 1] - (at[a - 1] if a else 0) >= BATCH or b == len(rows):
             yield rows[a:b]
             a = b
 
@@ -232,14 +257,22 @@ def _parts(rows: np.ndarray, group: np.ndarray, size: np.ndarray) -> Iterator[np
 def _counted(ws: _runtime.Workspace, contexts: DataFrame, length: int, keep: str) -> DataFrame:
     """As ``_shard``, for anchors with too many places to gather: one row for each string, counted by a 128-bit hash."""
 
+    def both(raw: np.ndarray) -> list[np.ndarray]:
+        """Two 64-bit hashes of each string, from those of its parts of 8 to 64 bytes."""
+        out, n, gram = [], len(raw) - length + 1, min(64, length)
+        for seed in (1, 2):
+            part, h = gram_hashes(raw, gram, seed), np.full(n, U64(seed), U64)
+            for k in [*range(0, length - gram, gram), length - gram]:
+                h = _text.mix(h ^ part[k : k + n])
+            out.append(h.view(np.int64))
+        return out
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i, k1, k2, start, x in zip(*(batch.column(k).to_pylist() for k in range(5))):
-                raw = np.frombuffer(x, np.uint8)
-                c, at = sums(raw), np.arange(len(raw) - length + 1)
-                h1, h2 = hashes(c, at, at + length), hashes(sums(raw ^ np.uint8(0x55)), at, at + length)
-                same = [np.full(len(at), v) for v in (k1, k2)]
-                yield pa.RecordBatch.from_arrays([pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array([i] * len(at), pa.int64()), *map(pa.array, same), pa.array(at + start)], ["h1", "h2", "id", "k1", "k2", "start"])
+                h1, h2 = both(np.frombuffer(x, np.uint8))
+                n = len(h1)
+                yield pa.RecordBatch.from_arrays([pa.array(h1), pa.array(h2), pa.array([i] * n, pa.int64()), *(pa.array(np.full(n, v)) for v in (k1, k2)), pa.array(np.arange(start, start + n))], ["h1", "h2", "id", "k1", "k2", "start"])
 
     rows = ws.put(contexts.select("id", "k1", "k2", "start", "context").mapInArrow(run, "h1 long, h2 long, id long, k1 long, k2 long, start long").distinct(), "strings")
     counts = ws.put(rows.groupBy("h1", "h2").agg(F.min(F.struct("id", "k1", "k2", "start")).alias("first"), F.count(F.lit(1)).alias("c")).where("c > 1"), "string-counts")
@@ -249,14 +282,14 @@ def _counted(ws: _runtime.Workspace, contexts: DataFrame, length: int, keep: str
     return found.select("k1", "k2", "start", (F.col("start") + length).alias("end"))
 
 
-def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "none", max_places: int = MAX_PLACES, order: str = "fingerprint") -> DataFrame:
+def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, gram: int = GRAM, keep: str = "none", max_windows: int = MAX_WINDOWS) -> DataFrame:
     """id, k1, k2, x, whole (the text is a copy to be removed as a whole) and spans (removed ranges, unmerged; null if none), for each row."""
-    assert keep in ("none", "first") and order in ("fingerprint", "lexicographic") and 8 <= gram < length
+    assert keep in ("none", "first") and 8 <= gram < length
     ws = _runtime.Workspace(docs.sparkSession, "substrings")
     rows, key = _keyed(docs, id_col, text_col), ["k1", "k2"]
     copies = ws.put(rows.groupBy(*key).agg(F.count(F.lit(1)).alias("c"), F.min(F.struct("id"))["id"].alias("first_id")).where("c > 1"), "copies")
     places = ws.put(_anchor_rows(rows.where(F.octet_length("x") >= length), length, gram), "anchors")
-    common = ws.put(places.groupBy("fp").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("fp", (F.col("c") > max_places).alias("hot")), "common")
+    common = ws.put(places.groupBy("fp").agg(F.count(F.lit(1)).alias("c"), F.sum("n").alias("n")).where("c > 1").select("fp", (F.col("n") > max_windows).alias("hot")), "common")
     wanted = places.join(common.hint("merge"), "fp").groupBy(*key).agg(F.collect_set(F.struct("place", "n", "fp", "hot")).alias("places"))
     wanted = ws.put(wanted.join(copies.hint("merge"), key, "left"), "places")
     ws.drop(places, common)
@@ -265,7 +298,7 @@ def spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lengt
     contexts = ws.put(_context_rows(one, length), "contexts")
     ws.drop(wanted)
     cold = contexts.where("not hot").select("fp", "id", "k1", "k2", "start", "context").repartition("fp").sortWithinPartitions("fp", "id", "k1", "k2", "start")
-    marks = _shard(cold, length, keep, order)
+    marks = _shard(cold, length, keep)
     hot = contexts.where("hot")
     if not hot.isEmpty():
         marks = marks.unionByName(_counted(ws, hot, length, keep))

@@ -4,7 +4,10 @@ import hashlib
 import re
 
 import duckdb
+import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
 
 from specloom.llm import components, lines, neardup, substrings
 from specloom.llm._runtime import Workspace
@@ -167,11 +170,29 @@ def string_rows(rng):
     return rows + [(40 + k, words(rng, 5) + " " + b[:70] + " " + words(rng, 5)) for k in range(12)]
 
 
-@pytest.mark.parametrize("keep, order, places", [("none", "fingerprint", 10**6), ("none", "lexicographic", 10**6), ("none", "fingerprint", 2), ("first", "fingerprint", 10**6), ("first", "fingerprint", 2)])
-def test_substrings_match_brute_force(make, rng, keep, order, places):
+@settings(max_examples=150, deadline=None)
+@given(st.binary(min_size=12, max_size=120).map(lambda b: bytes(x & 1 for x in b)), st.sampled_from([8, 11, 12]))
+def test_smaller_positions_and_previous_factors(data, length):
+    raw = np.frombuffer(data, np.uint8)
+    n = len(data) - length + 1
+    sa, lcp = substrings.suffix_array(raw, np.arange(n), length)
+    win = [data[p : p + length] for p in range(n)]
+    common = lambda x, y: next((k for k in range(length) if x[k] != y[k]), length)
+    assert sa.tolist() == sorted(range(n), key=lambda p: (win[p], p))
+    assert lcp.tolist() == [0, *(common(win[a], win[b]) for a, b in zip(sa[:-1], sa[1:]))]
+    before, after, factor, source = substrings.previous_factors(sa, lcp)
+    for r, p in enumerate(sa.tolist()):
+        assert before[p] == next((q for q in sa[:r][::-1].tolist() if q < p), -1) and after[p] == next((q for q in sa[r + 1 :].tolist() if q < p), -1)
+        assert factor[p] == max((common(win[p], win[q]) for q in range(p)), default=0) and (not factor[p] or (source[p] < p and common(win[p], win[source[p]]) == factor[p]))
+
+
+@pytest.mark.parametrize("keep, length, gram, windows", [("none", 40, 12, 10**6), ("none", 40, 12, 2), ("first", 40, 12, 10**6), ("first", 40, 12, 2), ("none", 44, 13, 10**6), ("none", 200, 40, 10**6), ("none", 200, 40, 2)])
+def test_substrings_match_brute_force(make, rng, keep, length, gram, windows):
     rows = string_rows(rng)
-    got = substrings.dedup(make(rows), length=40, gram=12, keep=keep, order=order, max_places=places).collect()
-    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated(rows, 40, keep)
+    if length == 200:
+        rows = [(i, t and "".join(w + w[::-1] + w for w in t.split(" "))) for i, t in rows]
+    got = substrings.dedup(make(rows), length=length, gram=gram, keep=keep, max_windows=windows).collect()
+    assert sum(r.n_removed for r in got) and sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated(rows, length, keep)
     for r in got:
         assert hashlib.sha256(r.kept).hexdigest() == r.kept_sha256 and sum(s.end - s.start for s in r.spans) == r.n_removed
 
