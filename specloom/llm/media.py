@@ -3,7 +3,10 @@
 ``describe`` turns a binary column into codec, time scale, duration and keyframe byte ranges; ``mux`` writes payloads as 8-bit samples of
 one ``raw `` track; ``read_samples`` cuts the stored bytes back out by the sample table.
 
-A null or empty file, or one whose boxes do not fit, has status ``empty`` or ``bad: reason`` and no tracks. Repeated rows give repeated results;
+Boxes are walked with a stack of their own, so depth is not bounded. Samples of movie fragments (``trun`` under its ``tfhd`` and the track's ``trex``) follow those of the
+sample tables. All tracks are described; the first one with samples also stands in the row's own columns.
+
+A null or empty file, or one whose boxes do not fit, has status ``empty`` or ``bad: reason`` and no tracks. Null ids pass through. Repeated rows give repeated results;
 an empty table gives none; other columns are not read. Sizes above 4 GB use 64-bit box sizes and chunk offsets.
 """
 
@@ -35,13 +38,36 @@ class BadMedia(ValueError):
 class Track:
     codec: str = ""
     handler: str = ""
+    number: int = 0
     timescale: int = 0
     duration: int = 0
     tables: dict = field(default_factory=dict)
+    runs: list = field(default_factory=list)  # of fragments: (start, length, whether sync) of each sample
+    lasted: int = 0  # by the fragments
+
+
+@dataclass
+class Fragment:
+    """Where a track's fragment takes its bytes from, and what holds for samples that say nothing themselves."""
 
+    track: Track | None = None
+    at: int = 0
+    duration: int = 0
+    size: int = 0
+    flags: int = 0
+
+
+@dataclass
+class Movie:
+    tracks: list[Track] = field(default_factory=list)
+    defaults: dict[int, tuple] = field(default_factory=dict)  # track number -> (duration, size, flags)
+    moof: int = 0
+    end: int = 0  # of the last run of samples
+    fragment: Fragment = field(default_factory=Fragment)
 
-def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
-    """(type, payload start, payload end) of the boxes in data[at:end]."""
+
+def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int, int]]:
+    """(type, start, payload start, payload end) of the boxes in data[at:end]."""
     while at < end:
         if end - at < 8:
             raise BadMedia("truncated box header")
@@ -57,28 +83,35 @@ def boxes(data: bytes, at: int, end: int) -> Iterator[tuple[bytes, int, int]]:
             head += 16
         if size < head or at + size > end:
             raise BadMedia(f"box {kind!r} does not fit")
-        yield kind, at + head, at + size
+        yield kind, at, at + head, at + size
         at += size
 
 
 def walk(data: bytes) -> list[Track]:
     """The tracks of a file, with their sample tables as arrays."""
-    tracks: list[Track] = []
-
-    def visit(at: int, end: int) -> None:
-        for kind, a, b in boxes(data, at, end):
-            if kind == b"trak":
-                tracks.append(Track())
+    movie, open_ = Movie(), [boxes(data, 0, len(data))]
+    while open_:
+        box = next(open_[-1], None)
+        if box is None:
+            open_.pop()
+            continue
+        kind, at, a, b = box
+        if kind == b"trak":
+            movie.tracks.append(Track())
+        elif kind == b"moof":
+            movie.moof = movie.end = at
+        elif kind == b"traf":
+            movie.fragment = Fragment()
+        try:
             if kind in NESTED:
-                visit(a, b)
-            elif tracks and kind in READ:
-                try:
-                    READ[kind](tracks[-1], data, a, b)
-                except (struct.error, ValueError) as e:
-                    raise BadMedia(f"{kind!r}: {e}") from None
-
-    visit(0, len(data))
-    return tracks
+                open_.append(boxes(data, a, b))
+            elif kind in FRAGMENTS:
+                FRAGMENTS[kind](movie, data, a, b)
+            elif movie.tracks and kind in READ:
+                READ[kind](movie.tracks[-1], data, a, b)
+        except (struct.error, ValueError, IndexError) as e:
+            raise BadMedia(f"{kind!r}: {e}") from None
+    return movie.tracks
 
 
 def _array(data: bytes, at: int, end: int, kind: str, n: int, width: int = 1) -> np.ndarray:
@@ -88,6 +121,10 @@ def _array(data: bytes, at: int, end: int, kind: str, n: int, width: int = 1) ->
     return np.frombuffer(data, kind, n * width, at).astype(np.int64).reshape(-1, width) if width > 1 else np.frombuffer(data, kind, n, at).astype(np.int64)
 
 
+def _tkhd(t: Track, d: bytes, a: int, b: int) -> None:
+    t.number = struct.unpack_from(">I", d, a + (20 if d[a] == 1 else 12))[0]
+
+
 def _mdhd(t: Track, d: bytes, a: int, b: int) -> None:
     t.timescale, t.duration = struct.unpack_from(">IQ", d, a + 20) if d[a] == 1 else struct.unpack_from(">II", d, a + 12)
 
@@ -113,7 +150,56 @@ def _table(name: str, kind: str, width: int):
     return read
 
 
-READ = {b"mdhd": _mdhd, b"hdlr": _hdlr, b"stsd": _stsd, b"stsz": _stsz, b"stts": _table("time", ">u4", 2), b"stsc": _table("chunk", ">u4", 3), b"stss": _table("sync", ">u4", 1), b"stco": _table("offset", ">u4", 1), b"co64": _table("offset", ">u8", 1)}
+def _trex(m: Movie, d: bytes, a: int, b: int) -> None:
+    number, _, duration, size, flags = struct.unpack_from(">5I", d, a + 4)
+    m.defaults[number] = duration, size, flags
+
+
+def _tfhd(m: Movie, d: bytes, a: int, b: int) -> None:
+    said, number = struct.unpack_from(">II", d, a)
+    track = next((t for t in m.tracks if t.number == number), None)
+    if track is None:
+        raise BadMedia("a fragment of no track")
+    f = m.fragment = Fragment(track, m.moof if said & 0x20000 else m.end, *m.defaults.get(number, (0, 0, 0)))
+    at = a + 8
+    for bit, form, name in ((0x1, ">Q", "at"), (0x2, ">I", None), (0x8, ">I", "duration"), (0x10, ">I", "size"), (0x20, ">I", "flags")):
+        if said & bit:
+            if name:
+                setattr(f, name, struct.unpack_from(form, d, at)[0])
+            at += struct.calcsize(form)
+    m.end = f.at
+
+
+def _trun(m: Movie, d: bytes, a: int, b: int) -> None:
+    f = m.fragment
+    if f.track is None:
+        raise BadMedia("a run before its fragment's header")
+    said, n = struct.unpack_from(">II", d, a)
+    at, start, first = a + 8, m.end, None
+    if said & 0x1:
+        start = f.at + struct.unpack_from(">i", d, at)[0]
+        at += 4
+    if said & 0x4:
+        first = struct.unpack_from(">I", d, at)[0]
+        at += 4
+    each = [name for bit, name in ((0x100, "duration"), (0x200, "size"), (0x400, "flags"), (0x800, "shift")) if said & bit]
+    if n > len(d):
+        raise BadMedia("more samples than the file has bytes")
+    table = _array(d, at, b, ">u4", n, len(each)).reshape(n, len(each)) if each else np.zeros((n, 0), np.int64)
+    of = {name: table[:, each.index(name)] if name in each else np.full(n, getattr(f, name), np.int64) for name in ("duration", "size", "flags")}
+    if first is not None and n and "flags" not in each:
+        of["flags"][0] = first
+    end = start + np.cumsum(of["size"])
+    if n:
+        if start < 0 or end[-1] > len(d):
+            raise BadMedia("a sample lies outside the file")
+        m.end = int(end[-1])
+        f.track.runs.append(np.stack([end - of["size"], of["size"], (of["flags"] >> 16 & 1) == 0], 1))
+        f.track.lasted += int(of["duration"].sum())
+
+
+FRAGMENTS = {b"trex": _trex, b"tfhd": _tfhd, b"trun": _trun}
+READ = {b"tkhd": _tkhd, b"mdhd": _mdhd, b"hdlr": _hdlr, b"stsd": _stsd, b"stsz": _stsz, b"stts": _table("time", ">u4", 2), b"stsc": _table("chunk", ">u4", 3), b"stss": _table("sync", ">u4", 1), b"stco": _table("offset", ">u4", 1), b"co64": _table("offset", ">u8", 1)}
 
 
 def sample_ranges(t: Track, file_size: int) -> np.ndarray:
@@ -207,36 +293,46 @@ def mux(payload: bytes, unit: int = UNIT, key_every: int = KEY_EVERY, per_chunk:
     return b"".join([_FTYP, moov(len(_FTYP) + size + head), _box(b"mdat", payload)])
 
 
+def _track(t: Track, file_size: int) -> dict:
+    ranges = sample_ranges(t, file_size)
+    keys = keyframes(t, ranges)
+    if t.runs:
+        runs = np.concatenate(t.runs).astype(np.int64)
+        ranges, keys = np.concatenate([ranges, runs[:, :2]]), np.concatenate([keys, runs[runs[:, 2] == 1, :2]])
+    return {"codec": t.codec, "handler": t.handler, "timescale": t.timescale, "duration": t.duration or t.lasted, "n_samples": len(ranges), "keyframes": keys, "ranges": ranges}
+
+
 def features(data: bytes | None) -> dict:
     """What ``describe`` stores of one file."""
+    none = {"codec": None, "handler": None, "timescale": None, "duration": None, "n_samples": 0, "keyframes": np.zeros((0, 2), np.int64), "ranges": np.zeros((0, 2), np.int64)}
     if not data:
-        return {"status": "empty", "codec": None, "timescale": None, "duration": None, "n_samples": 0, "keyframes": np.zeros((0, 2), np.int64), "ranges": np.zeros((0, 2), np.int64)}
+        return none | {"status": "empty", "tracks": []}
     try:
-        tracks = [t for t in walk(data) if t.tables]
+        tracks = [_track(t, len(data)) for t in walk(data) if t.tables or t.runs]
         if not tracks:
             raise BadMedia("no track")
-        t = tracks[0]
-        ranges = sample_ranges(t, len(data))
-        return {"status": "ok", "codec": t.codec, "timescale": t.timescale, "duration": t.duration, "n_samples": len(ranges), "keyframes": keyframes(t, ranges), "ranges": ranges}
+        return next((t for t in tracks if t["n_samples"]), tracks[0]) | {"status": "ok", "tracks": tracks}
     except BadMedia as e:
-        return features(None) | {"status": f"bad: {e}"}
+        return none | {"status": f"bad: {e}", "tracks": []}
 
 
-DESCRIBED = "status string, codec string, timescale long, duration long, n_samples long, keyframes array<struct<start: long, length: long>>"
+_RANGES = "array<struct<start: long, length: long>>"
+DESCRIBED = f"status string, codec string, timescale long, duration long, n_samples long, keyframes {_RANGES}, tracks array<struct<codec: string, handler: string, timescale: long, duration: long, n_samples: long, keyframes: {_RANGES}>>"
 _KEYS = pa.list_(pa.struct([("start", pa.int64()), ("length", pa.int64())]))
+_OF = [("codec", pa.string()), ("handler", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()), ("keyframes", _KEYS)]
+_OWN = [("status", pa.string()), *(c for c in _OF if c[0] != "handler"), ("tracks", pa.list_(pa.struct(_OF)))]
 
 
 def describe(df: DataFrame, id_col: str, media_col: str) -> DataFrame:
-    """(id, status, codec, timescale, duration, n_samples, keyframes) of each row's file, from its first track with samples."""
+    """(id, status, codec, timescale, duration, n_samples, keyframes, tracks) of each row's file."""
     _runtime.ship(df.sparkSession)
     kind = dict(df.dtypes)[id_col]
+    plain = lambda t: t | {"keyframes": [{"start": int(s), "length": int(n)} for s, n in t["keyframes"]]}
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            got = [features(x.as_py()) for x in b.column(1)]
-            cols = [pa.array([g[k] for g in got], t) for k, t in (("status", pa.string()), ("codec", pa.string()), ("timescale", pa.int64()), ("duration", pa.int64()), ("n_samples", pa.int64()))]
-            keys = pa.array([[{"start": int(s), "length": int(n)} for s, n in g["keyframes"]] for g in got], _KEYS)
-            yield pa.RecordBatch.from_arrays([b.column(0), *cols, keys], ["id", "status", "codec", "timescale", "duration", "n_samples", "keyframes"])
+            got = [plain(f) | {"tracks": [plain(t) for t in f["tracks"]]} for f in (features(x.as_py()) for x in b.column(1))]
+            yield pa.RecordBatch.from_arrays([b.column(0), *(pa.array([g[k] for g in got], t) for k, t in _OWN)], ["id", *(k for k, _ in _OWN)])
 
     return df.select(F.col(id_col).alias("id"), F.col(media_col).alias("media")).mapInArrow(run, f"id {kind}, {DESCRIBED}").withColumnRenamed("id", id_col)
 
