@@ -77,7 +77,7 @@ def _distinct(group: np.ndarray, feature: np.ndarray) -> tuple[np.ndarray, np.nd
     return key >> BITS, key & ((1 << BITS) - 1)
 
 
-def train(texts: list[str], toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
+def train(texts: list[str] | pa.Array, toxic: np.ndarray, max_words: int = MAX_WORDS, steps: int = 300, rate: float = 0.1, decay: float = 2e-4) -> Model:
     """Fits sentence weights to document labels by Adam on the noisy-or likelihood.
 
     A first pass counts each feature's documents by label and keeps those whose log odds are ``Z`` standard errors or more from 0; a second gathers the sentences that hold them.
@@ -85,7 +85,7 @@ def train(texts: list[str], toxic: np.ndarray, max_words: int = MAX_WORDS, steps
     y = np.asarray(toxic, np.float64)
     if not len(y) or y.min() == y.max():
         return Model(np.zeros(0, np.int64), np.zeros(0), 0.0, float(y.mean()) if len(y) else 0.0)
-    column = pa.array(texts, pa.string())
+    column = texts if isinstance(texts, pa.Array) else pa.array(texts, pa.string())
     all_docs, pos = np.zeros(1 << BITS, np.float32), np.zeros(1 << BITS, np.float32)
     for a, b, raw, offs in _text.chunks(column, 1 << 19):
         w = _text.words(raw, offs, _SEP)
@@ -108,8 +108,8 @@ def train(texts: list[str], toxic: np.ndarray, max_words: int = MAX_WORDS, steps
             f = new[features(w)]
             row, word = np.nonzero(f >= 0)
             s, f = _distinct(of[word], f[row, word].astype(np.int64))
-            sents.append(s + at)
-            feats.append(f)
+            sents.append((s + at).astype(np.int32))
+            feats.append(f.astype(np.int32))
         doc_of.append(np.repeat(np.arange(a, b), np.diff(first)))
         n_sent.append(np.diff(first))
         at += int(first[-1])
@@ -137,22 +137,39 @@ def fold(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % k
 
 
+FITTED = "places array<long>, weights array<double>, bias double, constant double"
+_FITTED = pa.schema([("places", pa.list_(pa.int64())), ("weights", pa.list_(pa.float64())), ("bias", pa.float64()), ("constant", pa.float64())])
+
+
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", folds: int = 5, max_docs: int = MAX_DOCS, max_bytes: int = MAX_BYTES) -> Model:
-    """A model of a bounded sample of labelled documents outside fold 0."""
-    said = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).alias("y")).where(fold(F.col("id"), folds) != 0)
-    sized = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("n")).join(said, "id")
+    """A model of a bounded sample of labelled documents outside fold 0, trained in one task; the driver sees ids and sizes of the sample and the finished weights.
+
+    Of rows with equal doc_id the shortest text is the document's, the first in byte order of equally long ones.
+    """
+    spark = docs.sparkSession
+    _runtime.ship(spark)
+    said = labels.where(F.col(label_col).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.max(label_col).cast("int").alias("y")).where(fold(F.col("id"), folds) != 0)
+    sized = docs.select(F.col(id_col).alias("id"), F.octet_length(F.coalesce(text_col, F.lit(""))).alias("n")).join(said, "id").groupBy("id", "y").agg(F.min("n").alias("n"))
     taken, room = [], max_bytes
-    for r in sized.orderBy(F.xxhash64("id"), "id", "n").limit(max_docs).collect():
+    for r in sized.orderBy(F.xxhash64("id"), "id").limit(max_docs).collect():
         if r.n <= room:
-            taken.append(r.id)
+            taken.append((r.id, r.n, r.y))
             room -= r.n
     if not taken:
         return train([], np.zeros(0))
-    # By id, not by a join: Spark then reads the chosen rows in one narrow pass.
-    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("x")).join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(set(taken))], "id long")), "id", "left_semi")
-    y = {r.id: r.y for r in said.join(F.broadcast(docs.sparkSession.createDataFrame([(i,) for i in sorted(set(taken))], "id long")), "id", "left_semi").collect()}
-    rows = sorted(((r.id, r.x) for r in chosen.toLocalIterator()), key=lambda r: r[0])
-    return train([x for _, x in rows], np.array([y[i] for i, _ in rows]))
+    # By id, not by a join of large tables: Spark then reads the chosen rows in one narrow pass.
+    ids = F.broadcast(spark.createDataFrame(taken, "id long, n int, y int"))
+    chosen = docs.select(F.col(id_col).alias("id"), F.coalesce(text_col, F.lit("")).alias("x")).withColumn("n", F.octet_length("x")).join(ids, ["id", "n"]).groupBy("id", "y").agg(F.min("x").alias("x"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if len(b)]
+        if held:
+            t = pa.Table.from_batches(held).sort_by("id").combine_chunks()
+            m = train(t.column(2).combine_chunks(), t.column(1).to_numpy())
+            yield pa.RecordBatch.from_arrays([pa.array([m.places.tolist()], _FITTED.types[0]), pa.array([m.weights.tolist()], _FITTED.types[1]), pa.array([m.bias]), pa.array([m.constant], pa.float64())], schema=_FITTED)
+
+    (m,) = chosen.select("id", "y", "x").coalesce(1).mapInArrow(run, FITTED).collect()
+    return Model(np.array(m.places, np.int64), np.array(m.weights, float), m.bias, m.constant)
 
 
 OUT = "score double, worst_start long, worst_end long, worst_score double"
@@ -205,7 +222,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", keep: tuple[str
 
 
 def drop(docs: DataFrame, model: Model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, with all columns, whose score is below ``threshold``."""
+    """The rows of ``docs``, with all columns, whose score is below ``threshold``; rows with null or empty texts stay, repeated rows stay or go together."""
     _runtime.ship(docs.sparkSession)
     at = docs.columns.index(text_col)
 
