@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import duckdb
 import numpy as np
@@ -89,12 +90,13 @@ def test_components_of_chains_and_stars(spark):
 
 
 def line_rows(rng):
-    run = [words(rng, 4) for _ in range(5)]
+    run, long = [words(rng, 4) for _ in range(5)], words(rng, 50)
     text = lambda *x: "\n".join(x)
     solo = [words(rng, 3) for _ in range(30)]
     rows = [
         (1, text(solo[0], *run, solo[1])), (2, text(*run)), (3, text(run[0], run[1], solo[2], run[2], run[3])), (4, text(run[2], "", "  ", run[3], " " + run[4] + " ", solo[3])), (5, text(*run[1:4], *run[1:4])),
         (6, text("a", "a", "a", "a", "a")), (7, text("a", "b")), (8, ""), (9, None), (10, text(*run, *run)), (11, text(*(words(rng, 2) for _ in range(3000)))), (12, text(solo[4], *run[:3])), (0, text(run[1], run[2], run[3])), (13, "\n\n"), (14, "last\n"),
+        (15, long), (16, text(solo[5], "  " + long + " ")), (17, text("\t" + long, solo[6])), (18, text(long[:-1] + "\x0b" + long[-1], "\t" + long)),
     ]
     return rows
 
@@ -137,6 +139,13 @@ def test_long_lines_are_runs_by_themselves(make, rng):
     assert {r.doc_id: r.text for r in lines.dedup(make(rows), long_words=None).collect()} == dict(rows)
 
 
+def test_one_text_of_very_many_lines(make, rng):
+    many = "\n".join(words(rng, 2) + str(k) for k in range(150_000))
+    began = time.monotonic()
+    got = {r.doc_id: r for r in lines.dedup(make([(1, many), (2, many + "\nend")]), counts=True).collect()}
+    assert got[1].text == many and got[2].text == "end" and got[2].n_removed == 150_000 and time.monotonic() - began < 60
+
+
 # --- substrings
 
 
