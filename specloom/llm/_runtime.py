@@ -13,16 +13,27 @@ from ..shipping import ship as ship
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset (tests)."""
+    """The folder that the cluster names in spark.checkpoint.dir; one of our own only where that is unset and driver and executors are one process (tests)."""
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if conf:
         return conf.rstrip("/")
+    if not spark.sparkContext.master.split("[")[0] == "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     own = tempfile.mkdtemp(prefix="shared-")
     atexit.register(shutil.rmtree, own, ignore_errors=True)
     spark.conf.set("spark.checkpoint.dir", f"file://{own}")
     return f"file://{own}"
 
 
+#: A written table of at most so many bytes is sent to all executors in a join; a larger one is joined by sorting.
+BESIDE_BYTES = 8 << 20
+
+
+def beside(written: DataFrame, size: int) -> DataFrame:
+    """A written table with its join strategy, by its counted size in bytes: no plan depends on estimates."""
+    return written.hint("broadcast" if size <= BESIDE_BYTES else "merge")
+
+
 class Workspace:
     """Named tables in the shared folder. They cut lineage: after a lost executor, Spark rereads them instead of recomputing.
 

@@ -3,7 +3,9 @@
 import hashlib
 import json
 import os
+import re
 import struct
+import time
 import zlib
 
 import numpy as np
@@ -45,19 +47,18 @@ def test_main_text(page, text):
     assert html.extract(page) == text
 
 
+def flat(nodes):
+    for n in nodes:
+        yield n
+        yield from flat(n.group)
+
+
 def test_wrappers_find_groups_and_slots(spark):
     page = lambda k, n, extra="": f"<html><body><div class=top>Daily News</div><div class=body><h1>Title {k}</h1>{''.join(f'<p>Paragraph {k} {j} of the text</p>' for j in range(n))}</div>{extra}<div class=low>All rights kept</div></body></html>"
     pages = [page(1, 2), page(2, 4), page(3, 1, "<div class=box>Extra</div>"), page(4, 3)]
-    wrapper = html.infer([html.blocks(p)[1] for p in pages])
-
-    def flat(nodes):
-        for n in nodes:
-            yield n
-            yield from flat(n.group)
-
+    wrapper = html.infer([html.parse(p).stream for p in pages])
     assert any(n.repeated and n.group for n in flat(wrapper)) and any(n.optional for n in flat(wrapper))
-    slots = {t for _, t in html.template_slots(wrapper, 4)}
-    assert slots == {"Daily News", "All rights kept"}
+    assert {t for _, t in html.slots(wrapper, 4)[0]} == {"Daily News", "All rights kept"}
     rows = [(k, "http://Site.example/x" if k < 5 else None, p, "clash") for k, p in enumerate([*pages, None, "", page(9, 2)])] + [(0, "http://site.example/y", pages[0], "clash")]
     df = spark.createDataFrame(rows, "page_id long, url string, html string, host string")
     got = {(r.page_id, r.url): r for r in html.extract_pages(df).collect()}
@@ -66,6 +67,59 @@ def test_wrappers_find_groups_and_slots(spark):
     assert html.extract_pages(df.where("false")).count() == 0
 
 
+def regex(nodes):
+    """The wrapper as a plain regular expression over one letter for each shape."""
+    letters = {}
+
+    def one(n):
+        body = "".join(map(one, n.group)) if n.group else re.escape(letters.setdefault(n.shape, chr(0x4E00 + len(letters))))
+        return f"(?:{body}){'*' if n.optional and n.repeated else '+' if n.repeated else '?' if n.optional else ''}"
+
+    return "".join(map(one, nodes)), letters
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.lists(st.lists(st.sampled_from(["<p>x</p>", "<ul><li>a</li></ul>", "<ul><li>a</li><li>b</li></ul>", "<div class=k><p>y</p></div>", "<h1>t</h1>", "<br>", "z", "<table><tr><td>1</td><td>2</td></tr></table>"]), max_size=8), min_size=1, max_size=5))
+def test_a_wrapper_matches_all_its_pages(pages):
+    streams = [html.parse("<body>" + "".join(p) + "</body>").stream for p in pages]
+    wrapper = html.infer(streams)
+    pattern, letters = regex(wrapper)
+    for s in streams:
+        assert re.fullmatch(pattern, "".join(letters[t[0]] for t in s))
+    # each slot knows the texts of the pages: none is noted that a page does not have, none is lost
+    noted = {(t, k) for n in flat(wrapper) if not n.group for t, on in n.texts.items() for k in on}
+    assert noted == {(t[3], k) for k, s in enumerate(streams) for t in s if t[0] == "#"}
+
+
+def site(k, body, side=""):
+    return f"<html><body><div class=sitewide><p>The same house notice on every page of it</p></div><div class='layout sidebar'><div class=story><h1>Title {k}</h1>{body}<p>Written by the house staff</p></div></div><div class=more><p>Next {side}</p></div></body></html>"
+
+
+def test_the_wrapper_decides(spark):
+    body = lambda k: "".join(f"<p>Paragraph {k} {j} tells what happened there</p>" for j in range(3))
+    want = lambda k: f"Title {k} " + " ".join(f"Paragraph {k} {j} tells what happened there" for j in range(3))
+    pages = [site(k, body(k), f"teaser {k}") for k in range(6)]
+    wrapper = html.learn([html.parse(p) for p in pages])
+    for k, p in enumerate(pages):
+        assert html.extract(p, wrapper) == want(k)  # fixed slots go inside the main element too, and its own name does not switch it off
+        assert html.extract(p) != want(k)
+    articles = [f"<body><article><p>Sign in to read all of our stories</p>{body(k)}</article><article><p>Other {k}</p></article></body>" for k in range(5)]
+    wrapper = html.learn([html.parse(p) for p in articles])
+    assert [html.extract(p, wrapper) for p in articles] == [want(k).removeprefix(f"Title {k} ") for k in range(5)]
+    assert "Sign in" in html.extract(articles[0])
+    long = [site(k, "".join(f"<p>Line {k} {j} of a very long page</p>" for j in range(4000)), f"teaser {k}") for k in range(4)]  # pages above 64 KB have wrappers too
+    rows = [(k, "http://long.example/", p) for k, p in enumerate(long)]
+    got = {r.page_id: r.text for r in html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title {k} " + " ".join(f"Line {k} {j} of a very long page" for j in range(4000)) for k in range(4))
+
+
+def test_deep_pages_take_time_in_proportion():
+    began = time.monotonic()
+    assert html.extract("<div>x" * 100_000) == " ".join("x" * 100_000)
+    assert html.extract("<article>" + "<p><b><i>y" * 50_000).count("y") == 50_000
+    assert time.monotonic() - began < 15
+
+
 @pytest.mark.parametrize(
     "page, text",
     [
@@ -80,17 +134,13 @@ def test_names_around_the_main_element(page, text):
 
 
 def test_copies_and_repeats_are_no_template(spark):
-    def slots(pages):
-        unlike = html.different([html.blocks(p)[1] for p in pages])
-        return {t for _, t in html.template_slots(html.infer(unlike), len(unlike))}
-
     copy = "<body><p>The same whole article on two pages.</p><p>And its end.</p></body>"
     rows = [(k, "http://two.example/", copy) for k in range(2)] + [(k, "http://many.example/", copy if k < 32 else f"<body><p>Another article {k}.</p></body>") for k in range(2, 40)]
     got = html.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
     assert all(r.text == "The same whole article on two pages. And its end." for r in got if r.page_id < 32)
     # a cell that repeats inside one page is no template of its host
     tables = [f"<body><p>Long text of page number {k} as it goes {k}.</p><ul>{'<li>yes</li>' * (6 if k == 0 else 0)}<li>item {k}</li></ul><div>Foot</div></body>" for k in range(4)]
-    assert slots(tables) == {"Foot"}
+    assert {t for _, t in html.learn([html.parse(p) for p in tables]).fixed} == {"Foot"}
 
 
 def test_very_long_page_is_whole():
