@@ -10,14 +10,15 @@ A level of the trie is a row of shards, each a file of compact arrays that score
 The context of a level is a position in the level above, so words are sought relative to it: the successor search goes to the
 bucket of the key's high bits by a select on zeros and bisects its low bits. Level 1 holds hashes of words.
 
-Smoothing: absolute discounting, interpolated with the shorter context; n-grams of two or more words are kept if they occur twice or more, and the mass of the
-others goes to the shorter context. Single words have (c + 1) / (N + V + 1), so unknown words have the rest.
+Smoothing: absolute discounting, interpolated with the shorter context, over all n-grams of the training part (``least`` = 1; a higher ``least`` leaves rarer ones of
+two or more words out, and their mass goes to the shorter context). Single words have (c + 1) / (N + V + 1), so unknown words have the rest.
 
-Counts come from all training texts: each batch is reduced to distinct n-grams, cut by context ranges and sent to the shards as compressed
-sorted runs, which a shard merges as a stream. Shard files lie in the shared folder under names of their own attempt; only those that a finished task
-names are read, so a lost executor's leavings do no harm. The driver learns names and sizes of shards, nothing more.
+Counts come from all training texts: each batch is reduced to distinct n-grams, cut by shards and sent there as compressed
+sorted runs, which a shard merges as a stream. Shards are cut by mass: each holds contexts of about ``shard_tokens`` occurrences; a context with more has several shards
+of its own, by word, after a pass that sums what it leaves. Shard files lie in the shared folder under names of their own attempt; only those that a finished task
+names are listed in the level's index file, so a lost executor's leavings do no harm. Tasks map the indexes; the driver learns their places and a few totals.
 
-Null and empty texts are one end token. Repeated rows count and score each. Null doc_ids count as an empty text in the fold. An empty table gives no rows; a
+Null and empty texts are one end token. Repeated rows count and score each. Null doc_ids count as an empty text in the fold and pass through. An empty table gives no rows; a
 training part without rows gives a model that knows no word. Other columns are not read.
 """
 
@@ -25,8 +26,8 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import uuid
+from collections import OrderedDict
 from collections.abc import Iterator
 
 import numpy as np
@@ -39,7 +40,9 @@ from pyspark.sql import functions as F
 from . import _runtime, _text
 
 U64 = np.uint64
-STEP, DISCOUNT, ORDER, SHARD_KEYS, MERGE, MEMO = 0.0005, 0.75, 3, 4_000_000, 3_000_000, 19
+STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE, MEMO = 0.0005, 0.75, 3, 4_000_000, 3_000_000, 19
+#: Shards that cannot be mapped, as their store is not mounted, are held in memory up to so many bytes for each level and worker.
+HELD = 256 << 20
 END = U64(0xE4D0E4D0E4D0E4D0)
 _SELECT = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
 for _b in range(256):
@@ -61,16 +64,19 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 
 class EliasFano:
-    """A non-decreasing sequence of n unsigned numbers below ``universe``: low bits packed, high bits in unary, and a running count of ones for each word of 64 bits."""
+    """A non-decreasing sequence of n unsigned numbers below ``universe``: low bits packed, high bits in unary, a running count of ones for each word of 64 bits, and the word of
+    every 32nd one and zero. All arrays may be mapped; nothing is expanded."""
 
-    SAMPLE = 5  # every 32nd one and zero has its word noted when a file is opened
+    SAMPLE = 5
 
-    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray) -> None:
-        self.n, self.bits, self.low, self.high = n, bits, low, high
+    def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, one: np.ndarray, zero: np.ndarray) -> None:
+        self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
         self.mask = U64((1 << bits) - 1)
-        ones = np.asarray(ones, np.int64)
-        self.before = {False: ones, True: np.arange(len(ones)) * 64 - ones}
-        self.samples = {f: np.searchsorted(c, np.arange(0, int(c[-1]) + 1, 1 << self.SAMPLE), "right") - 1 for f, c in self.before.items()}
+        self.samples = {False: one, True: zero}
+
+    def _before(self, word: np.ndarray, zeros: bool) -> np.ndarray:
+        ones = self.ones[word].astype(np.int64)
+        return word * 64 - ones if zeros else ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -90,26 +96,33 @@ class EliasFano:
         unary = np.zeros(words * 64, bool)
         unary[top] = True
         high = np.packbits(unary, bitorder="little").view(U64)
-        return cls(n, bits, low, high, np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)]))
+        ones = np.concatenate([[0], np.cumsum(np.bitwise_count(high), dtype=np.int64)])
+        sampled = [np.append(np.searchsorted(c, np.arange(0, int(c[-1]) + 1, 1 << cls.SAMPLE), "right") - 1, len(c) - 2).astype(np.uint32) for c in (ones, np.arange(len(ones)) * 64 - ones)]
+        return cls(n, bits, low, high, ones.astype(np.uint32), *sampled)
 
     def arrays(self) -> dict[str, np.ndarray]:
-        return {"n": np.array([self.n, self.bits]), "low": self.low, "high": self.high, "ones": self.before[False].astype(np.uint32)}
+        return {"n": np.array([self.n, self.bits]), "low": self.low, "high": self.high, "ones": self.ones, "one": self.samples[False], "zero": self.samples[True]}
 
     @classmethod
     def load(cls, a: dict[str, np.ndarray]) -> EliasFano:
-        return cls(int(a["n"][0]), int(a["n"][1]), a["low"], a["high"], a["ones"])
+        return cls(int(a["n"][0]), int(a["n"][1]), *(a[k] for k in ("low", "high", "ones", "one", "zero")))
 
     def _select(self, k: np.ndarray, zeros: bool) -> np.ndarray:
         """Place of the k-th one or zero."""
-        before = self.before[zeros]
-        word = self.samples[zeros][k >> self.SAMPLE]
-        behind = np.flatnonzero(before[word + 1] <= k)
+        sample = self.samples[zeros]
+        word = sample[k >> self.SAMPLE].astype(np.int64)
+        behind = np.flatnonzero(self._before(word + 1, zeros) <= k)
         if len(behind):
             word[behind] += 1
-            behind = behind[before[word[behind] + 1] <= k[behind]]
-            word[behind] = np.searchsorted(before, k[behind], "right") - 1  # among the many successors of a common context
+            behind = behind[self._before(word[behind] + 1, zeros) <= k[behind]]
+            lo, hi, want = word[behind], sample[(k[behind] >> self.SAMPLE) + 1].astype(np.int64), k[behind]
+            while (lo < hi).any():  # among the many successors of a common context
+                mid = (lo + hi + 1) >> 1
+                ok = self._before(mid, zeros) <= want
+                lo, hi = np.where(ok, mid, lo), np.where(ok, hi, mid - 1)
+            word[behind] = lo
         chosen = self.high[word]
-        return word * 64 + _select_in_word(~chosen if zeros else chosen, k - before[word])
+        return word * 64 + _select_in_word(~chosen if zeros else chosen, k - self._before(word, zeros))
 
     def lows(self, i: np.ndarray) -> np.ndarray:
         if not self.bits:
@@ -171,24 +184,19 @@ def _store(uri: str, arrays: dict[str, np.ndarray]) -> None:
             f.write(np.ascontiguousarray(a).tobytes() + bytes(-a.nbytes % 8))
 
 
-def _open(uri: str) -> dict[str, np.ndarray]:
-    """The arrays of a shard file, mapped into memory; one in a remote store is copied to this executor's temporary folder first."""
+def _open(uri: str) -> tuple[dict[str, np.ndarray], int]:
+    """The arrays of a file, and the bytes they hold in memory: none if mapped. What cannot be mapped is read into memory, never to a local disk."""
     from pyarrow import fs
 
     where, path = fs.FileSystem.from_uri(uri)
-    if not isinstance(where, fs.LocalFileSystem):
-        local = os.path.join(tempfile.gettempdir(), f"shard-{uuid.uuid5(uuid.NAMESPACE_URL, uri).hex}")
-        if not os.path.exists(local):
-            part = f"{local}.{os.getpid()}"
-            with where.open_input_stream(path) as src, open(part, "wb") as dst:
-                while block := src.read(1 << 22):
-                    dst.write(block)
-            os.replace(part, local)
-        path = local
-    m = np.memmap(path, np.uint8, "r")
-    m = m.view(np.ndarray)
+    if isinstance(where, fs.LocalFileSystem):
+        m, held = np.memmap(path, np.uint8, "r").view(np.ndarray), 0
+    else:
+        with where.open_input_file(path) as f:
+            m = np.frombuffer(f.read_buffer(), np.uint8)
+        held = len(m)
     n = int.from_bytes(m[:8].tobytes(), "little")
-    return {k: m[8 + n + at : 8 + n + at + np.dtype(t).itemsize * size].view(t) for k, (t, size, at) in json.loads(m[8 : 8 + n].tobytes()).items()}
+    return {k: m[8 + n + at : 8 + n + at + np.dtype(t).itemsize * size].view(t) for k, (t, size, at) in json.loads(m[8 : 8 + n].tobytes()).items()}, held
 
 
 def _parts(a: dict[str, np.ndarray], name: str) -> EliasFano:
@@ -196,39 +204,68 @@ def _parts(a: dict[str, np.ndarray], name: str) -> EliasFano:
 
 
 class Level:
-    """One level: its shards' names, first contexts (for level 1: first hashes, by upper bits) and sizes."""
+    """One level. Small when sent to tasks: the place of its index, and totals.
 
-    def __init__(self, files: list[str], starts: list[int], sizes: list[int]) -> None:
-        self.files, self.starts, self.sizes = files, np.array(starts, np.int64), np.array(sizes, np.int64)
-        self.base = np.concatenate([[0], np.cumsum(self.sizes)])
-        self._open: dict[int, dict] = {}
-        self._memo: tuple | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_open": {}, "_memo": None}
+    The index lists the shards' files (none where no n-gram begins with their contexts) and where their entries begin among the level's positions. It also holds the cut of the level below:
+    the first context of each stretch, and its number of shards: one, or several by word for the one context of a stretch.
+    """
 
-    def shard(self, k: int) -> dict:
-        if k not in self._open:
-            a = _open(self.files[k])
-            self._open[k] = {"key": _parts(a, "key"), "ptr": _parts(a, "ptr") if "ptr.n" in a else None, "sum": _parts(a, "sum")} | {n: a[n] for n in ("prob", "back") if n in a}
-        return self._open[k]
+    def __init__(self, root: str, index: str, size: int, total: int, above: Level | None = None) -> None:
+        self.root, self.index, self.size, self.total, self.above = root, index, size, total, above
+        self.__setstate__(self.__dict__)
 
-    def each(self, of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    def __getstate__(self) -> dict:
+        return {k: v for k, v in self.__dict__.items() if k[0] != "_"}
+
+    def __setstate__(self, state: dict) -> None:
+        self.__dict__.update(state)
+        self._shards: OrderedDict[int, tuple] = OrderedDict()
+        self._held, self._memo, self._index = 0, None, None
+
+    @property
+    def listed(self) -> dict[str, np.ndarray]:
+        if self._index is None:
+            self._index = _open(self.index)[0]
+        return self._index
+
+    def stretch(self, context: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+        """(shard of the level below, first context of its stretch) for contexts of this level."""
+        cut = self.listed
+        e = np.searchsorted(cut["first"], context, "right") - 1
+        shard, several = cut["shard"][e].astype(np.int64), np.flatnonzero(cut["pieces"][e] > 1)
+        if len(several):
+            shard[several] += np.maximum(word[several], 0) * cut["pieces"][e[several]] // n_words
+        return shard, cut["first"][e]
+
+    def shard(self, k: int) -> dict | None:
+        if k not in self._shards:
+            name = self.listed["file"][k]
+            if not name:
+                return None
+            a, held = _open(f"{self.root}/{name.decode()}")
+            self._shards[k] = {"key": _parts(a, "key"), "sum": _parts(a, "sum")} | {n: a[n] for n in ("prob", "back") if n in a}, held
+            self._held += held
+            while self._held > HELD and len(self._shards) > 1:
+                self._held -= self._shards.popitem(last=False)[1][1]
+        self._shards.move_to_end(k)
+        return self._shards[k][0]
+
+    @staticmethod
+    def each(of: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
         """(shard, rows) of the rows' shard numbers."""
-        if len(self.files) == 1:
-            yield 0, np.arange(len(of))
+        if not len(of):
             return
-        order = np.argsort(of.astype(np.int16) if len(self.files) < 1 << 15 else of, kind="stable")
-        cut = np.concatenate([[0], np.cumsum(np.bincount(of, minlength=len(self.files)))])
-        for k in range(len(self.files)):
-            if cut[k] < cut[k + 1]:
-                yield k, order[cut[k] : cut[k + 1]]
+        order = np.argsort(of.astype(np.int16) if of.max() < 1 << 15 else of, kind="stable")
+        cut = np.flatnonzero(np.append(True, of[order][1:] != of[order][:-1]))
+        for a, b in zip(cut, np.append(cut[1:], len(of))):
+            yield int(of[order[a]]), order[a:b]
 
     def gather(self, position: np.ndarray, name: str) -> np.ndarray:
-        """prob, count or key of entries by position."""
+        """prob, count or key of entries by position; the key of level 2 or more is its context and word, the context counted from the shard's first."""
         out = np.zeros(len(position), U64 if name == "key" else np.float64 if name == "prob" else np.int64)
-        for k, rows in self.each(np.searchsorted(self.base, position, "right") - 1):
-            s, at = self.shard(k), position[rows] - self.base[k]
+        base = self.listed["base"]
+        for k, rows in self.each(np.searchsorted(base, position, "right") - 1):
+            s, at = self.shard(k), position[rows] - base[k]
             if name == "prob":
                 out[rows] = s["prob"][at] * -STEP
             elif name == "key":
@@ -249,25 +286,28 @@ class Level:
         position[live], back[live] = positions[slot], backs[slot]
         miss = keys[slot] != key
         live, key, slot = live[miss], key[miss], slot[miss]
-        position[live] = -1
-        for k, rows in self.each(np.searchsorted(self.starts, context[live], "right") - 1):
-            s, rows = self.shard(k), live[rows]
-            c = context[rows] - self.starts[k]
+        position[live], back[live] = -1, 0
+        of, first = self.above.stretch(context[live], word[live], n_words)
+        for k, rows in self.each(of):
+            s = self.shard(k)
+            if s is None:
+                continue
+            c, rows = context[live[rows]] - first[rows], live[rows]
             back[rows] = s["back"][c] * -STEP
             some = (s["back"][c] > 0) & (word[rows] >= 0)  # a context without successors leaves all
             rows, c = rows[some], c[some]
             at = s["key"].find(c.astype(U64) * U64(n_words) + word[rows].astype(U64))
-            position[rows] = np.where(at >= 0, at + self.base[k], -1)
+            position[rows] = np.where(at >= 0, at + self.listed["base"][k], -1)
         keys[slot], positions[slot], backs[slot] = key, position[live], back[live]
         return position, back
 
 
 class Model:
-    """A vocabulary (level 1, by hash) and levels of longer n-grams. Small when sent to tasks: only names, starts and sizes of shards."""
+    """A vocabulary (level 1, by hash) and levels of longer n-grams."""
 
-    def __init__(self, vocabulary: Level, bits: int, tokens: int, levels: list[Level], order: int) -> None:
-        self.vocabulary, self.bits, self.tokens, self.levels, self.order = vocabulary, bits, tokens, levels, order
-        self.n_words = int(vocabulary.base[-1])
+    def __init__(self, vocabulary: Level, bits: int, levels: list[Level], order: int, least: int) -> None:
+        self.vocabulary, self.bits, self.levels, self.order, self.least = vocabulary, bits, levels, order, least
+        self.tokens, self.n_words = vocabulary.total, vocabulary.size
         self._cache: tuple | None = None
 
     def __getstate__(self) -> dict:
@@ -285,16 +325,20 @@ class Model:
             x, back = np.unique(h[miss], return_inverse=True)
             got, n = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
             v, low = self.vocabulary, x & U64((1 << (64 - self.bits)) - 1)
-            shard = (x >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)
-            for k, rows in v.each(shard):
-                at = v.shard(k)["key"].find(low[rows])
-                got[rows] = np.where(at >= 0, at + v.base[k], -1)
+            for k, rows in v.each((x >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)):
+                if v.shard(k):
+                    at = v.shard(k)["key"].find(low[rows])
+                    got[rows] = np.where(at >= 0, at + v.listed["base"][k], -1)
             known = np.flatnonzero(got >= 0)
             n[known] = v.gather(got[known], "count")
             ids[miss], counts[miss] = got[back], n[back]
             key[slot[miss]], value[slot[miss]], count[slot[miss]] = h[miss], ids[miss], counts[miss]
         return ids, counts
 
+    def lasting(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
+        """Ids of words that can be in longer n-grams."""
+        return np.where(counts >= self.least, ids, -1) if self.least > 1 else ids
+
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.n_words + 1))
 
@@ -336,24 +380,60 @@ def _quantised(x: np.ndarray) -> np.ndarray:
     return np.clip(np.round(-x / STEP), 0, 65535).astype(np.uint16)
 
 
-def _named(root: str, level: int, shard: int) -> str:
-    return f"{root}/level-{level}/{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+_MADE = "shard long, file string, size long, total long, first array<long>, pieces array<int>"
+_MADE_PA = pa.schema([("shard", pa.int64()), ("file", pa.string()), ("size", pa.int64()), ("total", pa.int64()), ("first", pa.list_(pa.int64())), ("pieces", pa.list_(pa.int32()))])
 
 
-_MADE = "shard long, path string, size long, total long"
+def _write(root: str, level: int, shard: int, coded: dict[str, EliasFano], plain: dict[str, np.ndarray], n: np.ndarray, cut: int) -> tuple:
+    """Stores a shard; its row for the index. The level below is cut into stretches of about ``cut`` occurrences; a more frequent context is a stretch with several shards."""
+    file = f"level-{level}/{shard:06d}-{TaskContext.get().taskAttemptId()}-{uuid.uuid4().hex[:8]}"
+    _store(f"{root}/{file}", {f"{a}.{b}": v for a, e in coded.items() for b, v in e.arrays().items()} | plain)
+    block = (np.cumsum(n) - 1) // cut
+    hot = np.flatnonzero(n > cut)
+    first = np.unique(np.concatenate([[0], np.flatnonzero(np.diff(block)) + 1, hot, hot + 1]))
+    first = first[first < len(n)]
+    return shard, file, len(n), int(n.sum()), first.tolist(), np.maximum(-(-n[first] // cut), 1).tolist() if len(n) else []
 
 
 def _made(rows: list[tuple]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * 4, (pa.int64(), pa.string(), pa.int64(), pa.int64()))], ["shard", "path", "size", "total"])
+    return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows) if rows else [[]] * len(_MADE_PA), _MADE_PA.types)], schema=_MADE_PA)
+
 
+def _index(ws: _runtime.Workspace, made: DataFrame, root: str, level: int, n_shards: int, above: Level | None) -> Level:
+    """The level whose shards ``made`` lists. One task writes the index; a few numbers for each shard pass through it."""
 
-def _vocabulary(ws: _runtime.Workspace, texts: DataFrame, root: str) -> tuple[Level, int, int]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        files, size, first, pieces, total = [""] * n_shards, np.zeros(n_shards, np.int64), {}, {}, 0
+        for b in batches:
+            for r in b.to_pylist():
+                files[r["shard"]], size[r["shard"]], first[r["shard"]], pieces[r["shard"]] = r["file"], r["size"], r["first"], r["pieces"]
+                total += r["total"]
+        base = np.concatenate([[0], np.cumsum(size)])
+        cut = [np.concatenate([np.zeros(0, np.int64), *(np.array(first[k], np.int64) + base[k] for k in sorted(first))]), np.concatenate([np.zeros(0, np.int64), *(np.array(pieces[k], np.int64) for k in sorted(pieces))])]
+        name = f"{root}/level-{level}/index-{uuid.uuid4().hex[:8]}"
+        n_next = int(cut[1].sum())
+        _store(name, {"file": np.array([f.encode() for f in files] or [b""], "S"), "base": base, "first": cut[0], "pieces": cut[1], "shard": np.cumsum(cut[1]) - cut[1]})
+        widest = int(np.diff(np.append(cut[0], base[-1])).max(initial=1))
+        yield pa.RecordBatch.from_arrays([pa.array([x]) for x in (name, int(base[-1]), total, n_next, bool((cut[1] > 1).any()), widest)], ["index", "size", "total", "n_next", "hot", "widest"])
+
+    r = ws.put(made.coalesce(1).mapInArrow(run, "index string, size long, total long, n_next long, hot boolean, widest long"), f"index-{level}").first()
+    if r is None:  # no row at all
+        name = f"{root}/level-{level}/index-none"
+        _store(name, {"file": np.array([b""] * max(n_shards, 1), "S1"), "base": np.zeros(n_shards + 1, np.int64), **{k: np.zeros(0, np.int64) for k in ("first", "pieces", "shard")}})
+        out, out.n_next, out.hot, out.widest = Level(root, name, 0, 0, above), 0, False, 1
+        return out
+    out = Level(root, r["index"], r["size"], r["total"], above)
+    out.n_next, out.hot, out.widest = r["n_next"], r["hot"], r["widest"]
+    return out
+
+
+def _vocabulary(ws: _runtime.Workspace, texts: DataFrame, root: str, cut: int) -> tuple[Level, int]:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for h, n in _merged(np.unique(h, return_counts=True) for batch in batches for h, _ in _chunks(batch.column(0))):
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = ws.put(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    bits = max(0, int(counted.count() // SHARD_KEYS).bit_length())
+    bits = max(0, int(counted.count() // cut).bit_length())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -365,22 +445,16 @@ def _vocabulary(ws: _runtime.Workspace, texts: DataFrame, root: str) -> tuple[Le
         for k in np.unique(shard):
             x = (h[shard == k]) & U64((1 << (64 - bits)) - 1)
             order = np.argsort(x)
-            sums = np.concatenate([[0], np.cumsum(n[shard == k][order])])
-            path = _named(root, 1, int(k))
-            _store(path, {f"{a}.{b}": v for a, e in (("key", EliasFano.build(x[order], 1 << (64 - bits))), ("sum", EliasFano.build(sums, int(sums[-1]) + 1))) for b, v in e.arrays().items()})
-            rows.append((int(k), path, len(x), int(sums[-1])))
+            own = n[shard == k][order]
+            sums = np.concatenate([[0], np.cumsum(own)])
+            rows.append(_write(root, 1, int(k), {"key": EliasFano.build(x[order], 1 << (64 - bits)), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}, {}, own, cut))
         yield _made(rows)
 
     shard = F.shiftrightunsigned("h", 64 - bits) if bits else F.lit(0).cast("long")
     made = counted.select(shard.cast("long").alias("shard"), "h", "n").repartition(max(1, 1 << bits), "shard").mapInArrow(build, _MADE)
-    found = {r.shard: r for r in ws.put(made, "vocabulary").collect()}
+    out = _index(ws, ws.put(made, "vocabulary"), root, 1, 1 << bits, None)
     ws.drop(counted)
-    empty = [k for k in range(1 << bits) if k not in found]
-    if empty:
-        none = f"{root}/level-1/none-{uuid.uuid4().hex[:8]}"
-        _store(none, {f"{a}.{b}": v for a, e in (("key", EliasFano.build(np.zeros(0, U64), 1 << (64 - bits))), ("sum", EliasFano.build(np.zeros(1, U64), 1))) for b, v in e.arrays().items()})
-    rows = [(found[k].path, found[k].size, found[k].total) if k in found else (none, 0, 0) for k in range(1 << bits)]
-    return Level([r[0] for r in rows], list(range(1 << bits)), [r[1] for r in rows]), bits, sum(r[2] for r in rows)
+    return out, bits
 
 
 def _runs(keys: np.ndarray, counts: np.ndarray) -> bytes:
@@ -396,14 +470,22 @@ def _unrun(data: bytes) -> tuple[np.ndarray, np.ndarray]:
     return np.cumsum(np.ascontiguousarray(raw[: 8 * n].reshape(8, n).T).view(U64).ravel(), dtype=U64), raw[8 * n :].view("<u4").astype(np.int64)
 
 
-def _merge(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+def _merge(parts: list[tuple[np.ndarray, ...]]) -> tuple[np.ndarray, ...]:
+    """Sums the counts, the last array of each part, of equal keys, the arrays before it; in the order of the keys."""
     if len(parts) == 1:
         return parts[0]
-    keys, back = np.unique(np.concatenate([p[0] for p in parts]), return_inverse=True)
-    return keys, np.bincount(back, weights=np.concatenate([p[1] for p in parts]), minlength=len(keys)).astype(np.int64)
-
-
-def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    *keys, n = (np.concatenate(x) for x in zip(*parts))
+    order = np.argsort(keys[0], kind="stable") if len(keys) == 1 else np.lexsort(keys[::-1])
+    keys = [k[order] for k in keys]
+    new = np.zeros(len(n), bool)
+    new[:1] = True
+    for k in keys:
+        new[1:] |= k[1:] != k[:-1]
+    at = np.flatnonzero(new)
+    return *(k[at] for k in keys), np.add.reduceat(n[order], at) if len(n) else n
+
+
+def _merged(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarray, ...]]:
     """Merged counts of as many parts at a time as hold MERGE keys, so that memory does not follow a batch."""
     held, size = [], 0
     for p in parts:
@@ -416,49 +498,44 @@ def _merged(parts: Iterator[tuple[np.ndarray, np.ndarray]]) -> Iterator[tuple[np
         yield _merge(held)
 
 
-def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Model) -> Level:
+def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Model, shard_tokens: int) -> Level:
     """The level below the deepest one of ``model``, from the counts of its n-grams in all texts."""
-    level = len(model.levels) + 2
-    n_context = int((model.levels[-1] if model.levels else model.vocabulary).base[-1])
-    n_shards = max(1, min(-(-model.tokens // SHARD_KEYS), n_context))
-    # a context's key: its number in the upper 32 bits of the run, the word's in the lower; contexts are counted from the shard's first
-    starts = np.array([n_context * k // n_shards for k in range(n_shards)], np.int64)
-
-    def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        ids, n = model.words(h)
+    level, above = len(model.levels) + 2, model.levels[-1] if model.levels else model.vocabulary
+    n_shards, n_words, word_bits = above.n_next, model.n_words, model.n_words.bit_length()
+    # an n-gram's key in its shard: the context, counted from the stretch's first, then the word; with the shard before it where all three fit in 64 bits
+    key_bits = word_bits + above.widest.bit_length()
+    together = key_bits + n_shards.bit_length() <= 64
+
+    def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
+        ids = model.lasting(*model.words(h))
         if model.levels:
-            context, _ = model.walk(np.where(n > 1, ids, -1), first[:-1])
-            ok = (context >= 0) & (n > 1)
+            context, _ = model.walk(ids, first[:-1])
         else:
             context = np.concatenate([[0], ids[:-1]])
             context[first[:-1]] = model.words(np.array([END]))[0][0]
-            ok = (n > 1) & (np.concatenate([[0], n[:-1]]) > 1)
-            ok[first[:-1]] = n[first[:-1]] > 1
-        return np.unique(context[ok].astype(U64) << U64(32) | ids[ok].astype(U64), return_counts=True)
+        ok = np.flatnonzero((context >= 0) & (ids >= 0))
+        shard, begin = above.stretch(context[ok], ids[ok], n_words)
+        key = (context[ok] - begin).astype(U64) << U64(word_bits) | ids[ok].astype(U64)
+        if together:
+            return np.unique(shard.astype(U64) << U64(key_bits) | key, return_counts=True)
+        return _merge([(shard[:0], key[:0], shard[:0]), (shard, key, np.ones(len(key), np.int64))])
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for keys, n in _merged(counted(h, first) for batch in batches for h, first in _chunks(batch.column(0))):
-            cut = np.append(np.searchsorted(keys, starts.astype(U64) << U64(32)), len(keys))
-            rows = [(k, _runs(keys[a:b], n[a:b])) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:])) if a < b]
-            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.binary())], ["shard", "run"])
-
-    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list = []
-        now, rows, size = None, [], 0
-
-        def close() -> None:
-            keys, n = _merge(held)
-            lo = int(starts[now])
-            hi = int(starts[now + 1]) if now + 1 < n_shards else n_context
-            path = _named(root, level, now)
-            kept = _store_shard(path, model, keys, n, lo, hi)
-            rows.append((now, path, kept, int(n.sum())))
-
+        for *keys, n in _merged(counted(h, first) for batch in batches for h, first in _chunks(batch.column(0))):
+            shard, key = ((keys[0] >> U64(key_bits)).astype(np.int64), keys[0] & U64((1 << key_bits) - 1)) if together else keys
+            cut = np.flatnonzero(np.append(True, shard[1:] != shard[:-1])) if len(shard) else np.zeros(0, np.int64)
+            several = above.listed["pieces"][np.searchsorted(above.listed["shard"], shard[cut], "right") - 1] > 1
+            runs = [_runs(key[a:b], n[a:b]) for a, b in zip(cut, np.append(cut[1:], len(shard)))]
+            yield pa.RecordBatch.from_arrays([pa.array(shard[cut]), pa.array(several), pa.array(runs, pa.binary())], ["shard", "several", "run"])
+
+    def merged(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        """(shard, keys, counts) of each shard; rows come sorted by shard."""
+        now, held, size = None, [], 0
         for batch in batches:
             for k, run in zip(batch.column(0).to_pylist(), batch.column(1)):
                 if k != now:
                     if now is not None:
-                        close()
+                        yield now, *_merge(held)
                     now, held, size = k, [], 0
                 held.append(_unrun(run.as_buffer()))
                 size += len(held[-1][0])
@@ -466,67 +543,87 @@ def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Mode
                     held = [_merge(held)]
                     size = 0  # what comes next is merged once it is as much again
         if now is not None:
-            close()
-        yield _made(rows)
+            yield now, *_merge(held)
+
+    def begin(shard: int) -> tuple[int, int, bool]:
+        """First and end context of a shard's stretch, and whether it is one of several of its context."""
+        cut = above.listed
+        e = int(np.searchsorted(cut["shard"], shard, "right")) - 1
+        return int(cut["first"][e]), int(cut["first"][e + 1]) if e + 1 < len(cut["first"]) else above.size, bool(cut["pieces"][e] > 1)
 
-    runs = ws.put(texts.mapInArrow(count, "shard long, run binary"), f"runs-{level}")
-    made = ws.put(runs.repartition(n_shards, "shard").sortWithinPartitions("shard").mapInArrow(build, _MADE), f"level-{level}")
-    found = {r.shard: r for r in made.collect()}
-    ws.drop(runs, made)
-    files, sizes = [], []
-    for k in range(n_shards):
-        if k in found:
-            files.append(found[k].path)
-            sizes.append(found[k].size)
-        else:  # no n-gram begins with these contexts
-            path = f"{root}/level-{level}/{k:06d}-none-{uuid.uuid4().hex[:8]}"
-            hi = int(starts[k + 1]) if k + 1 < n_shards else n_context
-            sizes.append(_store_shard(path, model, np.zeros(0, U64), np.zeros(0, np.int64), int(starts[k]), hi))
-            files.append(path)
-    return Level(files, starts.tolist(), sizes)
-
-
-def _store_shard(path: str, model: Model, keys: np.ndarray, n: np.ndarray, lo: int, hi: int) -> int:
-    """Prunes, smooths and writes the n-grams of contexts lo to hi; returns how many are kept."""
-    often = n > 1
-    keys, n = keys[often], n[often]
-    context, word = (keys >> U64(32)).astype(np.int64), (keys & U64(0xFFFFFFFF)).astype(np.int64)
-    parents, of = np.unique(context, return_inverse=True)
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = [(begin(k)[0], float((n[n >= model.least] - DISCOUNT).sum())) for k, _, n in merged(batches)]
+        yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array([r[1] for r in rows], pa.float64())], ["context", "seen"])
+
+    runs = ws.put(texts.mapInArrow(count, "shard long, several boolean, run binary"), f"runs-{level}")
+    dealt = lambda df: df.select("shard", "run").repartition(max(1, n_shards), "shard").sortWithinPartitions("shard")
+    frequent = None
+    if above.hot:  # what the shards of one frequent context have in common
+        frequent = f"{root}/level-{level}/frequent-{uuid.uuid4().hex[:8]}"
+
+        def note(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            t = pa.Table.from_batches(list(batches), pa.schema([("context", pa.int64()), ("seen", pa.float64())])).sort_by("context")
+            _store(frequent, {"context": t.column(0).to_numpy(), "seen": t.column(1).to_numpy()})
+            yield pa.RecordBatch.from_arrays([pa.array([len(t)])], ["n"])
+
+        own = ws.put(dealt(runs.where("several")).mapInArrow(seen, "context long, seen double").groupBy("context").agg(F.sum("seen").alias("seen")), f"frequent-{level}")
+        own.coalesce(1).mapInArrow(note, "n long").collect()
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known = _open(frequent)[0] if frequent else None
+        for k, keys, n in merged(batches):
+            lo, hi, several = begin(k)
+            total = float(known["seen"][np.searchsorted(known["context"], lo)]) if several else None
+            yield _made([_shard(root, level, k, model, keys, n, lo, hi, word_bits, total, shard_tokens)])
+
+    made = ws.put(dealt(runs).mapInArrow(build, _MADE), f"level-{level}")
+    ws.drop(runs)
+    return _index(ws, made, root, level, n_shards, above)
+
+
+def _shard(root: str, level: int, shard: int, model: Model, keys: np.ndarray, n: np.ndarray, lo: int, hi: int, word_bits: int, all_seen: float | None, cut: int) -> tuple:
+    """Smooths and writes the n-grams of contexts lo to hi. ``all_seen``: the discounted counts of a context with several shards."""
+    if model.least > 1:
+        keys, n = keys[n >= model.least], n[n >= model.least]
+    above = model.levels[-1] if model.levels else model.vocabulary
+    context, word = (keys >> U64(word_bits)).astype(np.int64), (keys & U64((1 << word_bits) - 1)).astype(np.int64)
+    new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
+    parents, of = context[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
+    total = above.gather(parents + lo, "count")
+    shorter = model.base(model.vocabulary.gather(word, "count"))
     if model.levels:
-        total = model.levels[-1].gather(parents, "count")
-        last = (model.levels[-1].gather(parents, "key") % U64(model.n_words)).astype(np.int64)[of]
+        last = (above.gather(parents + lo, "key") % U64(model.n_words)).astype(np.int64)[of]
         position, back = model.levels[0].find(last, word, model.n_words)
-        shorter = back + model.base(model.vocabulary.gather(word, "count"))
+        shorter += back
         hit = position >= 0
         shorter[hit] = model.levels[0].gather(position[hit], "prob")
-    else:
-        total = model.vocabulary.gather(parents, "count")
-        shorter = model.base(model.vocabulary.gather(word, "count"))
     seen = (n - DISCOUNT) / total[of]
-    left = np.maximum(1 - np.bincount(of, weights=seen, minlength=len(parents)), 1e-6)
+    left = np.bincount(of, weights=seen, minlength=len(parents)) if all_seen is None else np.full(len(parents), all_seen) / total
+    left = np.maximum(1 - left, 1e-6)
     prob = np.log10(seen + left[of] * 10**shorter)
     back = np.zeros(hi - lo, np.uint16)
-    back[parents - lo] = np.maximum(_quantised(np.log10(left)), 1)
-    ptr = np.searchsorted(context, np.arange(lo, hi + 1))
+    back[parents] = np.maximum(_quantised(np.log10(left)), 1)
+    if all_seen is not None:  # words of other shards are sought here too
+        back[:] = back.max(initial=1)
     sums = np.concatenate([[0], np.cumsum(n)])
-    key = (context - lo).astype(U64) * U64(model.n_words) + word.astype(U64)
-    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * model.n_words)), "ptr": EliasFano.build(ptr, len(key) + 1), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}
-    _store(path, {f"{a}.{b}": v for a, e in coded.items() for b, v in e.arrays().items()} | {"prob": _quantised(prob), "back": back})
-    return len(key)
+    key = context.astype(U64) * U64(model.n_words) + word.astype(U64)
+    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * model.n_words)), "ptr": EliasFano.build(np.searchsorted(context, np.arange(hi - lo + 1)), len(key) + 1), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}
+    return _write(root, level, shard, coded, {"prob": _quantised(prob), "back": back}, n, cut)
 
 
-def train(texts: DataFrame, text_col: str = "text", order: int = ORDER) -> Model:
+def train(texts: DataFrame, text_col: str = "text", order: int = ORDER, least: int = 1, shard_tokens: int = SHARD_TOKENS) -> Model:
     """A model of all rows of ``texts``; its files stay in the shared folder."""
-    assert order in (1, 2, 3)
+    assert order in (1, 2, 3) and least >= 1
     ws = _runtime.Workspace(texts.sparkSession, "ngram")
     x = texts.select(F.col(text_col).alias("x"))
     root = f"{ws.root}/trie"
     if "://" not in root:
         root = root.replace("file:", "file://") if root.startswith("file:") else f"file://{root}"
-    vocabulary, bits, n = _vocabulary(ws, x, root)
-    model = Model(vocabulary, bits, n, [], order)
-    for _ in range(order - 1 if n else 0):
-        model.levels.append(_next_level(ws, x, root, model))
+    vocabulary, bits = _vocabulary(ws, x, root, shard_tokens)
+    model = Model(vocabulary, bits, [], order, least)
+    for _ in range(order - 1):
+        if (model.levels[-1] if model.levels else vocabulary).size:
+            model.levels.append(_next_level(ws, x, root, model, shard_tokens))
     return model
 
 
@@ -543,7 +640,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for h, first in _chunks(batch.column(1)):
                 ids, n = model.words(h)
                 base = model.base(n)
-                _, p = model.walk(np.where(n > 1, ids, -1), first[:-1], base)  # rarer words are in no longer n-gram
+                _, p = model.walk(model.lasting(ids, n), first[:-1], base)
                 got.append((np.diff(first), _text.reduce_sum((ids >= 0).astype(np.int64), first), _text.reduce_sum(base, first), _text.reduce_sum(p, first)))
             cols = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), model.tokens)), pa.array(cols[2]), pa.array(cols[3])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
@@ -555,7 +652,7 @@ def fold(id_col: Column, k: int) -> Column:
     return F.crc32(F.coalesce(id_col.cast("string"), F.lit("")).cast("binary")) % k
 
 
-def held_out_scores(spark: SparkSession, docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER) -> DataFrame:
+def held_out_scores(spark: SparkSession, docs: DataFrame, folds: int = 7, held: int = 2, order: int = ORDER, least: int = 1) -> DataFrame:
     """Scores of all ``docs`` by a model of those outside the held fold."""
-    model = train(docs.where(fold(F.col("doc_id"), folds) != held), order=order)
+    model = train(docs.where(fold(F.col("doc_id"), folds) != held), order=order, least=least)
     return score(docs, model).withColumn("held_out", fold(F.col("doc_id"), folds) == held)

@@ -168,7 +168,7 @@ def test_elias_fano_dense_runs(n):
 class Plain:
     """The same smoothing over dictionaries, without compact arrays or quantisation."""
 
-    def __init__(self, texts, order=3):
+    def __init__(self, texts, order=3, least=1):
         self.order, self.uni, self.n = order, Counter(), {2: Counter(), 3: Counter()}
         for w in texts:
             t = [*w, "</s>"]
@@ -179,10 +179,11 @@ class Plain:
                 if k:
                     self.n[3][(t[k - 2] if k > 1 else "</s>", before), x] += 1
         self.total, self.size = sum(self.uni.values()), len(self.uni)
-        self.kept = {k: {g: c for g, c in self.n[k].items() if c > 1} for k in (2, 3)}
-        self.kept[3] = {g: c for g, c in self.kept[3].items() if (g[0][:1], g[0][1]) in self.kept[2]}
+        self.kept = {k: {g: c for g, c in self.n[k].items() if c >= least and all(self.uni[x] >= least for x in (*g[0], g[1]))} for k in range(2, order + 1)}
+        if order == 3:
+            self.kept[3] = {g: c for g, c in self.kept[3].items() if (g[0][:1], g[0][1]) in self.kept[2]}
         self.left = {}
-        for k in (2, 3):
+        for k in range(2, order + 1):
             seen = Counter()
             for (ctx, _), c in self.kept[k].items():
                 whole = self.uni[ctx[0]] if k == 2 else self.n[2][ctx[:1], ctx[1]]
@@ -207,7 +208,7 @@ class Plain:
     def score(self, w):
         t, out = [*w, "</s>"], 0.0
         for k, x in enumerate(t):
-            ctx = ("</s>",) if k == 0 else (t[k - 2] if k > 1 else "</s>", t[k - 1])
+            ctx = ("</s>",) if k == 0 else (t[k - 2] if k > 1 else "</s>", t[k - 1])[3 - self.order :]
             out += math.log10(self.p(ctx, x))
         return out
 
@@ -217,14 +218,23 @@ def prose(rng, n):
     return [" ".join(vocab[min(int(rng.expovariate(0.15)), 39)] for _ in range(rng.randint(1, 60))) for _ in range(n)]
 
 
-def test_trie_agrees_with_dictionaries(spark, make, rng, monkeypatch):
-    monkeypatch.setattr(ngram, "SHARD_KEYS", 500)  # several shards in each level
+def wide(level):
+    level.widest = 1 << 50
+    return level
+
+
+@pytest.mark.parametrize("order, least, cut, fits", [(3, 1, 60, True), (3, 1, 60, False), (2, 1, 200, True), (3, 2, 500, True), (3, 1, 10**6, True)])
+def test_trie_agrees_with_dictionaries(spark, make, rng, monkeypatch, order, least, cut, fits):
     train = prose(rng, 120) + [None, "", "Same Same same"]
     test = prose(rng, 20) + [None, "", "never seen at all", "same  same same", "x " * 20_000]
     rows = list(enumerate(train + test))
-    model = ngram.train(make(rows[: len(train)]))
-    assert len(model.levels[0].files) > 1 and len(model.vocabulary.files) >= 1
-    plain = Plain([WORD.findall((t or "").lower()) for t in train])
+    if not fits:  # keys and shards that do not fit in one number of 64 bits
+        made = ngram._index
+        monkeypatch.setattr(ngram, "_index", lambda *a: wide(made(*a)))
+    model = ngram.train(make(rows[: len(train)]), order=order, least=least, shard_tokens=cut)
+    if cut < 10**6:  # several shards in each level, and frequent words with several of their own
+        assert all(len(x.listed["file"]) > 1 for x in model.levels) and model.vocabulary.hot
+    plain = Plain([WORD.findall((t or "").lower()) for t in train], order, least)
     got = {r.doc_id: r for r in ngram.score(make(rows), model).collect()}
     for d, t in rows:
         w = WORD.findall((t or "").lower())
@@ -232,8 +242,7 @@ def test_trie_agrees_with_dictionaries(spark, make, rng, monkeypatch):
         assert (r.n_tokens, r.n_known, r.train_tokens) == (len(w) + 1, sum(plain.uni[x] > 0 for x in w) + 1, plain.total)
         assert abs(r.base_score - sum(math.log10(plain.base(x)) for x in [*w, "</s>"])) < 1e-6
         assert abs(r.score - plain.score(w)) <= 2 * ngram.STEP * (len(w) + 1) + 1e-6, t
-    total = sum(plain.p(("</s>",), x) for x in plain.uni)
-    assert 0.9 < total <= 1
+    assert 0.9 < sum(plain.p(("</s>",), x) for x in plain.uni) <= 1
 
 
 def test_trie_of_nothing(spark, make):
