@@ -9,11 +9,11 @@ Sets that are equal are one node. In every table bucket each node is first verif
 over the links found. Only buckets that still hold several components go on: nodes that such buckets connect form a family, whose nodes are dealt to
 blocks; each pair of blocks is one group of rows, which compares sketches and verifies at once, on full sets, the pairs that share a table key and
 agree in enough minhashes. So a bucket never becomes all its pairs in rows, no task gets a whole large family, and no pair is left out.
-Verification counts full sets: 100 * both >= 75 * either.
+Verification counts full sets, 100 * both >= 75 * either: by hashes, and what passes once more by the words themselves.
 
 Null and empty texts, and those without words, have an empty set and no links. With fewer than five words the whole sequence is the one element. Null
-doc_ids are linked with nothing. Rows with equal doc_id are judged each by its own text, as one node if the sets are equal. Other columns are not read by
-``classes`` and pass through ``dedup`` whatever their names; an empty table gives an empty table.
+doc_ids are linked with nothing. Rows with equal doc_id are one document: each row is judged by its own text, and what any of them is linked with is linked
+with all. Other columns are not read by ``classes`` and pass through ``dedup`` whatever their names; an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -23,6 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from . import _runtime, _text
@@ -30,12 +31,12 @@ from .components import components
 from .lines import fresh
 
 M, PERCENT, BLOCK, BLOCK_BYTES = 10, 75, 1024, 8 << 20
-#: Of the 4 * M minhashes, as many must agree before a pair of a mixed bucket is verified; at similarity 0.75 fewer do with a probability of about 0.0002.
-AGREE = 20
+#: Of the 4 * M minhashes, as many must agree before a pair of a mixed bucket is verified; at similarity 0.75 fewer do with a probability of about 0.00001.
+AGREE = 18
 _rng = np.random.Generator(np.random.PCG64(7))
 _A = _rng.integers(1, 1 << 63, 4 * M, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _B = _rng.integers(1, 1 << 63, 4 * M, dtype=np.uint64)
-_SIGNED = pa.schema([("id", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64()))])
+_SIGNED = pa.schema([("id", pa.int64()), ("k", pa.int64()), ("n", pa.int64()), ("d1", pa.int64()), ("d2", pa.int64()), ("halves", pa.list_(pa.int64()))])
 
 
 def sets(raw: np.ndarray, offs: np.ndarray) -> list[np.ndarray]:
@@ -55,12 +56,12 @@ def half_keys(mins: np.ndarray) -> np.ndarray:
 
 
 def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(id, n, d1, d2, halves): size and digest of each row's set, and its half keys."""
+    """(id, k, n, d1, d2, halves): size and digest of each row's set, and its half keys; k is a hash of the text."""
     _runtime.ship(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for a, b, raw, offs in _text.chunks(batch.column(1)):
+            for a, b, raw, offs in _text.chunks(batch.column(2)):
                 s, first = _text.shingles(_text.words(raw, offs))
                 unique = [np.unique(s[x:y]) for x, y in zip(first[:-1], first[1:])]
                 n = np.array([len(u) for u in unique])
@@ -69,9 +70,19 @@ def sign(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 mins = minhashes(flat, at)
                 halves = half_keys(mins).view(np.int64)
                 lists = pa.ListArray.from_arrays(pa.array(np.arange(len(n) + 1, dtype=np.int32) * (2 * M)), pa.array(halves.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), lists], schema=_SIGNED)
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(a, b - a), batch.column(1).slice(a, b - a), pa.array(n), pa.array(d1), pa.array(d2), lists], schema=_SIGNED)
 
-    return docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("x")).mapInArrow(run, "id long, n long, d1 long, d2 long, halves array<long>")
+    return docs.select(F.col(id_col).cast("long").alias("id"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("x")).mapInArrow(run, "id long, k long, n long, d1 long, d2 long, halves array<long>")
+
+
+def alike(x: bytes, y: bytes, percent: int = PERCENT) -> bool:
+    """Whether the full sets of two texts, of words as they are, are similar enough."""
+    a, b = x.lower().split(), y.lower().split()  # bytes: A-Z, and exactly the six separators
+    if a == b:
+        return bool(a)
+    s, t = (set(zip(*(w[k:] for k in range(_text.SHINGLE)))) if len(w) >= _text.SHINGLE else {tuple(w)} if w else set() for w in (a, b))
+    both = len(s & t)
+    return bool(s and t) and 100 * both >= percent * (len(s) + len(t) - both)
 
 
 def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -83,9 +94,10 @@ def verify(pairs: DataFrame, percent: int = PERCENT) -> DataFrame:
                 part = batch.slice(at, 256)
                 left, right = ([u for _, _, raw, offs in _text.chunks(part.column(k)) for u in sets(raw, offs)] for k in (2, 3))
                 ok = []
-                for x, y in zip(left, right):
+                for k, (x, y) in enumerate(zip(left, right)):
                     both = len(np.intersect1d(x, y, assume_unique=True))
-                    ok.append(bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both))
+                    near = bool(len(x) and len(y)) and 100 * both >= percent * (len(x) + len(y) - both)
+                    ok.append(near and alike(*(part.column(c)[k].as_buffer().to_pybytes() for c in (2, 3)), percent))
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1)], ["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
     return pairs.select("a", "b", "xa", "xb").mapInArrow(run, "a long, b long")
@@ -120,7 +132,7 @@ def compare_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
             at = np.minimum(np.searchsorted(shingles[k], elements), n[k] - 1)
             both = _text.reduce_sum((shingles[k][at] == elements).astype(np.int64), np.concatenate([[0], np.cumsum(n[to])]))
             for t in to[100 * both >= percent * (n[to] + n[k] - both)]:
-                if comp[t] != comp[k]:
+                if comp[t] != comp[k] and alike(*(texts[int(i)].as_buffer().to_pybytes() for i in (k, t)), percent):
                     found.append((int(node[k]), int(node[t])))
                     comp[comp == comp[t]] = comp[k]
         return found
@@ -158,9 +170,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     signed = ws.put(sign(docs, id_col, text_col), "signed")
     digest = ["d1", "d2", "n"]
     reps = ws.put(signed.where("n > 0 and id is not null").groupBy(*digest).agg(F.min("id").alias("rep")), "reps")
-    nodes = ws.put(
-        signed.where("n > 0").join(reps.hint("merge"), digest).where("id = rep").dropDuplicates(["rep", *digest]).select(F.col("rep").alias("node"), "halves"), "nodes"
-    )
+    # a node is a set; its number is the smallest doc_id that has it, or a hash where that document has several sets
+    nth = F.row_number().over(W.partitionBy("rep").orderBy(*digest))
+    sets_of = signed.where("n > 0").join(reps.hint("merge"), digest).where("id = rep").dropDuplicates(["rep", *digest]).withColumn("node", F.when(nth == 1, F.col("rep")).otherwise(F.xxhash64("rep", *digest)))
+    nodes = ws.put(sets_of.select("node", "rep", "k", "halves"), "nodes")
     exploded = nodes.select("node", F.posexplode("halves").alias("slot", "half"))
     shared = ws.put(exploded.groupBy("half").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("half"), "shared")
     side = lambda first: F.collect_list(F.when((F.col("slot") < M) == F.lit(first), F.col("half")))
@@ -169,19 +182,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     tables = ws.put(halves.select("node", F.explode(keys).alias("key")), "tables")
     buckets = ws.put(tables.groupBy("key").agg(F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("c > 1"), "buckets")
     stars = ws.put(tables.join(buckets.hint("merge"), "key").where("node <> centre").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "stars")
+    ws.drop(shared, buckets)
 
-    texts = docs.select(F.col(id_col).cast("long").alias("node"), F.col(text_col).alias("x")).where("node is not null")
+    texts = docs.select(F.col(id_col).cast("long").alias("rep"), F.xxhash64(F.col(text_col)).alias("k"), F.col(text_col).alias("x")).where("rep is not null")
+
+    def texts_of(wanted: DataFrame, name: str) -> DataFrame:
+        """(node, x): one text of each node of ``wanted``, from the input."""
+        at = ws.put(nodes.select("node", "rep", "k").join(wanted.hint("merge"), "node", "left_semi"), f"{name}-places")
+        return ws.put(texts.join(at.hint("merge"), ["rep", "k"]).groupBy("rep", "k", "node").agg(F.first("x").alias("x")).select("node", "x"), f"{name}-texts")
 
     def linked(pairs: DataFrame, name: str) -> DataFrame:
-        """Verified pairs. Texts of nodes come from the input; a repeated doc_id has several, and any that is similar enough links."""
-        one = ws.put(texts.join(ws.put(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), f"{name}-ids").hint("merge"), "node", "left_semi"), f"{name}-texts")
+        """Verified pairs."""
+        one = texts_of(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct(), name)
         left = one.select(F.col("node").alias("a"), F.col("x").alias("xa"))
         right = one.select(F.col("node").alias("b"), F.col("x").alias("xb"))
         out = ws.put(verify(pairs.join(left.hint("merge"), "a").join(right.hint("merge"), "b")).distinct(), f"{name}-links")
         ws.drop(one)
         return out
 
-    links = linked(stars, "star")
+    # the sets of one document are linked
+    several = signed.where("n > 0 and id is not null").groupBy("id").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo <> hi").select("id")
+    own = signed.where("n > 0").join(several.hint("merge"), "id", "left_semi").join(reps.hint("merge"), digest).select(F.col("id").alias("a"), F.col("rep").alias("b"))
+    own = ws.put(own.union(nodes.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))).distinct(), "own-links")
+
+    links = linked(stars, "star").union(own)
     comp = ws.put(components(ws, links), "star-components")
     member = ws.put(tables.join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     mixed = ws.put(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("key", "centre"), "mixed")
@@ -189,7 +213,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     if not near.isEmpty():
         family = ws.put(components(ws, near), "families").withColumnRenamed("component", "family")
         placed = family.join(comp.hint("merge"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-        told = ws.put(texts.join(placed.hint("merge"), "node"), "family-texts")
+        told = ws.put(texts_of(placed.select("node"), "family").join(ws.put(placed, "placed").hint("merge"), "node"), "family-members")
         load = told.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("x")).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
         blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
         load = ws.put(load.select("family", blocks.alias("blocks")), "family-blocks")
@@ -209,6 +233,6 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
 def dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` that are kept: one document of each component."""
-    key = fresh(docs, "kept_id")
-    kept = classes(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(kept.hint("merge"), F.col(id_col).cast("long") == kept[key], "left_anti")
+    key, ws = fresh(docs, "kept_id"), _runtime.Workspace(docs.sparkSession, "neardup")
+    gone = ws.put(classes(docs, id_col, text_col).where("not kept").select(F.col("doc_id").alias(key)).distinct(), "gone")
+    return docs.join(_runtime.beside(gone, gone.count() * 16), F.col(id_col).cast("long") == gone[key], "left_anti")

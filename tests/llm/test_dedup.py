@@ -69,6 +69,34 @@ def test_neardup_in_small_blocks(make, rng, monkeypatch):
     assert sorted((-1 if r.doc_id is None else r.doc_id, r.n_shingles, -1 if r.component_id is None else r.component_id) for r in got) == brute(rows)
 
 
+def test_one_document_with_several_texts(make, rng):
+    a, b, c = (words(rng, 40) for _ in range(3))
+    rows = [(5, a), (5, b), (7, b + " tail"), (9, a), (3, c), (9, c), (2, None), (2, "x"), (11, words(rng, 40))]
+    got = sorted((r.doc_id, r.n_shingles, r.component_id) for r in neardup.classes(make(rows)).collect())
+    assert got == sorted(brute(rows)) and {x[2] for x in got if x[0] in (3, 5, 7, 9)} == {3}
+
+
+def test_many_near_copies(make, rng):
+    """One family of 10,000 texts that all share keys but fall into many classes."""
+    tails = [words(rng, 14).split() for _ in range(40)]
+    head = words(rng, 42)
+    rows = [(k, f"{head} {' '.join(tails[k % 40])}{' end' if k % 3 else ''}") for k in range(10_000)]
+    got = {r.doc_id: r.component_id for r in neardup.classes(make(rows)).collect()}
+    distinct = {t: i for i, t in reversed(rows)}
+    want = {i: c for i, _, c in brute(sorted((i, t) for t, i in distinct.items()))}
+    assert all(got[i] == want[distinct[t]] for i, t in rows)
+
+
+def test_structured_words(make):
+    """Words that polynomial hashes modulo a power of two take for equal."""
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    b = a.translate(str.maketrans("ab", "ba"))
+    rows = [(1, f"one {a} two three four five"), (2, f"one {b} two three four five"), (3, f"one {a} two three four five")]
+    assert {r.doc_id: r.component_id for r in neardup.classes(make(rows)).collect()} == {1: 1, 2: 2, 3: 1}
+    got = substrings.dedup(make([(1, a), (2, b), (3, "x" + a)]), length=200, gram=40).collect()
+    assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated([(1, a), (2, b), (3, "x" + a)], 200, "none")
+
+
 def test_neardup_dedup_keeps_columns(make, rng):
     rows = near_rows(rng)
     docs = make(rows)
@@ -78,10 +106,11 @@ def test_neardup_dedup_keeps_columns(make, rng):
     assert neardup.dedup(make(rows).where("false")).count() == 0 and neardup.classes(make(rows).where("false")).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("part", [10**6, 30])
+def test_components_of_chains_and_stars(spark, part):
     ws = Workspace(spark, "test")
     edges = [(i, i + 1) for i in range(50)] + [(100, k) for k in range(101, 140)] + [(7, 7), (200, 199), (199, 200)]
-    got = {r.node: r.component for r in components.components(ws, spark.createDataFrame(edges, "a long, b long")).collect()}
+    got = {r.node: r.component for r in components.components(ws, spark.createDataFrame(edges, "a long, b long"), part=part).collect()}
     assert {got[k] for k in range(51)} == {0} and {got[k] for k in range(100, 140)} == {100} and got[200] == got[199] == 199
     assert components.components(ws, spark.createDataFrame([], "a long, b long")).count() == 0
 

@@ -42,3 +42,18 @@ def test_reductions_skip_empty_ranges():
     first = np.array([0, 0, 2, 2, 3])
     assert _text.reduce_min(np.array([3, 1, 7]), first, 99).tolist() == [99, 1, 99, 7]
     assert _text.reduce_sum(np.array([3, 1, 7]), first).tolist() == [0, 4, 0, 7]
+
+
+def thue_morse(n):
+    return "".join("ab"[bin(k).count("1") & 1] for k in range(n))
+
+
+def test_structured_words_do_not_collide():
+    pairs = []
+    for n in (16, 64, 256, 1024, 2048, 65536):
+        a = thue_morse(n)
+        pairs += [a, a.translate(str.maketrans("ab", "ba")), a + "b", "b" + a]
+    _, _, raw, offs = next(_text.chunks(pa.array(pairs, pa.string())))
+    assert len(set(_text.words(raw, offs).hash.tolist())) == len(pairs)
+    s, first = _text.shingles(_text.words(raw, offs))
+    assert len(set(s.tolist())) == len(pairs)
