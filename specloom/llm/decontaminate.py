@@ -8,7 +8,7 @@ the radius are verified exactly: the sum of the smaller shingle weights against
 
 A window that shares no shingle with an item cannot verify, so only windows around shared shingles are fingerprinted, for the sizes of
 the items that share them; this loses nothing. Documents are read in one pass without a shuffle. Items are a stated query set: they are sent to the tasks in
-blocks of at most ``BLOCK_ITEMS`` items and about ``BLOCK_BYTES`` bytes, whose sizes are checked first, and every block meets all documents.
+blocks of at most ``BLOCK_ITEMS`` items and ``BLOCK_BYTES`` bytes (or one longer item), whose sizes are checked first, and every block meets all documents.
 
 A document shorter than an item is one window. Items and documents of one to four words have one shingle of all their words and match only
 as a whole; null or empty ones match nothing. Repeated documents match alike; repeated items are reported each. For each document and item
@@ -165,23 +165,51 @@ def _block(docs: DataFrame, rows: list[tuple], similarity: float) -> DataFrame:
     return docs.mapInArrow(run, OUT)
 
 
+def _blocks(items: DataFrame, max_items: int, max_bytes: int) -> Iterator[list[tuple]]:
+    """All (id, text) in blocks. Equal texts go together with their ids; sizes are read before a block is: one that is too large is divided by other bits of its texts' hashes."""
+    hashed = items.select("id", "x", F.xxhash64("x").alias("h"))
+    todo = [(0, 0)]  # the texts whose hashes end in these bits
+    while todo:
+        bits, end = todo.pop()
+        part = hashed.where(F.col("h").bitwiseAND((1 << bits) - 1) == end)
+        n, size, texts = part.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("x") + 16), F.lit(0)), F.count_distinct("h")).first()
+        if n > max_items or size > max_bytes:
+            if texts > 1 and bits < 62:
+                todo += [(bits + 1, end | 1 << bits), (bits + 1, end)]
+                continue
+            # one text, longer than a block or repeated more often: alone, and once for each run of its ids
+            (text,) = part.select("x").first()
+            for ids in _runs(part, max_items):
+                yield [(i, text) for i in ids]
+        elif n:
+            yield sorted(((r.id, r.x) for r in part.collect()), key=repr)
+
+
+def _runs(part: DataFrame, size: int) -> Iterator[list]:
+    held = []
+    for r in part.select("id").toLocalIterator():
+        held.append(r.id)
+        if len(held) == size:
+            yield held
+            held = []
+    if held:
+        yield held
+
+
 def matches(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", similarity: float = SIMILARITY) -> DataFrame:
     """(doc_id, item_id, place and size of the window in words and bytes, distance, similarity) of every item found in a document."""
     _runtime.ship(docs.sparkSession)
-    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.col(item_text_col).alias("x"))
-    n, size = items.agg(F.count(F.lit(1)), F.coalesce(F.sum(F.octet_length("x")), F.lit(0))).first()
-    blocks = max(-(-n * 5 // (BLOCK_ITEMS * 4)) if n > BLOCK_ITEMS else 1, -(-size // BLOCK_BYTES))
+    items = benchmark.select(F.col(item_col).cast("long").alias("id"), F.coalesce(item_text_col, F.lit("")).alias("x"))
     read = docs.select(F.col(id_col).cast("long").alias("id"), F.col(text_col).alias("x"))
     out = None
-    for k in range(blocks):
-        part = items if blocks == 1 else items.where(F.pmod(F.xxhash64("id", "x"), F.lit(blocks)) == k)
-        found = _block(read, sorted(((r.id, r.x) for r in part.collect()), key=repr), similarity)
+    for rows in _blocks(items, BLOCK_ITEMS, BLOCK_BYTES):
+        found = _block(read, rows, similarity)
         out = found if out is None else out.unionByName(found)
-    return out
+    return _block(read.where("false"), [], similarity) if out is None else out
 
 
 def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` without the documents that hold a benchmark item."""
-    key = fresh(docs, "leaked_id")
-    leaked = matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct()
-    return docs.join(leaked.hint("merge"), F.col(id_col).cast("long") == leaked[key], "left_anti")
+    key, ws = fresh(docs, "leaked_id"), _runtime.Workspace(docs.sparkSession, "decontaminate")
+    leaked = ws.put(matches(docs, benchmark, id_col, text_col).select(F.col("doc_id").alias(key)).distinct(), "leaked")
+    return docs.join(_runtime.beside(leaked, leaked.count() * 16), F.col(id_col).cast("long") == leaked[key], "left_anti")

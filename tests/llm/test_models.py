@@ -78,6 +78,18 @@ def test_items_in_blocks(spark, make, rng, monkeypatch):
     assert decontaminate.matches(make(rows), bench.where("false")).count() == 0 and decontaminate.matches(make(rows).where("false"), bench).count() == 0
 
 
+def test_repeated_and_very_long_items(spark, make, rng, monkeypatch):
+    monkeypatch.setattr(decontaminate, "BLOCK_ITEMS", 16)
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 4000)
+    x, long = words(rng, 30), words(rng, 2000)
+    items = [(k, x) for k in range(40)] + [(100, long)] + [(200 + k, words(rng, 20)) for k in range(60)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    blocks = list(decontaminate._blocks(bench.selectExpr("item_id AS id", "text AS x"), 16, 4000))
+    assert sorted(i for b in blocks for i, _ in b) == sorted(i for i, _ in items) and max(map(len, blocks)) <= 16
+    got = {(r.doc_id, r.item_id) for r in decontaminate.matches(make([(1, f"a b {x} c"), (2, long), (3, items[50][1])]), bench).collect()}
+    assert got == {(1, k) for k in range(40)} | {(2, 100), (3, items[50][0])}
+
+
 def test_multi_index_finds_all_within_the_radius(rng):
     items = decontaminate.Items([(k, words(rng, 20)) for k in range(50)])
     g = np.random.default_rng(3)
@@ -124,6 +136,42 @@ def test_toxicity_is_learnt_from_documents_and_located(spark, make, rng):
     assert (again.places == model.places).all() and np.allclose(again.weights, model.weights)
 
 
+def test_scores_are_a_noisy_or_of_sentences(spark, make, rng):
+    """The score of a text from the model's weights, sentence by sentence, in plain Python."""
+    rows = labelled(rng, 300)
+    model = toxicity.fit(make([(d, t) for d, t, _ in rows]), spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int"))
+    weight = dict(zip(model.places.tolist(), model.weights.tolist()))
+    texts = [t for _, t, _ in rows[:60]] + ["Vilezz! vilezz vilezz. grobbish", "a\n\nb. .. !?", "GROBBISH grobbing vilezzz"]
+    got = {r.doc_id: r for r in toxicity.score(make(list(enumerate(texts))), model).collect()}
+    for k, t in enumerate(texts):
+        miss = 1.0
+        for sentence in re.split(r"[.!?\n]", t):
+            if not re.search(r"[A-Za-z0-9]", sentence):
+                continue
+            _, _, raw, offs = next(toxicity._text.chunks(pa.array([sentence])))
+            own = set(toxicity.features(toxicity._text.words(raw, offs, toxicity._SEP)).ravel().tolist())
+            miss *= 1 - 1 / (1 + math.exp(-(model.bias + sum(weight.get(f, 0) for f in own))))
+        assert abs(got[k].score - (1 - miss)) < 1e-5, t
+
+
+def test_a_repeated_document_is_fitted_once(spark, make, rng):
+    rows = labelled(rng, 200)
+    labels = spark.createDataFrame([(d, y) for d, _, y in rows], "doc_id long, toxic int")
+    plain = toxicity.fit(make([(d, t) for d, t, _ in rows]), labels)
+    many = toxicity.fit(make([(d, t) for d, t, _ in rows] + [(rows[3][0], rows[3][1])] * 3000), labels)
+    assert (plain.places == many.places).all() and np.allclose(plain.weights, many.weights)
+
+
+def test_structured_words_are_known_apart(spark, make):
+    a = "".join("ab"[bin(k).count("1") & 1] for k in range(1024))
+    b = a.translate(str.maketrans("ab", "ba"))
+    model = ngram.train(make([(1, f"x {a} y")]))
+    got = {r.doc_id: r.n_known for r in ngram.score(make([(1, a), (2, b)]), model).collect()}
+    assert got == {1: 2, 2: 1}
+    found = decontaminate.matches(make([(1, f"v w {a} x y z"), (2, f"v w {b} x y z")]), spark.createDataFrame([(7, f"w {a} x y z")], "item_id long, text string")).collect()
+    assert [(r.doc_id, r.item_id) for r in found] == [(1, 7)]
+
+
 def test_toxicity_without_both_labels(spark, make):
     docs = make([(1, "a b"), (2, "c")])
     none = spark.createDataFrame([], "doc_id long, toxic int")

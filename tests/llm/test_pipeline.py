@@ -3,6 +3,7 @@
 import os
 import random
 import re
+import zlib
 
 import pytest
 
@@ -59,6 +60,26 @@ def test_each_stage_does_its_work_and_keeps_clean_documents(spark, planted, tmp_
         assert sum(r.length for r in own) == own[0].doc_tokens
 
 
+def test_stages_on_odd_rows(spark, planted, tmp_path):
+    """Nulls in every column, repeated rows and ids, a very long text, ties and clashing names."""
+    folder, _ = planted
+    rng = random.Random(11)
+    long, same = words(rng, 40_000), words(rng, 70)
+    rows = [(9001, None, None, None, None), (None, None, None, None, None), (None, same, "en", "s", 1), (9002, "", "en", "s", 0), (9003, long, "en", "s", 1), (9004, same, "en", "s", 1), (9004, same, "en", "s", 1), (9004, words(rng, 50), "en", "s", 1), (9005, " \n\t", "en", "s", 3)]
+    names = "doc_id long, text string, lang string, source string, n_chars long"
+    docs = spark.createDataFrame([(*r, "k", 2, "x", "y") for r in rows], names + ", key string, node long, fp string, line_key string")
+    for k, (name, stage) in enumerate(pipeline.STAGES[:-1]):
+        out = stage(spark, docs, folder)
+        assert out.columns == docs.columns, name
+        out.write.parquet(f"{tmp_path}/{k}")
+        docs = spark.read.parquet(f"{tmp_path}/{k}")
+        assert sum(r.doc_id is None for r in docs.collect()) == 2, name
+    left = docs.collect()
+    assert {r.doc_id for r in left} == {None, 9001, 9002, 9003, 9004, 9005} and next(r.text for r in left if r.doc_id == 9003) == long
+    pieces = pipeline.pack(spark, docs, folder).collect()
+    assert {r.doc_id for r in pieces} == {None, 9001, 9002, 9003, 9004, 9005}
+
+
 def test_stages_are_in_order():
     assert [n for n, _ in pipeline.STAGES] == ["toxicity", "line dedup", "near duplicates", "decontamination", "packing"]
 
@@ -81,6 +102,9 @@ def test_registered_queries_return_every_row(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").count()
     for n in names:
         rows = q[n](spark, SF).count()
+        if n in ("op4_ngram", "op5_toxicity"):
+            fold, held = (7, 2) if n == "op4_ngram" else (5, 0)
+            assert all(r.held_out == (zlib.crc32(str(r.doc_id).encode()) % fold == held) for r in q[n](spark, SF).collect()), n
         if n.startswith(("op2_", "op4_", "op5_", "op6_", "op7_", "op10_")):
             assert rows == docs, n
         elif n.startswith("op3_"):
