@@ -42,14 +42,14 @@ def session() -> SparkSession:
     return SparkSession.builder.master(os.environ.get("SPARK_MASTER", "local[2]")).config("spark.ui.enabled", "false").config("spark.sql.shuffle.partitions", "4").config("spark.sql.session.timeZone", "UTC").getOrCreate()
 
 
-def load(path: str) -> dict:
-    """A file as a document. YAML suffixes are read as YAML, others in the older grammar."""
+def load(path: str, suffixes: tuple[str, ...] = specs.SUFFIXES) -> dict:
+    """A file as a document. Files of the given suffixes are read as YAML, others in the older grammar."""
     try:
         with open(path, encoding="utf-8") as f:
             text = f.read()
     except OSError as e:
         raise ProjectError(f"Failed to read file '{path}': {e}") from None
-    if os.path.splitext(path)[1] in (".yaml", ".yml") or path.endswith("dml"):
+    if path.endswith(suffixes):
         try:
             return specs.parse_text(text, specs.document_type())
         except Exception as e:
@@ -57,11 +57,20 @@ def load(path: str) -> dict:
     return legacy.parse(text)
 
 
-def frame(spark: SparkSession, path: str):
+def files(path: str, suffixes: tuple[str, ...]) -> list[str]:
+    """The file, or those of a folder, that have one of the suffixes."""
+    found = [path] if not os.path.isdir(path) else sorted(os.path.join(d, f) for d, _, names in os.walk(path) for f in names if f.endswith(suffixes))
+    if not found:
+        raise ProjectError(f"No specification file found in '{path}'")
+    return found
+
+
+def frame(spark: SparkSession, path: str, suffixes: tuple[str, ...] = specs.SUFFIXES):
+    """(doc, document) of a file or of all files of a folder."""
     kind = specs.document_type()
     from pyspark.sql import functions as F
 
-    return spark.createDataFrame([(path, json.dumps(load(path)))], "doc string, json string").select("doc", F.from_json("json", kind).alias("document"))
+    return spark.createDataFrame([(p, json.dumps(load(p, suffixes))) for p in files(path, suffixes)], "doc string, json string").select("doc", F.from_json("json", kind).alias("document"))
 
 
 def plain(value):
@@ -109,11 +118,11 @@ def init(name: str, force: bool = False) -> list[str]:
     return sorted(files)
 
 
-def write_files(rows, out: str) -> list[str]:
-    """Writes (path, content, keep_existing) rows; those to be kept are left alone if there."""
+def write_files(rows, out: str, folder: str | None = None) -> list[str]:
+    """Writes (doc, path, content, keep_existing) rows; those to be kept are left alone if there. Documents of a folder keep their places in it."""
     done = []
     for r in rows:
-        path = os.path.join(out, r.path)
+        path = os.path.join(out, os.path.splitext(os.path.relpath(r.doc, folder))[0] if folder else "", r.path)
         if r.keep_existing and os.path.exists(path):
             continue
         os.makedirs(os.path.dirname(path), exist_ok=True)
@@ -126,14 +135,14 @@ def write_files(rows, out: str) -> list[str]:
 class Project:
     """Migrations in a folder, their state, and the target document."""
 
-    def __init__(self, spark: SparkSession, folder: str, target: str | None) -> None:
-        self.spark, self.target, self.state_path = spark, target, os.path.join(folder, STATE_FILE)
+    def __init__(self, spark: SparkSession, folder: str, target: str | None, suffixes: tuple[str, ...] = specs.SUFFIXES) -> None:
+        self.spark, self.target, self.suffixes, self.state_path = spark, target, suffixes, os.path.join(folder, STATE_FILE)
         self.migrations = specs.read_migrations(spark, folder)
         self.state = migrate.read_state(spark, self.state_path)
         self.applied = migrate.applied_frame(spark, self.state)
 
     def document(self) -> dict:
-        return load(self.target) if self.target and os.path.exists(self.target) else empty_document()
+        return load(self.target, self.suffixes) if self.target and os.path.exists(self.target) else empty_document()
 
     def operations(self, ids: list[str], part: str) -> list[dict]:
         found = {r.id: r.migration.asDict(True) for r in self.migrations.where(self.migrations.id.isin(ids)).collect()} if ids else {}
@@ -166,17 +175,17 @@ class Project:
         return ids
 
 
-def add(target: str, op: dict) -> None:
+def add(target: str, op: dict, suffixes: tuple[str, ...] = specs.SUFFIXES) -> None:
     """One operation, checked first, on an existing file."""
     if not os.path.exists(target):
         raise ProjectError(f"Target file '{target}' does not exist")
     migrate.check_operation(op)
-    save(migrate.fold(load(target), [op]), target)
+    save(migrate.fold(load(target, suffixes), [op]), target)
 
 
-def default_target(folder: str = ".") -> str:
+def default_target(suffixes: tuple[str, ...] = specs.SUFFIXES, folder: str = ".") -> str:
     spark = session()
-    row = specs.default_file(spark.createDataFrame([(os.path.join(folder, f),) for f in sorted(os.listdir(folder))], "path string")).first()
+    row = specs.default_file(spark.createDataFrame([(os.path.join(folder, f),) for f in sorted(os.listdir(folder))], "path string"), suffixes).first()
     if not row:
         raise ProjectError("No specification file found")
     return row.path
@@ -184,7 +193,8 @@ def default_target(folder: str = ".") -> str:
 
 def parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="specloom")
-    p.add_argument("--verbose", action="store_true")
+    p.add_argument("--verbose", action="store_true", help="say which files are read, and how an error came about")
+    p.add_argument("--suffix", action="append", default=[], help="a further suffix of files that are read as YAML, as .spec")
     s = p.add_subparsers(dest="command", required=True)
     c = s.add_parser("init")
     c.add_argument("name")
@@ -223,8 +233,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--dry-run", action="store_true")
         c.add_argument("-n", "--count", type=int, default=1)
     t = s.add_parser("trace").add_subparsers(dest="kind", required=True)
-    for kind in ("validate", "graph", "matrix"):
-        t.add_parser(kind).add_argument("file")
+    for kind, forms in {"validate": (), "graph": ("dot", "svg"), "matrix": ("text", "csv", "html", "json")}.items():
+        c = t.add_parser(kind)
+        c.add_argument("file")
+        if forms:
+            c.add_argument("-f", "--format", choices=forms, default=forms[0])
+            c.add_argument("-o", "--output")
     return p
 
 
@@ -234,31 +248,41 @@ def run(argv: list[str], say=print) -> int:
         return _run(a, say)
     except ERRORS as e:
         say(f"Error: {e}")
+        if a.verbose:
+            import traceback
+
+            say("".join(traceback.format_exception(e)))
         return 1
 
 
 def _run(a: argparse.Namespace, say) -> int:
+    suffixes = (*specs.SUFFIXES, *a.suffix)
+    if a.verbose:
+        say(f"YAML suffixes: {' '.join(suffixes)}")
+        for f in files(getattr(a, "file", None) or getattr(a, "input", None) or ".", suffixes) if a.command in ("parse", "validate", "generate", "trace") else ():
+            say(f"Reading {f}")
     if a.command == "init":
         init(a.name, a.force)
         say(f"Created project {a.name}")
     elif a.command == "parse":
         import yaml
 
-        data = plain(load(a.file))
+        data = plain(load(a.file, suffixes))
         say(yaml.safe_dump(data, sort_keys=False, allow_unicode=True) if a.output == "yaml" else json.dumps(data, indent=2, ensure_ascii=False))
     elif a.command == "validate":
-        docs = frame(session(), a.file)
+        docs = frame(session(), a.file, suffixes)
         report = rules.report(docs, rules.validate(docs))
-        row = (rules.report_json(report) if a.output == "json" else rules.report_text(report, a.strict)).first()
-        say(row[1])
+        for row in (rules.report_json(report) if a.output == "json" else rules.report_text(report, a.strict)).orderBy("doc").collect():
+            say(row[1])
         if a.strict:
             rules.strict_gate(rules.validate(docs))
     elif a.command == "generate":
-        docs = frame(session(), a.input)
-        done = write_files(render.generate(docs, a.language).collect(), a.output)
+        docs = frame(session(), a.input, suffixes)
+        one = not os.path.isdir(a.input)  # the files of a folder's documents go to folders of their own
+        done = write_files(render.generate(docs, a.language).collect(), a.output, None if one else a.input)
         say(f"Successfully generated {len(done)} files:")
         if a.with_tests:
-            more = write_files(render.tests(docs, a.language).collect(), a.output)
+            more = write_files(render.tests(docs, a.language).collect(), a.output, None if one else a.input)
             say(f"Generated {len(more)} test files:")
             done += more
         for f in done:
@@ -267,13 +291,13 @@ def _run(a: argparse.Namespace, say) -> int:
         op = {k.replace("-", "_"): v for k, v in vars(a).items() if v is not None} | {"type": f"add_{a.kind}"}
         if a.kind == "field":
             op["default"] = None if a.default is None else _cli_default(a.default)
-        target = a.target or default_target()
-        add(target, op)
+        target = a.target or default_target(suffixes)
+        add(target, op, suffixes)
         say(f"Successfully added {a.kind}")
     elif a.command == "list":
-        say(rules.listing_text(frame(session(), a.target or default_target()), a.kind).first()[1])
+        say(rules.listing_text(frame(session(), a.target or default_target(suffixes), suffixes), a.kind).first()[1])
     elif a.command == "migrate":
-        p = Project(session(), a.path, a.target)
+        p = Project(session(), a.path, a.target, suffixes)
         if a.kind == "status":
             r = migrate.status(p.migrations, p.applied).first()
             say(f"Total: {r.total}\nApplied: {r.applied_count}\nPending: {r.pending_count}")
@@ -293,15 +317,16 @@ def _run(a: argparse.Namespace, say) -> int:
                         say(lines[k])
             say(f"{'Would ' if a.dry_run else ''}{a.kind}: {len(ids)} migrations")
     else:
-        docs = frame(session(), a.file)
+        docs = frame(session(), a.file, suffixes)
         if a.kind == "graph":
-            say("\n".join(r.dot for r in trace.graph(docs).collect()))
+            _out(a, say, "".join(r[1] for r in (trace.graph(docs) if a.format == "dot" else trace.graph_svg(docs)).orderBy("doc").collect()))
+        elif a.kind == "matrix" and a.format != "text":
+            _out(a, say, "".join(r.text for r in trace.matrix_text(docs, a.format).orderBy("doc").collect()))
         elif a.kind == "matrix":
-            for r in trace.matrix(docs).orderBy("from").collect():
-                say(f"{r['from']}: " + ", ".join(f"{x.to} ({x.relation})" for x in r.links))
+            _out(a, say, "\n".join(f"{r['from']}: " + ", ".join(f"{x.to} ({x.relation})" for x in r.links) for r in trace.matrix(docs).orderBy("doc", "from").collect()))
         else:
             bad = trace.validate(docs).orderBy("from", "to", "problem").collect()
-            loops = trace.cycles(trace.Catalog(docs).edges()).collect()
+            loops = trace.cycles(trace.Catalog(docs).edges(), group="doc").orderBy("doc", "node").collect()
             for r in bad:
                 say(f"{r['from']} -> {r.to} ({r.relation}): {r.problem}")
             for r in loops:
@@ -310,6 +335,14 @@ def _run(a: argparse.Namespace, say) -> int:
     return 0
 
 
+def _out(a: argparse.Namespace, say, text: str) -> None:
+    if not a.output:
+        return say(text)
+    with open(a.output, "w", encoding="utf-8") as f:
+        f.write(text)
+    say(f"Wrote {a.output}")
+
+
 def _cli_default(text: str) -> str:
     """As functions.scalars.cli_default, for one value."""
     import re

@@ -31,24 +31,10 @@ def _file(path: str, section: str, content: Column) -> Column:
     return F.when(F.size(section) > 0, F.struct(L(path).alias("path"), content.alias("content"), L(False).alias("keep_existing")))
 
 
-def _constant(path: str, content: str) -> Column:
-    return F.struct(L(path).alias("path"), L(content).alias("content"), L(True).alias("keep_existing"))
-
-
-def _required(f: Column) -> Column:
-    """An absent mark means required."""
-    return F.coalesce(f["required"], L(True))
-
-
-def typescript(title: str) -> list[Column]:
-    field = lambda f: F.concat(L("  "), f["name"], F.when(_required(f), "").otherwise("?"), L(": "), type_name(f["type"], "typescript"), L(";\n"))
-    types = _join("entities", lambda e: F.concat(L("export interface "), pascal_case(e["id"]), L(" {\n"), _join(e["fields"], field), L("}\n\n")))
-
-    def route(a: Column) -> Column:
-        comment = F.when(a["input"].isNotNull(), F.concat(L("  // Input: "), F.coalesce(a["input"]["entity"], L("unknown")), L("\n"))).otherwise("")
-        return F.concat(L("router."), F.lower(http_verb(a["id"])), L("('/"), route_name(a["id"]), L("', (req, res) => {\n  // TODO: Implement action logic\n"), comment, L("  res.status(501).json({ error: 'Not implemented' });\n});\n\n"))
-
-    manifest = """{
+#: Manifests and entry files of a language, by path.
+MANIFESTS: dict[str, Callable[[str], dict[str, str]]] = {
+    "typescript": lambda title: {
+        "package.json": """{
   "name": "%s",
   "version": "1.0.0",
   "description": "Generated API from specification",
@@ -69,10 +55,49 @@ def typescript(title: str) -> list[Column]:
   }
 }
 """
+        % title.lower().replace(" ", "-")
+    },
+    "python": lambda title: {
+        "requirements.txt": "fastapi>=0.100.0\nuvicorn>=0.23.0\npydantic>=2.0.0\n",
+        "main.py": f"""from fastapi import FastAPI
+from .routes import router
+
+app = FastAPI(title="{title}", version="1.0.0")
+app.include_router(router, prefix="/api")
+
+if __name__ == "__main__":
+    import uvicorn
+    uvicorn.run(app, host="0.0.0.0", port=8000)
+""",
+    },
+    "go": lambda title: {
+        "go.mod": f"module {title.lower().replace(' ', '-')}\n\ngo 1.21\n\nrequire github.com/gin-gonic/gin v1.9.0\n",
+        "main.go": 'package main\n\nimport (\n    "github.com/gin-gonic/gin"\n)\n\nfunc main() {\n    r := gin.Default()\n    SetupRoutes(r)\n    r.Run(":8080")\n}\n',
+    },
+}
+
+
+def _constants(language: str, title: str) -> list[Column]:
+    return [F.struct(L(path).alias("path"), L(content).alias("content"), L(True).alias("keep_existing")) for path, content in MANIFESTS[language](title).items()]
+
+
+def _required(f: Column) -> Column:
+    """An absent mark means required."""
+    return F.coalesce(f["required"], L(True))
+
+
+def typescript(title: str) -> list[Column]:
+    field = lambda f: F.concat(L("  "), f["name"], F.when(_required(f), "").otherwise("?"), L(": "), type_name(f["type"], "typescript"), L(";\n"))
+    types = _join("entities", lambda e: F.concat(L("export interface "), pascal_case(e["id"]), L(" {\n"), _join(e["fields"], field), L("}\n\n")))
+
+    def route(a: Column) -> Column:
+        comment = F.when(a["input"].isNotNull(), F.concat(L("  // Input: "), F.coalesce(a["input"]["entity"], L("unknown")), L("\n"))).otherwise("")
+        return F.concat(L("router."), F.lower(http_verb(a["id"])), L("('/"), route_name(a["id"]), L("', (req, res) => {\n  // TODO: Implement action logic\n"), comment, L("  res.status(501).json({ error: 'Not implemented' });\n});\n\n"))
+
     return [
         _file("types.ts", "entities", F.concat(L("// Generated entity interfaces\n\n"), types)),
         _file("routes.ts", "actions", F.concat(L("import express from 'express';\nconst router = express.Router();\n\n"), _join("actions", route), L("export default router;\n"))),
-        _constant("package.json", manifest % title.lower().replace(" ", "-")),
+        *_constants("typescript", title),
     ]
 
 
@@ -91,21 +116,10 @@ def python(title: str) -> list[Column]:
         data = F.when(a["input"].isNotNull(), F.concat(L("data: "), F.coalesce(pascal_case(a["input"]["entity"]), L("dict")))).otherwise("")
         return F.concat(L("@router."), F.lower(http_verb(a["id"])), L('("/'), route_name(a["id"]), L('")\nasync def '), a["id"], L("("), data, L('):\n    """TODO: Implement action logic"""\n    raise HTTPException(status_code=501, detail="Not implemented")\n\n'))
 
-    entry = f"""from fastapi import FastAPI
-from .routes import router
-
-app = FastAPI(title="{title}", version="1.0.0")
-app.include_router(router, prefix="/api")
-
-if __name__ == "__main__":
-    import uvicorn
-    uvicorn.run(app, host="0.0.0.0", port=8000)
-"""
     return [
         _file("models.py", "entities", F.concat(L("from pydantic import BaseModel\nfrom typing import Optional, List, Any\nfrom datetime import date, datetime\n\n"), _join("entities", model))),
         _file("routes.py", "actions", F.concat(L("from fastapi import APIRouter, HTTPException\nfrom typing import List, Optional\nfrom .models import *\n\nrouter = APIRouter()\n\n"), _join("actions", route))),
-        _constant("requirements.txt", "fastapi>=0.100.0\nuvicorn>=0.23.0\npydantic>=2.0.0\n"),
-        _constant("main.py", entry),
+        *_constants("python", title),
     ]
 
 
@@ -123,8 +137,7 @@ def go(title: str) -> list[Column]:
     return [
         _file("types.go", "entities", F.concat(L('package main\n\nimport "time"\n\n'), types)),
         _file("handlers.go", "actions", F.concat(L(head), _join("actions", handler), L(setup), _join("actions", route), L("}\n"))),
-        _constant("go.mod", f"module {title.lower().replace(' ', '-')}\n\ngo 1.21\n\nrequire github.com/gin-gonic/gin v1.9.0\n"),
-        _constant("main.go", 'package main\n\nimport (\n    "github.com/gin-gonic/gin"\n)\n\nfunc main() {\n    r := gin.Default()\n    SetupRoutes(r)\n    r.Run(":8080")\n}\n'),
+        *_constants("go", title),
     ]
 
 

@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..model import PRINCIPLES
 from ..plans.catalog import Catalog
+from ..shipping import stored
 from .relational import coverage as _coverage
 from .relational import union_all
 
@@ -14,30 +19,122 @@ from .relational import union_all
 RELATIONS = ("implements", "verifies", "tests", "blocks", "depends_on", "represented_by", "calls", "configures")
 
 
-def depths(edges: DataFrame, child: str, parent: str, limit: int = 200) -> DataFrame:
-    """(node, depth): the longest way from a node without parents. Each round is one join on the frontier; a way longer than ``limit`` is a cycle.
-
-    All ways are walked, so this is for graphs of the size of schemas and migration logs.
+#: A graph of at most so many edges is walked in one task; the nodes of a larger one are peeled in rounds over stored tables.
+ONE_TASK = 100_000
+
+
+def depths(edges: DataFrame, child: str, parent: str, one_task: int = ONE_TASK) -> DataFrame:
+    """(node, depth): the longest way from a node without parents; null on or behind a cycle. Every edge is used once, whatever the number of ways."""
+    e = edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).where("c is not null and p is not null").distinct()
+    if e.limit(one_task + 1).count() > one_task:
+        return _peeled(e)
+    kind = dict(e.dtypes)["c"]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        below, open_, depth = defaultdict(list), Counter(), {}
+        for b in batches:
+            for c, p in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                below[p].append(c)
+                open_[c] += 1
+        free = [p for p in below if p not in open_]
+        nodes = set(below) | set(open_)
+        depth = dict.fromkeys(free, 0)
+        for p in free:  # grows as it is read
+            for c in below.get(p, ()):
+                depth[c] = max(depth.get(c, 0), depth[p] + 1)
+                open_[c] -= 1
+                if not open_[c]:
+                    free.append(c)
+        settled = set(free)
+        yield pa.RecordBatch.from_pydict({"node": list(nodes), "depth": pa.array([depth[x] if x in settled else None for x in nodes], pa.int32())})
+
+    return e.coalesce(1).mapInArrow(run, f"node {kind}, depth int")
+
+
+def _peeled(e: DataFrame) -> DataFrame:
+    """Round by round, the nodes whose parents all went before."""
+    e = stored(e)
+    level = stored(e.select(F.col("p").alias("node")).distinct().join(e.select(F.col("c").alias("node")).distinct(), "node", "left_anti"))
+    out, k = [], 0
+    while not level.isEmpty():
+        out.append(level.withColumn("depth", F.lit(k)))
+        rest = stored(e.join(level, e["p"] == level["node"], "left_anti"))
+        reached = e.join(level, e["p"] == level["node"], "left_semi").select(F.col("c").alias("node")).distinct()
+        level = stored(reached.join(rest.select(F.col("c").alias("node")).distinct(), "node", "left_anti"))
+        e, k = rest, k + 1
+    return union_all([*out, e.select(F.col("c").alias("node"), F.lit(None).cast("int").alias("depth")).distinct()])
+
+
+def _parts(edges: dict[str, list[str]]) -> list[list[str]]:
+    """Sets of nodes that all reach each other, by one depth-first walk with a stack of its own."""
+    number, low, path, on, out = {}, {}, [], set(), []
+    for root in edges:
+        work = [] if root in number else [(root, iter(edges[root]))]
+        if work:
+            number[root] = low[root] = len(number)
+            path.append(root)
+            on.add(root)
+        while work:
+            at, rest = work[-1]
+            for to in rest:
+                if to not in number:
+                    number[to] = low[to] = len(number)
+                    path.append(to)
+                    on.add(to)
+                    work.append((to, iter(edges.get(to, ()))))
+                    break
+                if to in on:
+                    low[at] = min(low[at], number[to])
+            else:
+                work.pop()
+                if work:
+                    low[work[-1][0]] = min(low[work[-1][0]], low[at])
+                if low[at] == number[at]:
+                    part = []
+                    while not part or part[-1] != at:
+                        part.append(path.pop())
+                        on.discard(part[-1])
+                    out.append(part)
+    return out
+
+
+def _shortest(edges: dict[str, list[str]], start: str) -> list[str]:
+    """A shortest way from a node back to itself; of several, by the smallest next nodes."""
+    came, queue = {}, [start]
+    for at in queue:
+        for to in sorted(edges.get(at, ())):
+            if to == start:
+                way = [at]
+                while way[-1] != start:
+                    way.append(came[way[-1]])
+                return [*way[::-1], start]
+            if to not in came:
+                came[to] = at
+                queue.append(to)
+    return []
+
+
+def cycles(edges: DataFrame, source: str = "from", target: str = "to", group: str | None = None) -> DataFrame:
+    """(node, path), with ``group`` before: for each set of nodes that all reach each other a shortest cycle through its smallest node, whatever its length.
+
+    A group is one document's graph and is walked in one task; without ``group`` all edges are one graph.
     """
-    spark = edges.sparkSession
-    edges.select(F.col(child).alias("c"), F.col(parent).alias("p")).distinct().createOrReplaceTempView("_depth_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE w(node, depth) MAX RECURSION LEVEL {limit} AS (
-            SELECT p, 0 FROM (SELECT DISTINCT p FROM _depth_edges LEFT ANTI JOIN (SELECT DISTINCT c AS k FROM _depth_edges) ON p = k)
-            UNION ALL SELECT e.c, w.depth + 1 FROM w JOIN _depth_edges e ON e.p = w.node)
-        SELECT node, max(depth) AS depth FROM w GROUP BY node""")
-
-
-def cycles(edges: DataFrame, source: str = "from", target: str = "to", max_length: int = 50) -> DataFrame:
-    """(node, path): for nodes that reach themselves, the ways back of at most ``max_length`` edges, each begun at its smallest node."""
-    spark = edges.sparkSession
-    edges.select(F.col(source).alias("s"), F.col(target).alias("t")).distinct().createOrReplaceTempView("_cycle_edges")
-    return spark.sql(f"""
-        WITH RECURSIVE w(start, at, path, closed) MAX RECURSION LEVEL {max_length + 2} AS (
-            SELECT s, t, array(s, t), s = t FROM _cycle_edges WHERE t >= s
-            UNION ALL SELECT w.start, e.t, concat(w.path, array(e.t)), e.t = w.start FROM w JOIN _cycle_edges e ON e.s = w.at
-            WHERE NOT w.closed AND (e.t = w.start OR (e.t > w.start AND NOT array_contains(w.path, e.t))) AND size(w.path) <= {max_length})
-        SELECT start AS node, array_join(path, ' -> ') AS path FROM w WHERE closed""")
+    e = edges.select((F.col(group) if group else F.lit("")).alias("g"), F.col(source).cast("string").alias("s"), F.col(target).cast("string").alias("t")).where("s is not null and t is not null").distinct()
+
+    def run(t: pa.Table) -> pa.Table:
+        graph = defaultdict(list)
+        for s, to in zip(t.column("s").to_pylist(), t.column("t").to_pylist()):
+            graph[s].append(to)
+        found = []
+        for part in _parts(dict(graph)):
+            own = set(part)
+            inside = {x: [y for y in graph.get(x, ()) if y in own] for x in part}
+            if way := _shortest(inside, min(part)):
+                found.append((way[0], " -> ".join(way)))
+        return pa.table({"g": pa.array([t.column("g")[0].as_py()] * len(found), t.schema.field("g").type), "node": pa.array([x[0] for x in found], pa.string()), "path": pa.array([x[1] for x in found], pa.string())})
+
+    out = e.groupBy("g").applyInArrow(run, f"g {dict(e.dtypes)['g']}, node string, path string")
+    return out.withColumnRenamed("g", group) if group else out.drop("g")
 
 
 def validate(docs: DataFrame, relations: tuple[str, ...] = RELATIONS) -> DataFrame:
@@ -64,6 +161,37 @@ def matrix(docs: DataFrame) -> DataFrame:
     return Catalog(docs).edges().groupBy("doc", "from").agg(F.array_sort(cell).alias("links"))
 
 
+def matrix_text(docs: DataFrame, form: str = "csv") -> DataFrame:
+    """(doc, text): the matrix as csv, html or json; a row for each source, a column for each target, relations in the cells."""
+    rows = matrix(docs).groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("from", "links"))).alias("rows"))
+    targets = F.array_sort(F.array_distinct(F.flatten(F.transform("rows", lambda r: F.transform(r["links"], lambda x: x["to"])))))
+    rows = rows.withColumn("targets", targets)
+    cell = lambda r, t: F.array_join(F.transform(F.filter(r["links"], lambda x: x["to"] == t), lambda x: x["relation"]), " ")
+    if form == "json":
+        return rows.select("doc", F.to_json(F.transform("rows", lambda r: F.struct(r["from"].alias("from"), r["links"].alias("links")))).alias("text"))
+    if form == "csv":
+        quoted = lambda x: F.concat(F.lit('"'), F.replace(x, F.lit('"'), F.lit('""')), F.lit('"'))
+        line = lambda head, cells: F.concat(F.array_join(F.concat(F.array(quoted(head)), F.transform(cells, quoted)), ","), F.lit("\n"))
+        return rows.select("doc", F.concat(line(F.lit("from"), F.col("targets")), F.array_join(F.transform("rows", lambda r: line(r["from"], F.transform("targets", lambda t: cell(r, t)))), "")).alias("text"))
+    if form == "html":
+        safe = lambda x: F.replace(F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;")), F.lit(">"), F.lit("&gt;"))
+        line = lambda tag, head, cells: F.concat(F.lit("<tr><th>"), safe(head), F.lit("</th>"), F.array_join(F.transform(cells, lambda x: F.concat(F.lit(f"<{tag}>"), safe(x), F.lit(f"</{tag}>"))), ""), F.lit("</tr>\n"))
+        return rows.select("doc", F.concat(F.lit("<table>\n"), line("th", F.lit(""), F.col("targets")), F.array_join(F.transform("rows", lambda r: line("td", r["from"], F.transform("targets", lambda t: cell(r, t)))), ""), F.lit("</table>\n")).alias("text"))
+    raise ValueError(f"unknown format {form!r}: csv, html or json")
+
+
+def graph_svg(docs: DataFrame) -> DataFrame:
+    """(doc, text): the links as an SVG drawing, sources on the left, targets on the right."""
+    per = Catalog(docs).edges().groupBy("doc").agg(F.array_sort(F.collect_set(F.struct("from", "to", "relation"))).alias("e"))
+    per = per.withColumn("l", F.array_sort(F.array_distinct(F.transform("e", lambda x: x["from"])))).withColumn("r", F.array_sort(F.array_distinct(F.transform("e", lambda x: x["to"]))))
+    safe = lambda x: F.replace(F.replace(x, F.lit("&"), F.lit("&amp;")), F.lit("<"), F.lit("&lt;"))
+    y = lambda side, x: F.array_position(side, x).cast("int") * 24
+    label = lambda side, at, anchor: F.array_join(F.transform(side, lambda x, i: F.concat(F.lit(f'<text x="{at}" y="'), ((i + 1) * 24 + 4).cast("string"), F.lit(f'" text-anchor="{anchor}">'), safe(x), F.lit("</text>\n"))), "")
+    line = F.array_join(F.transform("e", lambda x: F.concat(F.lit('<line x1="205" x2="395" y1="'), y(F.col("l"), x["from"]).cast("string"), F.lit('" y2="'), y(F.col("r"), x["to"]).cast("string"), F.lit('" stroke="black"><title>'), safe(x["relation"]), F.lit("</title></line>\n"))), "")
+    height = ((F.greatest(F.size("l"), F.size("r")) + 1) * 24).cast("string")
+    return per.select("doc", F.concat(F.lit('<svg xmlns="http://www.w3.org/2000/svg" width="600" height="'), height, F.lit('">\n'), label(F.col("l"), 200, "end"), label(F.col("r"), 400, "start"), line, F.lit("</svg>\n")).alias("text"))
+
+
 def coverage(docs: DataFrame) -> DataFrame:
     """Share of ids with at least one link, and links to nowhere, over all documents."""
     c = Catalog(docs)

@@ -7,43 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from . import corpus
 from .functions import scalars as S
-from .operators import constraints, migrate, render, rules, trace
+from .operators import constraints, trace
 from .operators import relational as R
-from .plans.catalog import Catalog
-from .sources.specs import parse_specs
 from .streaming.specs import counts_by_window
 
 NAMES = ["order_item", "user", "oRDER__x_", "get_user", "list_orders", "create_order", "add_item", "update_user", "modify_cart", "delete_user", "remove_item", "checkout", "getuser", ""]
 KINDS = ["string", "int", "integer", "float", "double", "bool", "boolean", "date", "datetime", "uuid", "String", ""]
-EDGES = [("nation", "region"), ("customer", "nation"), ("supplier", "nation"), ("orders", "customer"), ("lineitem", "orders"), ("lineitem", "part"), ("lineitem", "supplier")]
-LINKS = [("a", "b"), ("b", "c"), ("c", "a"), ("c", "d"), ("d", "e"), ("e", "d"), ("f", "f"), ("g", "a")]
-SHOP = """
-metadata: {version: "1.3"}
-entities:
-  - id: shop_user
-    name: User
-    description: Someone who buys
-    fields:
-      - {name: id, type: string}
-      - {name: age, type: int, required: false, default: 18}
-      - {name: active, type: boolean, default: true}
-  - id: cart
-    fields: [{name: total, type: float, default: 0.5}, {name: "", type: date}]
-actions:
-  - {id: get_cart, input: {entity: shop_user}}
-  - {id: remove_cart}
-features:
-  - id: buying
-    title: Buying
-    dependencies: [paying, cart]
-    scenarios: [{id: cart, title: Fill, given: [a cart], when: [an item is added], then: [it is there]}]
-traceability:
-  - {from: buying, to: get_cart, relation: implements}
-  - {from: buying, to: nothing, relation: tests}
-"""
-
-
 def _t(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -151,12 +122,26 @@ def positional_index(spark, sf):
     return _t(spark, sf, "conversations").select("conv_id", "turn", (F.row_number().over(w) - 1).cast("long").alias("position"))
 
 
+REFERENCES = [("customer", "'c' || c_custkey", "'n' || c_nationkey"), ("supplier", "'s' || s_suppkey", "'n' || s_nationkey"), ("nation", "'n' || n_nationkey", "'r' || n_regionkey"), ("orders", "'o' || o_orderkey", "'c' || o_custkey")]
+
+
 def topo_depth(spark, sf):
-    return trace.depths(spark.createDataFrame(EDGES, "child string, parent string"), "child", "parent").select("node", F.col("depth").cast("long").alias("depth"))
+    edges = R.union_all([_t(spark, sf, t).select(F.expr(a).alias("child"), F.expr(b).alias("parent")) for t, a, b in REFERENCES])
+    return trace.depths(edges, "child", "parent").select("node", F.col("depth").cast("long").alias("depth"))
 
 
 def cycle_check(spark, sf):
-    return trace.cycles(spark.createDataFrame(LINKS, "from string, to string"))
+    """The nations of a region lead to each other in a ring; suppliers lead to it, and the ring to customers. Every region leads to itself."""
+    from pyspark.sql import Window as W
+
+    key = lambda c: F.concat(F.lit("n"), F.lpad(c.cast("string"), 3, "0"))
+    w = W.partitionBy("n_regionkey").orderBy("n_nationkey")
+    whole = w.rowsBetween(W.unboundedPreceding, W.unboundedFollowing)
+    ring = _t(spark, sf, "nation").select(key(F.col("n_nationkey")).alias("s"), key(F.coalesce(F.lead("n_nationkey").over(w), F.first("n_nationkey").over(whole))).alias("t"))
+    into = _t(spark, sf, "supplier").select(F.expr("'s' || s_suppkey").alias("s"), key(F.col("s_nationkey")).alias("t"))
+    out = _t(spark, sf, "customer").select(key(F.col("c_nationkey")).alias("s"), F.expr("'c' || c_custkey").alias("t"))
+    own = _t(spark, sf, "region").select(F.expr("'r' || r_regionkey").alias("s"), F.expr("'r' || r_regionkey").alias("t"))
+    return trace.cycles(R.union_all([ring, into, out, own]), "s", "t")
 
 
 def pascal_case(spark, sf):
@@ -226,62 +211,11 @@ def event_windows(spark, sf):
     return counts_by_window(_t(spark, sf, "events")).select(F.col("window.start").alias("start"), "event_type", "n")
 
 
-OPS = [("add_feature", "f", "", None), ("add_feature", "f", "Title", None), ("remove_entity", " \t", None, None), ("remove_entity", "  ", None, None), ("add_entity", "e", None, "E"), ("add_entity", "e", None, " "), ("modify_entity", "", None, None), ("remove_feature", "x", None, None)]
-
-
-def _ops(spark):
-    rows = spark.createDataFrame([(k, *o) for k, o in enumerate(OPS)], "seq long, type string, id string, title string, name string")
-    return rows.select("*", *(F.lit(None).cast("string").alias(c) for c in ("condition", "applies_to", "entity_id", "field_name", "field_type", "new_name", "target_id", "target_type")))
-
-
-def operation_checks(spark, sf):
-    return _ops(spark).select("seq", migrate.operation_errors().isNotNull().alias("bad"))
-
-
-def operation_lines(spark, sf):
-    return _ops(spark).where("seq in (1, 4, 6, 7)").select("seq", migrate.describe().alias("line"))
-
-
-def _shop(spark):
-    return parse_specs(spark.createDataFrame([("shop", SHOP)], "doc string, text string"), "FAILFAST")
-
-
-def spec_validation(spark, sf):
-    return rules.validate(_shop(spark)).select("rule", "section", "ord", "sub", "check", "message")
-
-
-def spec_report(spark, sf):
-    docs = _shop(spark)
-    return rules.report(docs, rules.validate(docs)).select("doc", "valid", F.col("error_count").cast("long").alias("error_count"), F.array_join("errors", "\n").alias("errors"))
-
-
-def spec_listing(spark, sf):
-    return R.union_all([rules.listing(_shop(spark), k).select(F.lit(k).alias("kind"), "ord", "id", "label", F.coalesce("count", F.lit(0)).alias("count")) for k in ("entities", "features", "actions")])
-
-
-def spec_render(spark, sf):
-    return R.union_all([render.generate(_shop(spark), k).where("not keep_existing").select(F.lit(k).alias("language"), "path", "content") for k in ("typescript", "python", "go")])
-
-
-def render_entity(spark, sf):
-    """The interface file of a specification."""
-    return render.generate(_shop(spark), "typescript").where("path = 'types.ts'").select("path", "content")
-
-
-def spec_steps(spark, sf):
-    return Catalog(_shop(spark)).steps().select("feature", "scenario", "phase", "n", "text")
-
-
-def spec_migration(spark, sf):
-    ops = spark.createDataFrame([("shop", 1, ("add_field", "cart", "note", "string")), ("shop", 2, ("remove_field", "cart", "total", None))], "doc string, seq int, op struct<type: string, entity_id: string, field_name: string, field_type: string>")
-    return Catalog(migrate.replay_corpus(_shop(spark), ops)).fields().select("entity", "ord", "sub", "name", "type")
-
-
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """required_ids_report duplicate_ids duplicate_rows duplicate_ids_global dangling_refs required_fields list_with_counts validation_summary pending_set status_counts
     rollback_plan log_replay_survivors last_modification_wins find_first retain_filter semi_filter positional_index topo_depth cycle_check pascal_case http_verb route_name type_map sample_values
-    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts event_windows operation_checks operation_lines spec_validation spec_report spec_listing render_entity spec_render spec_steps spec_migration"""
-    return {n: globals()[n] for n in names.split()}
+    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts event_windows"""
+    return {n: globals()[n] for n in names.split()} | corpus.queries()
 
 
 def _case(table: dict[str, str], other: str, column: str = "x") -> str:
@@ -322,8 +256,8 @@ def oracle_sql() -> dict[str, str]:
         "retain_filter": "SELECT c_custkey, c_nationkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
         "semi_filter": "SELECT s_suppkey, s_nationkey FROM supplier WHERE s_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey = 1)",
         "positional_index": "SELECT conv_id, turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS position FROM conversations",
-        "topo_depth": f"WITH RECURSIVE e AS ({_rows(EDGES, 'c, p')}), w(node, depth) AS (SELECT DISTINCT p, 0 FROM e WHERE p NOT IN (SELECT c FROM e) UNION ALL SELECT e.c, w.depth + 1 FROM w JOIN e ON e.p = w.node) SELECT node, max(depth)::BIGINT AS depth FROM w GROUP BY node",
-        "cycle_check": f"WITH RECURSIVE e AS ({_rows(LINKS, 's, t')}), w(start, here, path, closed) AS (SELECT s, t, [s, t], s = t FROM e WHERE t >= s UNION ALL SELECT w.start, e.t, list_append(w.path, e.t), e.t = w.start FROM w JOIN e ON e.s = w.here WHERE NOT w.closed AND (e.t = w.start OR (e.t > w.start AND NOT list_contains(w.path, e.t)))) SELECT start AS node, array_to_string(path, ' -> ') AS path FROM w WHERE closed",
+        "topo_depth": "WITH RECURSIVE e AS (" + " UNION ".join(f"SELECT {a} AS c, {b} AS p FROM {t}" for t, a, b in REFERENCES) + "), w(node, depth) AS (SELECT DISTINCT p, 0 FROM e WHERE p NOT IN (SELECT c FROM e) UNION ALL SELECT e.c, w.depth + 1 FROM w JOIN e ON e.p = w.node) SELECT node, max(depth)::BIGINT AS depth FROM w GROUP BY node",
+        "cycle_check": "WITH n AS (SELECT n_regionkey, 'n' || lpad(n_nationkey::VARCHAR, 3, '0') AS x FROM nation) SELECT min(x) AS node, string_agg(x, ' -> ' ORDER BY x) || ' -> ' || min(x) AS path FROM n GROUP BY n_regionkey UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey || ' -> r' || r_regionkey FROM region",
         "pascal_case": f"SELECT x, array_to_string(list_transform(string_split(x, '_'), lambda w: upper(w[1]) || w[2:]), '') AS pascal FROM (SELECT lower(n_name) AS x FROM nation UNION ALL SELECT x FROM {_sql_values(NAMES)})",
         "http_verb": f"SELECT x, {_VERB} AS verb FROM {_sql_values(NAMES)}",
         "route_name": f"SELECT x, replace(x, '_', '-') AS route FROM (SELECT n_name AS x FROM nation UNION ALL SELECT x FROM {_sql_values(NAMES)})",
@@ -343,14 +277,4 @@ def oracle_sql() -> dict[str, str]:
         "trace_matrix": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOP") + " FROM orders GROUP BY 1",
         "element_counts": "SELECT lang, source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL",
         "event_windows": "SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n FROM events GROUP BY ALL",
-        "operation_checks": _rows(list(enumerate([True, False, True, True, False, True, False, False])), "seq, bad").replace("*", "seq::BIGINT AS seq, bad", 1),
-        "operation_lines": _rows([(1, "    + Add feature: f (Title)"), (4, "    + Add entity: e (E)"), (6, "    ~ Modify entity: "), (7, "    - Remove feature: x")], "seq, line").replace("*", "seq::BIGINT AS seq, line", 1),
-        "spec_validation": _rows([(1, 1, 0, 0, 0, "Duplicate ID found: ''cart''"), (2, 1, 0, 0, 0, "Feature ''buying'' references unknown dependency: ''paying''"), (2, 5, 1, -1, 1, "Traceability references unknown ''to'' element: ''nothing''"), (3, 0, 1, 1, 0, "Field in entity ''cart'' is missing required ''name''")], 'rule, section, ord, sub, "check", message'),
-        "spec_listing": _rows([("entities", 0, "shop_user", "User", 3), ("entities", 1, "cart", "cart", 2), ("features", 0, "buying", "Buying", 1), ("actions", 0, "get_cart", "get_cart", 0), ("actions", 1, "remove_cart", "remove_cart", 0)], "kind, ord, id, label, count"),
-        "spec_steps": _rows([("buying", "cart", "given", 0, "a cart"), ("buying", "cart", "when", 0, "an item is added"), ("buying", "cart", "then", 0, "it is there")], "feature, scenario, phase, n, text"),
-        "spec_migration": _rows([("shop_user", 0, 0, "id", "string"), ("shop_user", 0, 1, "age", "int"), ("shop_user", 0, 2, "active", "boolean"), ("cart", 1, 0, "", "date"), ("cart", 1, 1, "note", "string")], "entity, ord, sub, name, type"),
-        "render_entity": f"""WITH f AS ({_rows([("shop_user", 0, 0, "id", "string", True), ("shop_user", 0, 1, "age", "int", False), ("shop_user", 0, 2, "active", "boolean", True), ("cart", 1, 0, "total", "float", True), ("cart", 1, 1, "", "date", True)], "e, ord, sub, name, x, need")}),
-            per AS (SELECT e, ord, string_agg('  ' || name || CASE WHEN need THEN '' ELSE '?' END || ': ' || {_case(S.TYPES["typescript"], S.OTHER_TYPE["typescript"])} || ';' || chr(10), '' ORDER BY sub) AS body FROM f GROUP BY e, ord)
-            SELECT 'types.ts' AS path, '// Generated entity interfaces' || chr(10) || chr(10) || string_agg('export interface ' || array_to_string(list_transform(string_split(e, '_'), lambda w: upper(w[1]) || w[2:]), '') || ' {{' || chr(10) || body || '}}' || chr(10) || chr(10), '' ORDER BY ord) AS content FROM per""",
-        "spec_report": "SELECT 'shop' AS doc, false AS valid, 4::BIGINT AS error_count, 'Duplicate ID found: ''cart''' || chr(10) || 'Feature ''buying'' references unknown dependency: ''paying''' || chr(10) || 'Traceability references unknown ''to'' element: ''nothing''' || chr(10) || 'Field in entity ''cart'' is missing required ''name''' AS errors",
-    }
+    } | corpus.oracle_sql()

@@ -1,4 +1,4 @@
-"""Shipping of this package to executors."""
+"""Shipping of this package to executors, and stored intermediate tables."""
 
 from __future__ import annotations
 
@@ -8,7 +8,7 @@ import shutil
 import tempfile
 import zipfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 _shipped: set[str] = set()
 
@@ -31,3 +31,17 @@ def ship(spark: SparkSession) -> None:
                     z.write(full, os.path.join(name, os.path.relpath(full, top)))
     sc.addPyFile(path)
     _shipped.add(sc.applicationId)
+
+
+def stored(df: DataFrame) -> DataFrame:
+    """The table, written to the folder that spark.checkpoint.dir names and cut from its lineage; a folder of our own only where that is unset and driver and executors are one process."""
+    sc = df.sparkSession.sparkContext
+    if sc.getCheckpointDir() is None:
+        folder = sc.getConf().get("spark.checkpoint.dir") or df.sparkSession.conf.get("spark.checkpoint.dir", None)
+        if not folder:
+            if sc.master.split("[")[0] != "local":
+                raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+            folder = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, folder, ignore_errors=True)
+        sc.setCheckpointDir(folder)
+    return df.checkpoint()

@@ -9,9 +9,10 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -47,11 +48,11 @@ def load_yaml(text: str):
     class Plain(tuple):
         pass
 
-    class Loader(yaml.SafeLoader):
+    class Loader(getattr(yaml, "CSafeLoader", yaml.SafeLoader)):
         pass
 
     def scalar(loader, node):
-        return (_scalar(node.value, node.style is None), node.value, node.style is None)
+        return (_scalar(node.value, not node.style), node.value, not node.style)
 
     def mapping(loader, node):
         loader.flatten_mapping(node)
@@ -166,9 +167,13 @@ def parse_specs(texts: DataFrame, mode: str = "PERMISSIVE", kind: T.StructType |
     return rows.select("doc", "error", F.from_json("json", kind).alias("document"))
 
 
-def is_yaml(path):
-    """Whether a path is read as YAML: .yaml, .yml, and specification files whose suffix ends in ``dml``; others are in the older grammar."""
-    return path.rlike(r"\.(ya?ml|[a-z]dml)$")
+#: Suffixes of files that are read as YAML; a project with others names them. Files of other suffixes are in the older grammar.
+SUFFIXES = (".yaml", ".yml")
+
+
+def is_yaml(path: Column, suffixes: tuple[str, ...] = SUFFIXES) -> Column:
+    """Whether a path is read as YAML."""
+    return reduce(Column.__or__, (F.endswith(path, F.lit(s)) for s in suffixes))
 
 
 def read_texts(spark: SparkSession, *paths: str, glob: str | None = None) -> DataFrame:
@@ -184,12 +189,12 @@ def read_specs(spark: SparkSession, *paths: str, mode: str = "PERMISSIVE") -> Da
     return parse_specs(read_texts(spark, *paths), mode)
 
 
-def default_file(paths: DataFrame) -> DataFrame:
-    """The file that commands take when none is named: spec, specification, main, app in this order, else the first of all."""
+def default_file(paths: DataFrame, suffixes: tuple[str, ...] = SUFFIXES) -> DataFrame:
+    """The file that commands take when none is named: spec, specification, main, app in this order, else the first of all with one of the suffixes."""
     base = F.element_at(F.split("path", "/"), -1)
-    stem = F.regexp_replace(base, r"\.[a-z]dml$", "")
+    stem = F.regexp_replace(base, r"\.[^.]*$", "")
     rank = F.coalesce(F.array_position(F.array(*map(F.lit, ("spec", "specification", "main", "app"))), stem), F.lit(0))
-    return paths.where(base.rlike(r"\.[a-z]dml$")).orderBy(F.when(rank == 0, 99).otherwise(rank), "path").limit(1)
+    return paths.where(is_yaml(base, suffixes)).orderBy(F.when(rank == 0, 99).otherwise(rank), "path").limit(1)
 
 
 def read_migrations(spark: SparkSession, folder: str) -> DataFrame:

@@ -74,3 +74,19 @@ def test_add_list_validate_generate(project):
 def test_init(tmp_path):
     assert run("init", tmp_path / "p")[0] == 0 and run("init", tmp_path / "p")[0] == 1
     assert run("parse", tmp_path / "p" / "specs" / "example.yaml", "-o", "yaml")[0] == 0
+
+
+def test_folders_suffixes_and_formats(project):
+    folder = project / "specs"
+    (folder / "deep").mkdir(parents=True)
+    (folder / "a.own").write_text(SPEC)
+    (folder / "deep" / "b.yaml").write_text(SPEC.replace("id: u", "id: v") + "traceability: [{from: v, to: w, relation: tests}]\n")
+    out = project / "out"
+    assert "generated 6 files" in run("--suffix", ".own", "generate", folder, "-l", "py", "-o", out)[1]
+    assert "class U(" in (out / "a" / "models.py").read_text() and "class V(" in (out / "deep" / "b" / "models.py").read_text()
+    assert run("validate", folder / "a.own")[0] == 1 and run("--suffix", ".own", "validate", folder / "a.own")[0] == 0
+    assert run("trace", "matrix", folder / "deep" / "b.yaml", "-f", "csv", "-o", project / "m.csv")[0] == 0 and (project / "m.csv").read_text() == '"from","w"\n"v","tests"\n'
+    assert run("trace", "graph", folder / "deep" / "b.yaml", "-f", "svg")[1].startswith("<svg")
+    assert run("trace", "validate", folder / "deep" / "b.yaml") == (1, "v -> w (tests): unknown 'to'")
+    said = run("--verbose", "validate", folder / "deep" / "b.yaml")[1]
+    assert "Reading " in said and "YAML suffixes: .yaml .yml" in said and "Traceback" in run("--verbose", "validate", project / "none.yaml")[1]

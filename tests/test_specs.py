@@ -75,8 +75,10 @@ def test_files_and_default_file(spark, tmp_path):
     (tmp_path / "a.yaml").write_text("entities: [{id: a, fields: []}]")
     (tmp_path / "b.yaml").write_text("entities: []")
     assert specs.read_specs(spark, str(tmp_path)).count() == 2
-    names = [(f"/x/{n}",) for n in ("zoo.xdml", "main.xdml", "app.xdml", "spec.yaml")]
-    assert specs.default_file(spark.createDataFrame(names, "path string")).first().path == "/x/main.xdml"
+    names = spark.createDataFrame([(f"/x/{n}",) for n in ("zoo.own", "main.own", "app.own", "a.yaml", "app.yml", "food.txt")], "path string")
+    assert specs.default_file(names).first().path == "/x/app.yml"
+    assert specs.default_file(names, (".own",)).first().path == "/x/main.own" and specs.default_file(names.where("path like '%txt'")).first() is None
+    assert [r[0] for r in names.select(specs.is_yaml(names["path"], (*specs.SUFFIXES, ".own"))).collect()] == [True] * 5 + [False]
 
 
 def test_listing_and_reports(spark):
@@ -200,6 +202,33 @@ def test_traces(spark):
     assert Catalog(d).edges().count() == 5
 
 
+def test_long_cycles_and_many_ways(spark):
+    edge = lambda rows: spark.createDataFrame(rows, "from string, to string")
+    ring = [(f"n{k:03d}", f"n{(k + 1) % 200:03d}") for k in range(200)]
+    got = trace.cycles(edge([*ring, ("x", "n000"), ("n001", "y"), ("z", "z")])).collect()
+    assert sorted((r.node, r.path.count("->")) for r in got) == [("n000", 200), ("z", 1)]
+    deep = [(f"d{k:05d}", f"d{k + 1:05d}") for k in range(20_000)]  # a walk deeper than Python's own stack
+    assert trace.cycles(edge(deep)).count() == 0
+    diamonds = [e for k in range(30) for e in ((f"a{k}", f"b{k}"), (f"a{k}", f"c{k}"), (f"b{k}", f"a{k + 1}"), (f"c{k}", f"a{k + 1}"))]  # 2^30 ways
+    got = {r.node: r.depth for r in trace.depths(edge(diamonds), "to", "from").collect()}
+    assert got["a0"] == 0 and got["a30"] == 60 and got["c7"] == 15 and len(got) == 91
+    small = [*diamonds[:12], ("p", "q"), ("q", "p"), ("q", "r"), ("a1", "r")]
+    one, rounds = ({r.node: r.depth for r in trace.depths(edge(small), "to", "from", one_task=n).collect()} for n in (100, 3))
+    assert one == rounds and one["p"] is one["q"] is one["r"] is None and one["a3"] == 6
+    assert trace.depths(edge([]), "to", "from").count() == 0 and trace.cycles(edge([])).count() == 0
+
+
+def test_exports(spark):
+    d = docs(spark, "entities: [{id: e, fields: []}]\nfeatures: [{id: 'f<', title: F, scenarios: [], dependencies: [e]}]\ntraceability: [{from: e, to: 'f<', relation: tests}, {from: e, to: e, relation: calls}]")
+    assert trace.matrix_text(d, "csv").first().text == '"from","e","f<"\n"e","calls","tests"\n"f<","depends_on",""\n'
+    assert "<tr><th>f&lt;</th><td>depends_on</td><td></td></tr>" in trace.matrix_text(d, "html").first().text
+    assert json.loads(trace.matrix_text(d, "json").first().text)[1] == {"from": "f<", "links": [{"to": "e", "relation": "depends_on"}]}
+    svg = trace.graph_svg(d).first().text
+    assert svg.count("<line") == 3 and "f&lt;" in svg and svg.endswith("</svg>\n")
+    with pytest.raises(ValueError):
+        trace.matrix_text(d, "png")
+
+
 def test_legacy_grammar():
     text = "metadata:\n  version: '1'\nentity:\n  id: e # note\n  name: \"A \\\"b\\\"\"\n  fields:\n    - name: x\n    - name: y\naction:\n  id: a\n  input:\n    deep: 1\nsystem:\n  id: s\n  components:\n    - one\n"
     doc = legacy.parse(text)
