@@ -118,6 +118,10 @@ def spec_links(spark, sf):
     return trace.validate(corpus(spark, sf)).select("doc", F.col("from").alias("source"), F.col("to").alias("target"), "relation", "problem")
 
 
+def spec_link_forms(spark, sf):
+    return trace.link_forms(corpus(spark, sf)).select("doc", F.col("from").alias("source"), F.col("to").alias("target"), "relation", "problem")
+
+
 def spec_graph(spark, sf):
     return trace.graph(corpus(spark, sf))
 
@@ -226,7 +230,7 @@ def migration_rollback(spark, sf):
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    names = """spec_validation spec_report spec_listing spec_steps spec_render spec_tests spec_links spec_graph spec_matrix spec_coverage spec_cycles spec_migration spec_migration_fields spec_migration_errors
+    names = """spec_validation spec_report spec_listing spec_steps spec_render spec_tests spec_links spec_link_forms spec_graph spec_matrix spec_coverage spec_cycles spec_migration spec_migration_fields spec_migration_errors
     operation_checks operation_lines migration_status migration_order migration_rollback"""
     return {n: globals()[n] for n in names.split()}
 
@@ -360,6 +364,8 @@ def oracle_sql() -> dict[str, str]:
         "spec_render": _render(),
         "spec_tests": _tests(),
         "spec_links": f"{_IDS} " + " UNION ALL ".join([problem("(doc, src) NOT IN (SELECT doc, id FROM ids)", "unknown ''from''"), problem("(doc, dst) NOT IN (SELECT doc, id FROM ids)", "unknown ''to''"), problem("relation NOT IN (" + ", ".join(f"'{r}'" for r in trace.RELATIONS) + ")", "unknown relation"), "SELECT doc, src, dst, relation, 'repeated link' FROM link GROUP BY ALL HAVING count(*) > 1"]),
+        # features implement actions: neither end fits, wherever it is known; of several kinds the first in the alphabet counts
+        "spec_link_forms": f"{_IDS}, kinds AS (SELECT doc, id, min(CASE section WHEN 0 THEN 'entity' WHEN 1 THEN CASE sub WHEN -1 THEN 'feature' ELSE 'scenario' END WHEN 2 THEN 'action' WHEN 3 THEN 'flow' ELSE 'constraint' END) AS kind FROM ids WHERE id <> '' GROUP BY ALL) SELECT doc, src AS source, dst AS target, relation, '''to'' is no identifier' AS problem FROM link WHERE dst = '' UNION ALL SELECT doc, src, dst, relation, 'implements does not fit to ' || kind FROM link JOIN kinds USING (doc) WHERE kinds.id = dst AND relation = 'implements' AND kind NOT IN ('feature', 'scenario', 'constraint') UNION ALL SELECT doc, src, dst, relation, 'implements does not fit from ' || kind FROM link JOIN kinds USING (doc) WHERE kinds.id = src AND relation = 'implements' AND kind NOT IN ('action', 'flow', 'feature')",
         "spec_graph": f"""{_WITH}, {edges} SELECT doc, 'digraph trace {{' || {_NL} || string_agg(line, '' ORDER BY line) || '}}' || {_NL} AS dot FROM (SELECT doc, '  "' || src || '" -> "' || dst || '" [label="' || relation || '"];' || {_NL} AS line FROM edges) GROUP BY doc""",
         "spec_matrix": f"{_WITH}, {edges} SELECT doc, src AS source, string_agg(dst || ' ' || relation, {_NL} ORDER BY dst, relation) AS cells FROM edges GROUP BY ALL",
         "spec_coverage": f"{_IDS}, {edges}, a AS (SELECT DISTINCT doc, id FROM ids), b AS (SELECT doc, src AS id FROM edges UNION SELECT doc, dst FROM edges) SELECT count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) AS linked, count(*) FILTER (b.id IS NULL) AS left_orphans, count(*) FILTER (a.id IS NULL) AS right_orphans, count(*) FILTER (a.id IS NOT NULL AND b.id IS NOT NULL) / count(a.id) AS coverage FROM a FULL JOIN b ON a.doc = b.doc AND a.id = b.id",

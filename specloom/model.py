@@ -34,6 +34,7 @@ def _struct(spec: str) -> T.StructType:
     return fields(None)
 
 
+# The sections and keys of a document.
 #: Literal values (defaults, constraint values) are JSON texts; parse_json turns them into VARIANT.
 DOCUMENT = """
 metadata struct<version: string, author: string, description: string, created: string, updated: string>,
@@ -45,12 +46,13 @@ actions array<struct<id: string, name: string, description: string, input: struc
     side_effects: array<string>, preconditions: array<string>, postconditions: array<string>>>,
 features array<struct<id: string, title: string, description: string, scenarios: array<struct<id: string, title: string, description: string, given: array<string>, when: array<string>, then: array<string>>>,
     acceptance_criteria: array<string>, dependencies: array<string>>>,
-flows array<struct<id: string, name: string, description: string, steps: array<struct<id: string, action: string, description: string, conditions: array<string>>>>>,
+flows array<struct<id: string, name: string, description: string, steps: array<struct<id: string, action: string, description: string, conditions: array<string>, on_success_action_id: string, on_failure_action_id: string>>>>,
 constraints array<struct<id: string, name: string, description: string, type: string, rule: string, entities: array<string>, actions: array<string>>>,
 traceability array<struct<from: string, to: string, relation: string, description: string>>,
 generation_rules array<struct<id: string, name: string, description: string, triggers: array<string>, generates: array<string>, template: string>>
 """
 
+# Required keys.
 #: What a document must have, by path; a missing one makes the whole document unreadable. ``[]`` steps into each element.
 REQUIRED = {
     "metadata": ["version"], "system": ["id", "name", "components", "relationships"], "system.relationships[]": ["from", "to", "type"],

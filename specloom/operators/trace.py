@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -223,12 +224,36 @@ def link_status(links: DataFrame, targets: DataFrame) -> DataFrame:
 
 
 def flow_edges(docs: DataFrame) -> DataFrame:
-    """(doc, flow, from, to, condition): each step leads to the next, and to the steps that its conditions name."""
+    """(doc, flow, from, to, condition): each step leads to the step of the action it names for success, else to the next one; to that named for failure; and to the steps that its conditions name."""
     steps = Catalog(docs).section("flows").select("doc", F.col("e.id").alias("flow"), F.col("e.steps").alias("steps"))
-    pair = F.transform(F.slice("steps", 1, F.greatest(F.size("steps") - 1, F.lit(0))), lambda s, i: F.struct(s["id"].alias("from"), F.get("steps", i + 1)["id"].alias("to"), F.lit(None).cast("string").alias("condition")))
+    edge = lambda s, to, condition: F.struct(s["id"].alias("from"), to.alias("to"), condition.alias("condition"))
+    following = F.transform("steps", lambda s, i: F.when(s["on_success_action_id"].isNull(), edge(s, F.get("steps", i + 1)["id"], F.lit(None).cast("string"))))
+    doing = lambda action: F.filter("steps", lambda t: t["action"] == action)
+    after = lambda key: F.flatten(F.transform("steps", lambda s: F.transform(doing(s[f"{key}_action_id"]), lambda t: edge(s, t["id"], F.lit(key)))))
     ids = F.transform("steps", lambda s: s["id"])
-    named = F.flatten(F.transform("steps", lambda s: F.transform(F.coalesce(s["conditions"], F.array().cast("array<string>")), lambda c: F.struct(s["id"].alias("from"), F.regexp_extract(c, r"([^\s:]+)\s*$", 1).alias("to"), c.alias("condition")))))
-    return steps.select("doc", "flow", F.inline(F.concat(pair, F.filter(named, lambda x: F.array_contains(ids, x["to"])))))
+    named = F.flatten(F.transform("steps", lambda s: F.transform(F.coalesce(s["conditions"], F.array().cast("array<string>")), lambda c: edge(s, F.regexp_extract(c, r"([^\s:]+)\s*$", 1), c))))
+    found = F.concat(F.filter(following, lambda x: x["to"].isNotNull()), after("on_success"), after("on_failure"), F.filter(named, lambda x: F.array_contains(ids, x["to"])))
+    return steps.select("doc", "flow", F.inline(found))
+
+
+#: Kinds of elements that a relation may lead from and to. Ours; the language names relations but not their ends.
+APPROPRIATE = {
+    "implements": ("action flow feature", "feature scenario constraint"), "verifies": ("feature scenario", "feature action constraint entity"), "tests": ("scenario feature", "feature action flow entity"),
+    "calls": ("action flow scenario", "action flow"), "configures": ("constraint action", "action entity flow"), "represented_by": ("entity", "entity"),
+}
+
+
+def link_forms(docs: DataFrame, appropriate: dict[str, tuple[str, str]] = APPROPRIATE, form: str = r"[A-Za-z_][A-Za-z0-9_.:#/-]*") -> DataFrame:
+    """(doc, from, to, relation, problem): ends that are no identifiers, and relations between kinds of elements that they do not fit. Relations that are not listed fit everywhere."""
+    c = Catalog(docs)
+    edges = c.trace().select("doc", "from", "to", "relation")
+    kinds = c.ids().where("id <> ''").groupBy("doc", "id").agg(F.min("kind").alias("kind"))
+    out = [edges.where(~F.col(end).rlike(f"^(?:{form})$")).withColumn("problem", F.lit(f"'{end}' is no identifier")) for end in ("from", "to")]
+    for k, end in enumerate(("from", "to")):
+        fits = reduce(Column.__or__, ((F.col("relation") == r) & ~F.col("kind").isin(*ends[k].split()) for r, ends in appropriate.items()), F.lit(False))
+        known = edges.join(kinds.withColumnRenamed("id", end), ["doc", end]).where(fits)
+        out.append(known.select("doc", "from", "to", "relation", F.concat("relation", F.lit(f" does not fit {end} "), "kind").alias("problem")))
+    return union_all(out)
 
 
 def meta_links(meta: DataFrame) -> DataFrame:

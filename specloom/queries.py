@@ -194,6 +194,14 @@ def constraint_violations(spark, sf):
     return R.union_all([c, o, d])
 
 
+RULES = {"balance": "customer.c_acctbal >= 0", "paid": "orders.o_totalprice > 2 * customer.c_acctbal or orders.o_orderstatus = 'F'", "placed": "nation.n_regionkey <> 2 and not supplier.s_acctbal < 100.5"}
+
+
+def constraint_rules(spark, sf):
+    tables = {t: _t(spark, sf, t) for t in ("customer", "orders", "nation", "supplier")}
+    return constraints.rule_violations(tables, RULES, {("orders", "customer"): ("o_custkey", "c_custkey"), ("supplier", "nation"): ("s_nationkey", "n_nationkey")})
+
+
 def coverage(spark, sf):
     return R.coverage(_t(spark, sf, "documents"), _t(spark, sf, "labels"), "doc_id")
 
@@ -214,7 +222,7 @@ def event_windows(spark, sf):
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     names = """required_ids_report duplicate_ids duplicate_rows duplicate_ids_global dangling_refs required_fields list_with_counts validation_summary pending_set status_counts
     rollback_plan log_replay_survivors last_modification_wins find_first retain_filter semi_filter positional_index topo_depth cycle_check pascal_case http_verb route_name type_map sample_values
-    default_literals cli_defaults render_order_lines constraint_violations coverage trace_matrix element_counts event_windows"""
+    default_literals cli_defaults render_order_lines constraint_violations constraint_rules coverage trace_matrix element_counts event_windows"""
     return {n: globals()[n] for n in names.split()} | corpus.queries()
 
 
@@ -273,6 +281,7 @@ def oracle_sql() -> dict[str, str]:
                 check("text min_length", "length(text) < 100", "documents"), "SELECT 'text unique', coalesce(sum(n), 0)::BIGINT FROM (SELECT count(*) AS n FROM documents WHERE text IS NOT NULL GROUP BY text HAVING count(*) > 1)",
             ]
         ),
+        "constraint_rules": "SELECT 'balance' AS \"check\", count(*) FILTER (NOT c_acctbal >= 0) AS violations FROM customer UNION ALL SELECT 'paid', count(*) FILTER (o_totalprice <= 2 * c_acctbal AND o_orderstatus <> 'F') FROM orders JOIN customer ON o_custkey = c_custkey UNION ALL SELECT 'placed', count(*) FILTER (n_regionkey = 2 OR s_acctbal < 100.5) FROM supplier JOIN nation ON s_nationkey = n_nationkey",
         "coverage": "SELECT count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) AS linked, count(*) FILTER (b.doc_id IS NULL) AS left_orphans, count(*) FILTER (a.doc_id IS NULL) AS right_orphans, count(*) FILTER (a.doc_id IS NOT NULL AND b.doc_id IS NOT NULL) / count(a.doc_id) AS coverage FROM (SELECT DISTINCT doc_id FROM documents) a FULL JOIN (SELECT DISTINCT doc_id FROM labels) b ON a.doc_id = b.doc_id",
         "trace_matrix": "SELECT o_orderpriority, " + ", ".join(f"count(*) FILTER (o_orderstatus = '{s}') AS {s}" for s in "FOP") + " FROM orders GROUP BY 1",
         "element_counts": "SELECT lang, source, count(*) AS n, avg(n_chars) AS mean_chars FROM documents GROUP BY ALL",

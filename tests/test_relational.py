@@ -43,6 +43,18 @@ def test_constraint_kinds(spark):
     assert constraints.table_ddl([{"name": "a", "type": "int"}, {"name": "b", "type": "x", "required": False}]) == "`a` bigint NOT NULL, `b` variant"
 
 
+def test_rules_that_can_be_run(spark):
+    a = spark.createDataFrame([(1, 5, "x'y"), (2, -1, None), (3, None, "z")], "id int, price int, name string")
+    b = spark.createDataFrame([(1, 4), (1, 6), (9, 9)], "a_id int, paid int")
+    got = {r.check: r.violations for r in constraints.rule_violations({"a": a, "b": b}, {"p": "a.price > 0", "n": "a.name is not null", "c": "b.paid <= a.price", "t": "a.name <> \"x'y\""}, {("b", "a"): ("a_id", "id")}).collect()}
+    assert got == {"p": 1, "n": 1, "c": 1, "t": 1}
+    for bad in ("user.email must be unique", "a.x; drop table t", "f(a.x) > 1", "1 > 0", "a.b.c > 1"):
+        with pytest.raises(ValueError):
+            constraints.rule_expression(bad)
+    with pytest.raises(ValueError):
+        constraints.rule_violations({"a": a, "b": b}, {"c": "b.paid <= a.price"})
+
+
 def test_streams(spark, tmp_path):
     (tmp_path / "in").mkdir()
     (tmp_path / "in" / "a.yaml").write_text("entities: [{id: '', fields: []}]")

@@ -263,6 +263,8 @@ def test_feature_metadata(spark):
 def test_flows_links_and_principles(spark):
     d = docs(spark, "flows: [{id: f, name: F, steps: [{id: a, action: x, conditions: ['on_failure: c']}, {id: b, action: y}, {id: c, action: z}]}]")
     assert {(r["from"], r.to) for r in trace.flow_edges(d).collect()} == {("a", "b"), ("b", "c"), ("a", "c")}
+    d = docs(spark, "flows: [{id: f, name: F, steps: [{id: a, action: x, on_success_action_id: z, on_failure_action_id: x}, {id: b, action: y, on_failure_action_id: gone}, {id: c, action: z}]}]")
+    assert {(r["from"], r.to, r.condition) for r in trace.flow_edges(d).collect()} == {("a", "c", "on_success"), ("a", "a", "on_failure"), ("b", "c", None)}
     links = spark.createDataFrame([("a", "b", "tests"), ("a", "b", "blocks"), ("c", "d", "tests"), ("c", "d", "tests"), ("e", "f", "tests")], "from string, to string, relation string")
     assert {tuple(r) for r in trace.consistency(links).collect()} == {("a", "b", "several relations"), ("c", "d", "repeated link")}
     assert {r.to for r in trace.link_status(links, spark.createDataFrame([("b",)], "to string")).where("stale").collect()} == {"d", "f"}
