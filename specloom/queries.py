@@ -149,8 +149,14 @@ def pascal_case(spark, sf):
     return names.select("x", S.pascal_case(F.col("x")).alias("pascal"))
 
 
+#: Names and types over all parts, in SQL that both engines run: the kinds of names in turn before a part's name, the types in turn.
+NAME_OF = "CASE p_partkey % 12 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate(["get_", "list_", "create_", "add_", "update_", "modify_", "delete_", "remove_", "Get_", "getter_", "", "_get_"])) + " END || replace(lower(p_name), ' ', '_')"
+TYPE_OF = "CASE p_partkey % 14 " + " ".join(f"WHEN {k} THEN '{x}'" for k, x in enumerate([*KINDS, "uuid ", "INT"])) + " END"
+
+
 def http_verb(spark, sf):
-    return _values(spark, NAMES).select("x", S.http_verb(F.col("x")).alias("verb"))
+    names = _t(spark, sf, "part").select(F.expr(NAME_OF).alias("x")).unionByName(_values(spark, NAMES))
+    return names.select("x", S.http_verb(F.col("x")).alias("verb"))
 
 
 def route_name(spark, sf):
@@ -159,25 +165,22 @@ def route_name(spark, sf):
 
 
 def type_map(spark, sf):
-    return _values(spark, KINDS).select("x", *(S.type_name(F.col("x"), k).alias(k) for k in ("typescript", "python", "go")))
+    return _t(spark, sf, "part").select("p_partkey", F.expr(TYPE_OF).alias("x")).select("p_partkey", "x", *(S.type_name(F.col("x"), k).alias(k) for k in ("typescript", "python", "go")))
 
 
 def sample_values(spark, sf):
-    return _values(spark, KINDS).select("x", *(S.sample_value(F.col("x"), k).alias(k) for k in ("typescript", "python", "go")))
-
-
-LITERALS = ['"abc"', "18", "0.5", "-3", "true", "false", "[1]", "1e3"]
+    return _t(spark, sf, "part").select("p_partkey", F.expr(TYPE_OF).alias("x")).select("p_partkey", "x", *(S.sample_value(F.col("x"), k).alias(k) for k in ("typescript", "python", "go")))
 
 
 def default_literals(spark, sf):
-    return _values(spark, LITERALS).select("x", S.default_literal(F.col("x")).alias("literal"))
-
-
-DEFAULTS = ["true", "false", "True", "5", "5d", " 5", "0.25", "1", "t", "text"]
+    """Names, keys, balances and marks of all customers as JSON literals."""
+    texts = F.expr("""array('"' || c_name || '"', cast(c_custkey as string), cast(c_acctbal as string), cast(c_custkey % 2 = 0 as string), '[' || c_custkey || ']')""")
+    return _t(spark, sf, "customer").select(F.explode(texts).alias("x")).select("x", S.default_literal(F.col("x")).alias("literal"))
 
 
 def cli_defaults(spark, sf):
-    return _values(spark, DEFAULTS).select("x", S.cli_default(F.col("x")).alias("json"))
+    texts = F.expr("array(c_name, cast(c_custkey as string), cast(c_acctbal as string), cast(c_custkey % 2 = 0 as string), 'True', ' ' || c_custkey, c_custkey || 'd')")
+    return _t(spark, sf, "customer").select(F.explode(texts).alias("x")).select("x", S.cli_default(F.col("x")).alias("json"))
 
 
 def render_order_lines(spark, sf):
@@ -267,12 +270,14 @@ def oracle_sql() -> dict[str, str]:
         "topo_depth": "WITH RECURSIVE e AS (" + " UNION ".join(f"SELECT {a} AS c, {b} AS p FROM {t}" for t, a, b in REFERENCES) + "), w(node, depth) AS (SELECT DISTINCT p, 0 FROM e WHERE p NOT IN (SELECT c FROM e) UNION ALL SELECT e.c, w.depth + 1 FROM w JOIN e ON e.p = w.node) SELECT node, max(depth)::BIGINT AS depth FROM w GROUP BY node",
         "cycle_check": "WITH n AS (SELECT n_regionkey, 'n' || lpad(n_nationkey::VARCHAR, 3, '0') AS x FROM nation) SELECT min(x) AS node, string_agg(x, ' -> ' ORDER BY x) || ' -> ' || min(x) AS path FROM n GROUP BY n_regionkey UNION ALL SELECT 'r' || r_regionkey, 'r' || r_regionkey || ' -> r' || r_regionkey FROM region",
         "pascal_case": f"SELECT x, array_to_string(list_transform(string_split(x, '_'), lambda w: upper(w[1]) || w[2:]), '') AS pascal FROM (SELECT lower(n_name) AS x FROM nation UNION ALL SELECT x FROM {_sql_values(NAMES)})",
-        "http_verb": f"SELECT x, {_VERB} AS verb FROM {_sql_values(NAMES)}",
+        "http_verb": f"SELECT x, {_VERB} AS verb FROM (SELECT {NAME_OF} AS x FROM part UNION ALL SELECT x FROM {_sql_values(NAMES)})",
         "route_name": f"SELECT x, replace(x, '_', '-') AS route FROM (SELECT n_name AS x FROM nation UNION ALL SELECT x FROM {_sql_values(NAMES)})",
-        "type_map": f"SELECT x, {', '.join(f'{_case(S.TYPES[k], S.OTHER_TYPE[k])} AS {k}' for k in ('typescript', 'python', 'go'))} FROM {_sql_values(KINDS)}",
-        "sample_values": f"SELECT x, {', '.join(f'{_case(S.SAMPLES[k], S.OTHER_SAMPLE[k])} AS {k}' for k in ('typescript', 'python', 'go'))} FROM {_sql_values(KINDS)}",
-        "default_literals": _rows(list(zip(LITERALS, ['"abc"', "18", "0.5", "-3", "True", "False", "None", "1000"])), "x, literal"),
-        "cli_defaults": _rows(list(zip(DEFAULTS, ["true", "false", '"True"', "5.0", '"5d"', '" 5"', "0.25", "1.0", '"t"', '"text"'])), "x, json"),
+        "type_map": f"SELECT p_partkey, x, {', '.join(f'{_case(S.TYPES[k], S.OTHER_TYPE[k])} AS {k}' for k in ('typescript', 'python', 'go'))} FROM (SELECT p_partkey, {TYPE_OF} AS x FROM part)",
+        "sample_values": f"SELECT p_partkey, x, {', '.join(f'{_case(S.SAMPLES[k], S.OTHER_SAMPLE[k])} AS {k}' for k in ('typescript', 'python', 'go'))} FROM (SELECT p_partkey, {TYPE_OF} AS x FROM part)",
+        "default_literals": """SELECT '"' || c_name || '"' AS x, '"' || c_name || '"' AS literal FROM customer UNION ALL SELECT c_custkey::VARCHAR, c_custkey::VARCHAR FROM customer UNION ALL SELECT c_acctbal::VARCHAR, CASE WHEN c_acctbal = round(c_acctbal) THEN c_acctbal::BIGINT::VARCHAR ELSE c_acctbal::VARCHAR END FROM customer
+            UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, CASE WHEN c_custkey % 2 = 0 THEN 'True' ELSE 'False' END FROM customer UNION ALL SELECT '[' || c_custkey || ']', 'None' FROM customer""",
+        "cli_defaults": """SELECT c_name AS x, '"' || c_name || '"' AS json FROM customer UNION ALL SELECT c_custkey::VARCHAR, c_custkey::DOUBLE::VARCHAR FROM customer UNION ALL SELECT c_acctbal::VARCHAR, c_acctbal::VARCHAR FROM customer UNION ALL SELECT CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END, CASE WHEN c_custkey % 2 = 0 THEN 'true' ELSE 'false' END FROM customer
+            UNION ALL SELECT 'True', '"True"' FROM customer UNION ALL SELECT ' ' || c_custkey, '" ' || c_custkey || '"' FROM customer UNION ALL SELECT c_custkey || 'd', '"' || c_custkey || 'd"' FROM customer""",
         "render_order_lines": "SELECT l_orderkey, 'order ' || l_orderkey || ' {' || chr(10) || string_agg('  ' || l_linenumber || ': ' || l_partkey || ';' || chr(10), '' ORDER BY l_linenumber, l_partkey) || '}' || chr(10) AS content FROM lineitem GROUP BY l_orderkey",
         "constraint_violations": " UNION ALL ".join(
             [
