@@ -2,12 +2,13 @@
 
 A level of the trie is a row of shards, each a file of compact arrays that scorers map into memory:
 
-* ``key``: the level's n-grams as one growing sequence, context position times the number of words plus the word. Elias-Fano: low bits packed, high bits in unary.
+* ``key``: the level's n-grams as one growing sequence, context position times the number of successors there are plus the successor. Elias-Fano: low bits packed, high bits in unary.
 * ``ptr``: for each context of the shard, where its successors begin: a monotone sequence, Elias-Fano.
 * ``sum``: running counts, monotone, Elias-Fano.
 * ``prob``: log10 probability of each n-gram, and ``back``: log10 of the mass each context leaves to the shorter one; both in steps of ``STEP``.
 
-The context of a level is a position in the level above, so words are sought relative to it: the successor search goes to the
+The context of a level is a position in the level above. So is the successor: of a, b, c it is the position of b, c (in level 2, the word), which a search for the shorter context has found
+already, and which gives the shorter probability without another search. Successors are sought relative to their context: the search goes to the
 bucket of the key's high bits by a select on zeros and bisects its low bits. Level 1 holds hashes of words.
 
 Smoothing: absolute discounting, interpolated with the shorter context, over all n-grams of the training part (``least`` = 1; a higher ``least`` leaves rarer ones of
@@ -40,7 +41,7 @@ from pyspark.sql import functions as F
 from . import _runtime, _text
 
 U64 = np.uint64
-STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE, MEMO = 0.0005, 0.75, 3, 4_000_000, 3_000_000, 19
+STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE, MEMO = 0.0005, 0.75, 3, 2_000_000, 2_000_000, 19
 #: Shards that cannot be mapped, as their store is not mounted, are held in memory up to so many bytes for each level and worker.
 HELD = 256 << 20
 END = U64(0xE4D0E4D0E4D0E4D0)
@@ -65,9 +66,9 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 class EliasFano:
     """A non-decreasing sequence of n unsigned numbers below ``universe``: low bits packed, high bits in unary, a running count of ones for each word of 64 bits, and the word of
-    every 32nd one and zero. All arrays may be mapped; nothing is expanded."""
+    every eighth one and zero. All arrays may be mapped; nothing is expanded."""
 
-    SAMPLE = 5
+    SAMPLE = 3
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, one: np.ndarray, zero: np.ndarray) -> None:
         self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
@@ -143,16 +144,15 @@ class EliasFano:
             return out
         high = (x >> U64(self.bits)).astype(np.int64)
         # the bucket of equal high bits is the run of ones after the zero before it
-        start = np.zeros(len(x), np.int64)
-        later = np.flatnonzero(high)
-        start[later] = self._select(high[later] - 1, True) + 1
-        word, shift = start >> 6, (start & 63).astype(U64)
-        run = ~(self.high[word] >> shift)
+        start = self._select(np.maximum(high - 1, 0), True) + 1
+        start[high == 0] = 0
+        run = ~(self.high[start >> 6] >> (start & 63).astype(U64))
         n = np.bitwise_count((run & (~run + U64(1))) - U64(1)).astype(np.int64)  # ones below the first zero
         lo = start - high
         hi = lo + n
         over = np.flatnonzero(n >= 64 - (start & 63))  # the run goes on in the next word
-        hi[over] = self._select(high[over], True) - high[over]
+        if len(over):
+            hi[over] = self._select(high[over], True) - high[over]
         todo = np.flatnonzero(lo < hi)
         lo, hi, want = lo[todo], hi[todo], x[todo] & self.mask
         while len(todo):
@@ -212,6 +212,7 @@ class Level:
 
     def __init__(self, root: str, index: str, size: int, total: int, above: Level | None = None) -> None:
         self.root, self.index, self.size, self.total, self.above = root, index, size, total, above
+        self.symbols = above.size if above else 0  # successors there are
         self.__setstate__(self.__dict__)
 
     def __getstate__(self) -> dict:
@@ -228,13 +229,13 @@ class Level:
             self._index = _open(self.index)[0]
         return self._index
 
-    def stretch(self, context: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
+    def stretch(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(shard of the level below, first context of its stretch) for contexts of this level."""
         cut = self.listed
         e = np.searchsorted(cut["first"], context, "right") - 1
         shard, several = cut["shard"][e].astype(np.int64), np.flatnonzero(cut["pieces"][e] > 1)
         if len(several):
-            shard[several] += np.maximum(word[several], 0) * cut["pieces"][e[several]] // n_words
+            shard[several] += ((_text.mix(symbol[several].astype(U64)) >> U64(33)).astype(np.int64) * cut["pieces"][e[several]]) >> 31
         return shard, cut["first"][e]
 
     def shard(self, k: int) -> dict | None:
@@ -261,44 +262,43 @@ class Level:
             yield int(of[order[a]]), order[a:b]
 
     def gather(self, position: np.ndarray, name: str) -> np.ndarray:
-        """prob, count or key of entries by position; the key of level 2 or more is its context and word, the context counted from the shard's first."""
-        out = np.zeros(len(position), U64 if name == "key" else np.float64 if name == "prob" else np.int64)
+        """prob or count of entries by position."""
+        out = np.zeros(len(position), np.float64 if name == "prob" else np.int64)
         base = self.listed["base"]
         for k, rows in self.each(np.searchsorted(base, position, "right") - 1):
             s, at = self.shard(k), position[rows] - base[k]
-            if name == "prob":
-                out[rows] = s["prob"][at] * -STEP
-            elif name == "key":
-                out[rows] = s["key"].get(at)
-            else:
-                out[rows] = (s["sum"].get(at + 1) - s["sum"].get(at)).astype(np.int64)
+            out[rows] = s["prob"][at] * -STEP if name == "prob" else (s["sum"].get(at + 1) - s["sum"].get(at)).astype(np.int64)
         return out
 
-    def find(self, context: np.ndarray, word: np.ndarray, n_words: int) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of (context, word), -1 where absent, and the contexts' log10 mass for shorter ones. Contexts of -1 have no successors and leave all."""
+    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Positions of (context, successor), -1 where absent, and the contexts' log10 mass for shorter ones. Contexts of -1 have no successors and leave all."""
         position, back = np.full(len(context), -1, np.int64), np.zeros(len(context))
         live = np.flatnonzero(context >= 0)
-        if self._memo is None:  # recent searches
-            self._memo = np.full(1 << MEMO, -1, np.int64), np.zeros(1 << MEMO, np.int64), np.zeros(1 << MEMO)
-        keys, positions, backs = self._memo
-        key = context[live] * (n_words + 1) + word[live] + 1
-        slot = (_text.mix(key.view(U64)) >> U64(64 - MEMO)).astype(np.int64)
-        position[live], back[live] = positions[slot], backs[slot]
-        miss = keys[slot] != key
-        live, key, slot = live[miss], key[miss], slot[miss]
-        position[live], back[live] = -1, 0
-        of, first = self.above.stretch(context[live], word[live], n_words)
+        if self.above.above is None:  # two words are often those of a recent search; three hardly ever
+            if self._memo is None:
+                self._memo = np.full(1 << MEMO, -1, np.int64), np.zeros(1 << MEMO, np.int64), np.zeros(1 << MEMO)
+            keys, positions, backs = self._memo
+            key = context[live] * (self.symbols + 1) + symbol[live] + 1
+            slot = (_text.mix(key.view(U64)) >> U64(64 - MEMO)).astype(np.int64)
+            same = keys[slot] == key
+            known = slot[same]
+            position[live[same]], back[live[same]] = positions[known], backs[known]
+            miss = ~same
+            live, key, slot = live[miss], key[miss], slot[miss]
+        of, first = self.above.stretch(context[live], symbol[live])
         for k, rows in self.each(of):
             s = self.shard(k)
             if s is None:
                 continue
             c, rows = context[live[rows]] - first[rows], live[rows]
-            back[rows] = s["back"][c] * -STEP
-            some = (s["back"][c] > 0) & (word[rows] >= 0)  # a context without successors leaves all
-            rows, c = rows[some], c[some]
-            at = s["key"].find(c.astype(U64) * U64(n_words) + word[rows].astype(U64))
+            left = s["back"][c]
+            back[rows] = left * -STEP
+            some = np.flatnonzero((left > 0) & (symbol[rows] >= 0))  # a context without successors leaves all
+            rows = rows[some]
+            at = s["key"].find(c[some].astype(U64) * U64(self.symbols) + symbol[rows].astype(U64))
             position[rows] = np.where(at >= 0, at + self.listed["base"][k], -1)
-        keys[slot], positions[slot], backs[slot] = key, position[live], back[live]
+        if self._memo is not None:
+            keys[slot], positions[slot], backs[slot] = key, position[live], back[live]
         return position, back
 
 
@@ -342,24 +342,25 @@ class Model:
     def base(self, counts: np.ndarray) -> np.ndarray:
         return np.log10((counts + 1) / (self.tokens + self.n_words + 1))
 
-    def walk(self, ids: np.ndarray, begins: np.ndarray, unigram: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray | None]:
-        """(context of each token at the deepest level, log10 probability of each token, from that of ``unigram``; none without it).
+    def walk(self, ids: np.ndarray, begins: np.ndarray, unigram: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray | None]:
+        """(context of each token at the level below the deepest, its successor there, log10 probability of each token, from that of ``unigram``; none without it).
 
         ``begins``: where texts begin. The context of a text's first token is the end token; no context crosses a text.
         """
         end = self.words(np.array([END]))[0][0]
         before = np.concatenate([[end], ids[:-1]])
         before[begins] = end
-        score, inner = unigram, before
+        score, inner, symbol = unigram, before, ids
         for level in self.levels:
-            position, back = level.find(inner, ids, self.n_words)
+            position, back = level.find(inner, symbol)
             if score is not None:
                 hit = np.flatnonzero(position >= 0)
                 score = back + score
                 score[hit] = level.gather(position[hit], "prob")
             inner = np.concatenate([[-1], position[:-1]])
             inner[begins] = -1
-        return inner, score
+            symbol = position
+        return inner, symbol, score
 
 
 def tokens(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
@@ -501,21 +502,17 @@ def _merged(parts: Iterator[tuple[np.ndarray, ...]]) -> Iterator[tuple[np.ndarra
 def _next_level(ws: _runtime.Workspace, texts: DataFrame, root: str, model: Model, shard_tokens: int) -> Level:
     """The level below the deepest one of ``model``, from the counts of its n-grams in all texts."""
     level, above = len(model.levels) + 2, model.levels[-1] if model.levels else model.vocabulary
-    n_shards, n_words, word_bits = above.n_next, model.n_words, model.n_words.bit_length()
-    # an n-gram's key in its shard: the context, counted from the stretch's first, then the word; with the shard before it where all three fit in 64 bits
+    n_shards, word_bits = above.n_next, above.size.bit_length()
+    # an n-gram's key in its shard: the context, counted from the stretch's first, then the successor; with the shard before it where all three fit in 64 bits
     key_bits = word_bits + above.widest.bit_length()
     together = key_bits + n_shards.bit_length() <= 64
 
     def counted(h: np.ndarray, first: np.ndarray) -> tuple[np.ndarray, ...]:
         ids = model.lasting(*model.words(h))
-        if model.levels:
-            context, _ = model.walk(ids, first[:-1])
-        else:
-            context = np.concatenate([[0], ids[:-1]])
-            context[first[:-1]] = model.words(np.array([END]))[0][0]
-        ok = np.flatnonzero((context >= 0) & (ids >= 0))
-        shard, begin = above.stretch(context[ok], ids[ok], n_words)
-        key = (context[ok] - begin).astype(U64) << U64(word_bits) | ids[ok].astype(U64)
+        context, symbol, _ = model.walk(ids, first[:-1])
+        ok = np.flatnonzero((context >= 0) & (symbol >= 0))
+        shard, begin = above.stretch(context[ok], symbol[ok])
+        key = (context[ok] - begin).astype(U64) << U64(word_bits) | symbol[ok].astype(U64)
         if together:
             return np.unique(shard.astype(U64) << U64(key_bits) | key, return_counts=True)
         return _merge([(shard[:0], key[:0], shard[:0]), (shard, key, np.ones(len(key), np.int64))])
@@ -586,28 +583,22 @@ def _shard(root: str, level: int, shard: int, model: Model, keys: np.ndarray, n:
     if model.least > 1:
         keys, n = keys[n >= model.least], n[n >= model.least]
     above = model.levels[-1] if model.levels else model.vocabulary
-    context, word = (keys >> U64(word_bits)).astype(np.int64), (keys & U64((1 << word_bits) - 1)).astype(np.int64)
+    context, symbol = (keys >> U64(word_bits)).astype(np.int64), (keys & U64((1 << word_bits) - 1)).astype(np.int64)
     new = np.flatnonzero(np.append(True, context[1:] != context[:-1])) if len(context) else np.zeros(0, np.int64)
     parents, of = context[new], np.repeat(np.arange(len(new)), np.diff(np.append(new, len(context))))
     total = above.gather(parents + lo, "count")
-    shorter = model.base(model.vocabulary.gather(word, "count"))
-    if model.levels:
-        last = (above.gather(parents + lo, "key") % U64(model.n_words)).astype(np.int64)[of]
-        position, back = model.levels[0].find(last, word, model.n_words)
-        shorter += back
-        hit = position >= 0
-        shorter[hit] = model.levels[0].gather(position[hit], "prob")
+    shorter = above.gather(symbol, "prob") if model.levels else model.base(above.gather(symbol, "count"))
     seen = (n - DISCOUNT) / total[of]
     left = np.bincount(of, weights=seen, minlength=len(parents)) if all_seen is None else np.full(len(parents), all_seen) / total
     left = np.maximum(1 - left, 1e-6)
     prob = np.log10(seen + left[of] * 10**shorter)
     back = np.zeros(hi - lo, np.uint16)
     back[parents] = np.maximum(_quantised(np.log10(left)), 1)
-    if all_seen is not None:  # words of other shards are sought here too
+    if all_seen is not None:  # successors of other shards are sought here too
         back[:] = back.max(initial=1)
     sums = np.concatenate([[0], np.cumsum(n)])
-    key = context.astype(U64) * U64(model.n_words) + word.astype(U64)
-    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * model.n_words)), "ptr": EliasFano.build(np.searchsorted(context, np.arange(hi - lo + 1)), len(key) + 1), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}
+    key = context.astype(U64) * U64(above.size) + symbol.astype(U64)
+    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * above.size)), "ptr": EliasFano.build(np.searchsorted(context, np.arange(hi - lo + 1)), len(key) + 1), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}
     return _write(root, level, shard, coded, {"prob": _quantised(prob), "back": back}, n, cut)
 
 
@@ -640,7 +631,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             for h, first in _chunks(batch.column(1)):
                 ids, n = model.words(h)
                 base = model.base(n)
-                _, p = model.walk(model.lasting(ids, n), first[:-1], base)
+                *_, p = model.walk(model.lasting(ids, n), first[:-1], base)
                 got.append((np.diff(first), _text.reduce_sum((ids >= 0).astype(np.int64), first), _text.reduce_sum(base, first), _text.reduce_sum(p, first)))
             cols = [np.concatenate(c) for c in zip(*got)] if got else [np.zeros(0, np.int64)] * 2 + [np.zeros(0)] * 2
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(cols[0]), pa.array(cols[1]), pa.array(np.full(len(cols[0]), model.tokens)), pa.array(cols[2]), pa.array(cols[3])], ["doc_id", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
