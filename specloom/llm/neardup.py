@@ -7,7 +7,7 @@ pair is in no common table with a probability of 2 * (1 - 0.75^2)^M: 0.0005 for
 
 Sets that are equal are one node. In every table bucket each node is first verified against the bucket's smallest node, and components are taken
 over the links found. Only buckets that still hold several components go on: nodes that such buckets connect form a family, whose nodes are dealt to
-blocks; each pair of blocks is one group of rows, which compares sketches and verifies at once, on full sets, the pairs that share a table key and
+blocks; each pair of blocks that holds several components is one group of rows, which compares sketches and verifies at once, on full sets, the pairs that share a table key and
 agree in enough minhashes. So a bucket never becomes all its pairs in rows, no task gets a whole large family, and no pair is left out.
 Verification counts full sets, 100 * both >= 75 * either: by hashes, and what passes once more by the words themselves.
 
@@ -163,6 +163,30 @@ def compare_blocks(rows: DataFrame, percent: int = PERCENT) -> DataFrame:
     return rows.select("family", "i", "j", "side", "node", "component", "x").mapInArrow(run, "a long, b long")
 
 
+def deal(ws: _runtime.Workspace, told: DataFrame) -> DataFrame:
+    """Rows (family, i, j, side, node, component, x): the members of families, once for each pair of blocks in which they meet nodes of other components.
+
+    A component of BLOCK nodes or BLOCK_BYTES has blocks of its own, which do not meet each other; smaller ones share blocks. So a few strays beside a very large
+    component cost one copy of its texts for each block of strays.
+    """
+    whole = told.groupBy("family").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("family")
+    sizes = told.groupBy("family", "component").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("x")).alias("size"))
+    blocks_of = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES), F.lit(1)).cast("int")
+    sizes = ws.put(sizes.join(whole.hint("merge"), "family", "left_semi").withColumn("own", (F.col("c") >= BLOCK) | (F.col("size") >= BLOCK_BYTES)), "component-sizes")
+    shared = sizes.where("not own").groupBy("family").agg(F.sum("c").alias("c"), F.sum("size").alias("size")).select("family", F.lit(False).alias("own"), F.lit(0).cast("long").alias("of"), blocks_of.alias("n"))
+    runs = ws.put(sizes.where("own").select("family", "own", F.col("component").alias("of"), blocks_of.alias("n")).unionByName(shared), "runs")
+    each = runs.select("family", "own", "of", "n", F.explode(F.sequence(F.lit(0), F.col("n") - 1)).alias("r"))
+    block = ws.put(each.withColumn("i", F.row_number().over(W.partitionBy("family").orderBy("own", "of", "r"))), "blocks")
+    left, right = block.select("family", "own", "of", "i"), block.select("family", F.col("own").alias("own_"), F.col("of").alias("of_"), F.col("i").alias("j"))
+    pairs = ws.put(left.join(right.hint("merge"), "family").where("i <= j and not (own and own_ and of = of_)").select("family", "i", "j"), "block-pairs")
+    of = F.when(F.col("own"), F.col("component")).otherwise(F.lit(0).cast("long"))
+    placed = told.join(sizes.select("family", "component", "own").hint("merge"), ["family", "component"]).withColumn("of", of).join(runs.hint("merge"), ["family", "own", "of"])
+    placed = placed.withColumn("r", F.pmod(F.xxhash64("node"), F.col("n")).cast("int")).join(block.select("family", "own", "of", "r", F.col("i").alias("at")).hint("merge"), ["family", "own", "of", "r"])
+    placed = ws.put(placed.select("family", "at", "node", "component", "x"), "dealt")
+    meet = lambda at, side, where: placed.join(pairs.where(where).withColumn("at", F.col(at)).hint("merge"), ["family", "at"]).select("family", "i", "j", F.lit(side).alias("side"), "node", "component", "x")
+    return meet("i", 0, "true").unionByName(meet("j", 1, "i < j"))
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_shingles, component_id (the smallest doc_id reachable), kept (whether that is the row's own)."""
     spark = docs.sparkSession
@@ -205,25 +229,25 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     own = signed.where("n > 0").join(several.hint("merge"), "id", "left_semi").join(reps.hint("merge"), digest).select(F.col("id").alias("a"), F.col("rep").alias("b"))
     own = ws.put(own.union(nodes.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"))).distinct(), "own-links")
 
-    links = linked(stars, "star").union(own)
+    verified = linked(stars, "star")
+    links = verified.union(own)
+    ws.drop(stars)
     comp = ws.put(components(ws, links), "star-components")
     member = ws.put(tables.join(comp.hint("merge"), "node", "left").select("key", "node", F.coalesce("component", "node").alias("component")), "members")
     mixed = ws.put(member.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.min("node").alias("centre"), F.count(F.lit(1)).alias("c")).where("lo <> hi and c > 2").select("key", "centre"), "mixed")
     near = ws.put(member.join(mixed.hint("merge"), "key").select(F.col("node").alias("a"), F.col("centre").alias("b")).distinct(), "near")
+    ws.drop(tables, member, mixed)
     if not near.isEmpty():
         family = ws.put(components(ws, near), "families").withColumnRenamed("component", "family")
-        placed = family.join(comp.hint("merge"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component"))
-        told = ws.put(texts_of(placed.select("node"), "family").join(ws.put(placed, "placed").hint("merge"), "node"), "family-members")
-        load = told.groupBy("family").agg(F.count(F.lit(1)).alias("c"), F.sum(F.octet_length("x")).alias("size"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi")
-        blocks = F.greatest(F.ceil(F.col("c") / BLOCK), F.ceil(F.col("size") / BLOCK_BYTES)).cast("int")
-        load = ws.put(load.select("family", blocks.alias("blocks")), "family-blocks")
-        own = F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int")
-        dealt = told.join(load.hint("merge"), "family").select("family", "node", "component", "x", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-        dealt = dealt.select("family", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), (F.col("own") > F.col("other")).cast("int").alias("side"), "node", "component", "x")
+        placed = ws.put(family.join(comp.hint("merge"), "node", "left").select("node", "family", F.coalesce("component", "node").alias("component")), "placed")
+        told = ws.put(texts_of(placed.select("node"), "family").join(placed.hint("merge"), "node"), "family-members")
+        dealt = deal(ws, told)
         more = ws.put(compare_blocks(dealt.repartition("family", "i", "j").sortWithinPartitions("family", "i", "j", "side", "node")).distinct(), "block-links")
-        ws.drop(told)
+        ws.drop(told, placed)
         if not more.isEmpty():
             comp = ws.put(components(ws, links.union(more)), "components")
+        ws.drop(more)
+    ws.drop(near, verified, own, nodes)
     out = signed.select("id", "n", "d1", "d2").join(reps.hint("merge"), digest, "left")
     out = out.withColumn("rep", F.when(F.col("id").isNotNull(), F.col("rep")))
     out = out.join(comp.hint("merge"), out["rep"] == comp["node"], "left")

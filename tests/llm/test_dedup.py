@@ -97,6 +97,21 @@ def test_structured_words(make):
     assert sorted((str(r.doc_id), r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got) == repeated([(1, a), (2, b), (3, "x" + a)], 200, "none")
 
 
+def test_a_large_component_does_not_meet_itself(spark, monkeypatch):
+    """100 nodes of one component and 6 strays in blocks of 10: each text of the large one is copied once for each block of strays, not for each block."""
+    monkeypatch.setattr(neardup, "BLOCK", 10)
+    rows = [(k, 0, 0 if k < 100 else k, "x") for k in range(106)] + [(k, 500, 500 + k % 2, "y") for k in range(500, 507)] + [(k, 900, 900, "z") for k in range(900, 950)]
+    told = spark.createDataFrame(rows, "node long, family long, component long, x string")
+    got = neardup.deal(Workspace(spark, "test"), told).collect()
+    copies = {k: sum(r.node == k for r in got) for k, *_ in rows}
+    assert all(copies[k] == 1 for k in range(100)) and all(copies[k] == 11 or copies[k] == 12 for k in range(100, 106)) and not any(copies[k] for k in range(900, 950))
+    groups = {}
+    for r in got:
+        groups.setdefault((r.family, r.i, r.j), []).append(r)
+    met = {(a.node, b.node) for g in groups.values() for a in g for b in g}
+    assert all((a, b) in met for a, fa, ca, _ in rows for b, fb, cb, _ in rows if fa == fb and ca != cb)
+
+
 def test_neardup_dedup_keeps_columns(make, rng):
     rows = near_rows(rng)
     docs = make(rows)
