@@ -4,7 +4,7 @@ A level of the trie is a row of shards, each a file of compact arrays that score
 
 * ``key``: the level's n-grams as one growing sequence, context position times the number of successors there are plus the successor. Elias-Fano: low bits packed, high bits in unary.
 * ``ptr``: for each context of the shard, where its successors begin: a monotone sequence, Elias-Fano.
-* ``sum``: running counts, monotone, Elias-Fano.
+* ``sum``: running counts, monotone, Elias-Fano; the deepest level needs none.
 * ``prob``: log10 probability of each n-gram, and ``back``: log10 of the mass each context leaves to the shorter one; both in steps of ``STEP``.
 
 The context of a level is a position in the level above. So is the successor: of a, b, c it is the position of b, c (in level 2, the word), which a search for the shorter context has found
@@ -42,6 +42,8 @@ from . import _runtime, _text
 
 U64 = np.uint64
 STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE, MEMO = 0.0005, 0.75, 3, 2_000_000, 2_000_000, 19
+#: Shards of the vocabulary hold about so many words.
+SHARD_WORDS = 250_000
 #: Shards that cannot be mapped, as their store is not mounted, are held in memory up to so many bytes for each level and worker.
 HELD = 256 << 20
 END = U64(0xE4D0E4D0E4D0E4D0)
@@ -66,9 +68,9 @@ def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
 
 class EliasFano:
     """A non-decreasing sequence of n unsigned numbers below ``universe``: low bits packed, high bits in unary, a running count of ones for each word of 64 bits, and the word of
-    every eighth one and zero. All arrays may be mapped; nothing is expanded."""
+    every 16th one and zero. All arrays may be mapped; nothing is expanded."""
 
-    SAMPLE = 3
+    SAMPLE = 4
 
     def __init__(self, n: int, bits: int, low: np.ndarray, high: np.ndarray, ones: np.ndarray, one: np.ndarray, zero: np.ndarray) -> None:
         self.n, self.bits, self.low, self.high, self.ones = n, bits, low, high, ones
@@ -244,7 +246,7 @@ class Level:
             if not name:
                 return None
             a, held = _open(f"{self.root}/{name.decode()}")
-            self._shards[k] = {"key": _parts(a, "key"), "sum": _parts(a, "sum")} | {n: a[n] for n in ("prob", "back") if n in a}, held
+            self._shards[k] = {x: _parts(a, x) for x in ("key", "sum") if f"{x}.n" in a} | {n: a[n] for n in ("prob", "back") if n in a}, held
             self._held += held
             while self._held > HELD and len(self._shards) > 1:
                 self._held -= self._shards.popitem(last=False)[1][1]
@@ -434,7 +436,7 @@ def _vocabulary(ws: _runtime.Workspace, texts: DataFrame, root: str, cut: int) -
             yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(n)], ["h", "n"])
 
     counted = ws.put(texts.mapInArrow(count, "h long, n long").groupBy("h").agg(F.sum("n").alias("n")), "words")
-    bits = max(0, int(counted.count() // cut).bit_length())
+    bits = max(0, int(counted.count() // min(cut, SHARD_WORDS)).bit_length())
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [b for b in batches if len(b)]
@@ -596,9 +598,11 @@ def _shard(root: str, level: int, shard: int, model: Model, keys: np.ndarray, n:
     back[parents] = np.maximum(_quantised(np.log10(left)), 1)
     if all_seen is not None:  # successors of other shards are sought here too
         back[:] = back.max(initial=1)
-    sums = np.concatenate([[0], np.cumsum(n)])
     key = context.astype(U64) * U64(above.size) + symbol.astype(U64)
-    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * above.size)), "ptr": EliasFano.build(np.searchsorted(context, np.arange(hi - lo + 1)), len(key) + 1), "sum": EliasFano.build(sums, int(sums[-1]) + 1)}
+    coded = {"key": EliasFano.build(key, max(1, (hi - lo) * above.size)), "ptr": EliasFano.build(np.searchsorted(context, np.arange(hi - lo + 1)), len(key) + 1)}
+    if level < model.order:
+        sums = np.concatenate([[0], np.cumsum(n)])
+        coded["sum"] = EliasFano.build(sums, int(sums[-1]) + 1)
     return _write(root, level, shard, coded, {"prob": _quantised(prob), "back": back}, n, cut)
 
 
