@@ -15,6 +15,7 @@ from .functions import scalars as S
 from .operators import migrate, render, rules, trace
 from .operators import relational as R
 from .plans.catalog import Catalog
+from .shipping import stored
 from .sources.specs import parse_specs
 
 TABLES = ("supplier", "nation", "region")
@@ -82,7 +83,8 @@ def texts(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def corpus(spark: SparkSession, sf: str) -> DataFrame:
-    return parse_specs(texts(spark, sf).repartition(8, "doc"), "FAILFAST")
+    """The documents, parsed once and stored: a query of several rules reads them several times."""
+    return stored(parse_specs(texts(spark, sf).repartition(8, "doc"), "FAILFAST"))
 
 
 def spec_validation(spark, sf):
@@ -171,7 +173,7 @@ def _plain_documents(spark, sf) -> DataFrame:
 def _migrated(spark, sf) -> DataFrame:
     ops = _operations(spark, sf)
     lost = ops.where("fails").groupBy("doc").agg(F.lit(-1).alias("seq"), F.first(F.col("op").withField("type", F.lit("remove_field")).withField("entity_id", F.lit("nobody"))).alias("op"))
-    return migrate.replay_corpus(_plain_documents(spark, sf), ops.select("doc", "seq", "op").unionByName(lost))
+    return stored(migrate.replay_corpus(_plain_documents(spark, sf), ops.select("doc", "seq", "op").unionByName(lost)))
 
 
 def spec_migration(spark, sf):
