@@ -37,7 +37,7 @@ _loaded: dict[str, tuple] = {}
 def encoder(tokenizer: str):
     """text -> ids of the ``tokenizers`` file, as encode(text, add_special_tokens=False).
 
-    Where a rank file of the same vocabulary lies beside it, texts take that faster way: the ids are the same (tested over whole tables and every letter).
+    Where a rank file of the same vocabulary lies beside it, texts take that faster way: the ids are the same (tested over two whole tables and every letter below U+20000).
     Texts that hold a special token's string, or more than ``SPACES`` separators in a row, which the faster way cannot hold on its stack, are encoded by ``tokenizers`` itself.
     """
     if tokenizer in _loaded:
