@@ -9,7 +9,8 @@ A level of the trie is a row of shards, each a file of compact arrays that score
 
 The context of a level is a position in the level above. So is the successor: of a, b, c it is the position of b, c (in level 2, the word), which a search for the shorter context has found
 already, and which gives the shorter probability without another search. Successors are sought relative to their context: the search goes to the
-bucket of the key's high bits by a select on zeros and bisects its low bits. Level 1 holds hashes of words.
+bucket of the key's high bits by a select on zeros and bisects its low bits. Level 1 holds hashes of words. The tokens of many texts are sought together, each
+distinct word and n-gram once and in the order of the keys.
 
 Smoothing: absolute discounting, interpolated with the shorter context, over all n-grams of the training part (``least`` = 1; a higher ``least`` leaves rarer ones of
 two or more words out, and their mass goes to the shorter context). Single words have (c + 1) / (N + V + 1), so unknown words have the rest.
@@ -41,29 +42,32 @@ from pyspark.sql import functions as F
 from . import _runtime, _text
 
 U64 = np.uint64
-STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE, MEMO = 0.0005, 0.75, 3, 2_000_000, 2_000_000, 19
+STEP, DISCOUNT, ORDER, SHARD_TOKENS, MERGE = 0.0005, 0.75, 3, 2_000_000, 2_000_000
+#: Tokens that are sought together.
+TOGETHER = 900_000
 #: Shards of the vocabulary hold about so many words.
 SHARD_WORDS = 250_000
 #: Shards that cannot be mapped, as their store is not mounted, are held in memory up to so many bytes for each level and worker.
 HELD = 256 << 20
 END = U64(0xE4D0E4D0E4D0E4D0)
-_SELECT = np.zeros((256, 8), np.uint8)  # place of the k-th set bit of a byte
+_SELECT = np.zeros(256 * 8, U64)  # place of the k-th set bit of a byte
 for _b in range(256):
     for _k, _at in enumerate([j for j in range(8) if _b >> j & 1]):
-        _SELECT[_b, _k] = _at
+        _SELECT[_b * 8 + _k] = _at
+
+
+_EACH, _TOP = U64(0x0101010101010101), U64(0x8080808080808080)  # the lowest and the highest bit of each byte
 
 
 def _select_in_word(word: np.ndarray, k: np.ndarray) -> np.ndarray:
-    """Place of the k-th (from 0) set bit of each word."""
-    at = np.zeros(len(word), np.int64)
-    for width in (32, 16, 8):
-        low = word & U64((1 << width) - 1)
-        n = np.bitwise_count(low).astype(np.int64)
-        up = k >= n
-        k = np.where(up, k - n, k)
-        word = np.where(up, word >> U64(width), low)
-        at += up * width
-    return at + _SELECT[(word & U64(255)).astype(np.int64), k]
+    """Place of the k-th (from 0) set bit of each word, all bytes at a time."""
+    k = k.astype(U64)
+    sums = word - ((word >> U64(1)) & U64(0x5555555555555555))
+    sums = (sums & U64(0x3333333333333333)) + ((sums >> U64(2)) & U64(0x3333333333333333))
+    sums = ((sums + (sums >> U64(4))) & U64(0x0F0F0F0F0F0F0F0F)) * _EACH  # set bits up to each byte's end
+    place = np.bitwise_count(((k * _EACH | _TOP) - sums) & _TOP).astype(U64) << U64(3)  # of the byte: eight for each one that ends before
+    rank = k - (((sums << U64(8)) >> place) & U64(255))
+    return (place + _SELECT[((word >> place) & U64(255)) << U64(3) | rank]).view(np.int64)
 
 
 class EliasFano:
@@ -131,9 +135,8 @@ class EliasFano:
         if not self.bits:
             return np.zeros(len(i), U64)
         at = i * self.bits
-        word, shift = at >> 6, (at & 63).astype(U64)
-        upper = self.low[word + 1] << ((U64(64) - shift) & U64(63))
-        return ((self.low[word] >> shift) | np.where(shift > 0, upper, U64(0))) & self.mask
+        word, shift = at >> 6, (at & 63).view(U64)
+        return ((self.low[word] >> shift) | (self.low[word + 1] << U64(1) << (U64(63) - shift))) & self.mask
 
     def get(self, i: np.ndarray) -> np.ndarray:
         high = (self._select(i, False) - i).astype(U64)
@@ -160,11 +163,12 @@ class EliasFano:
         while len(todo):
             mid = (lo + hi) >> 1
             got = self.lows(mid)
-            same = got == want
+            same = np.flatnonzero(got == want)
             out[todo[same]] = mid[same]
             less = got < want
             lo, hi = np.where(less, mid + 1, lo), np.where(less, hi, mid)
-            go = np.flatnonzero(~same & (lo < hi))
+            hi[same] = 0  # found
+            go = np.flatnonzero(lo < hi)
             todo, lo, hi, want = todo[go], lo[go], hi[go], want[go]
         return out
 
@@ -205,6 +209,18 @@ def _parts(a: dict[str, np.ndarray], name: str) -> EliasFano:
     return EliasFano.load({k.split(".")[1]: v for k, v in a.items() if k.startswith(name + ".")})
 
 
+def _order(context: np.ndarray, symbol: np.ndarray, contexts: int, symbols: int) -> np.ndarray:
+    """Order by context, then by as much of the successor (-1 or more) as fits in one number of 64 bits beside context and place: such numbers sort faster than their places."""
+    place_bits, context_bits, symbol_bits = len(context).bit_length(), contexts.bit_length(), (symbols + 1).bit_length()
+    room = 64 - place_bits - context_bits
+    if room < 0:
+        return np.argsort(context)
+    kept = min(room, symbol_bits)
+    packed = (context.astype(U64) << U64(kept) | (symbol + 1).astype(U64) >> U64(symbol_bits - kept)) << U64(place_bits) | np.arange(len(context), dtype=U64)
+    packed.sort()
+    return (packed & U64((1 << place_bits) - 1)).view(np.int64)
+
+
 class Level:
     """One level. Small when sent to tasks: the place of its index, and totals.
 
@@ -223,7 +239,7 @@ class Level:
     def __setstate__(self, state: dict) -> None:
         self.__dict__.update(state)
         self._shards: OrderedDict[int, tuple] = OrderedDict()
-        self._held, self._memo, self._index = 0, None, None
+        self._held, self._index = 0, None
 
     @property
     def listed(self) -> dict[str, np.ndarray]:
@@ -272,36 +288,45 @@ class Level:
             out[rows] = s["prob"][at] * -STEP if name == "prob" else (s["sum"].get(at + 1) - s["sum"].get(at)).astype(np.int64)
         return out
 
-    def find(self, context: np.ndarray, symbol: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Positions of (context, successor), -1 where absent, and the contexts' log10 mass for shorter ones. Contexts of -1 have no successors and leave all."""
-        position, back = np.full(len(context), -1, np.int64), np.zeros(len(context))
-        live = np.flatnonzero(context >= 0)
-        if self.above.above is None:  # two words are often those of a recent search; three hardly ever
-            if self._memo is None:
-                self._memo = np.full(1 << MEMO, -1, np.int64), np.zeros(1 << MEMO, np.int64), np.zeros(1 << MEMO)
-            keys, positions, backs = self._memo
-            key = context[live] * (self.symbols + 1) + symbol[live] + 1
-            slot = (_text.mix(key.view(U64)) >> U64(64 - MEMO)).astype(np.int64)
-            same = keys[slot] == key
-            known = slot[same]
-            position[live[same]], back[live[same]] = positions[known], backs[known]
-            miss = ~same
-            live, key, slot = live[miss], key[miss], slot[miss]
-        of, first = self.above.stretch(context[live], symbol[live])
-        for k, rows in self.each(of):
-            s = self.shard(k)
-            if s is None:
-                continue
-            c, rows = context[live[rows]] - first[rows], live[rows]
-            left = s["back"][c]
-            back[rows] = left * -STEP
-            some = np.flatnonzero((left > 0) & (symbol[rows] >= 0))  # a context without successors leaves all
-            rows = rows[some]
-            at = s["key"].find(c[some].astype(U64) * U64(self.symbols) + symbol[rows].astype(U64))
-            position[rows] = np.where(at >= 0, at + self.listed["base"][k], -1)
-        if self._memo is not None:
-            keys[slot], positions[slot], backs[slot] = key, position[live], back[live]
-        return position, back
+    def find(self, context: np.ndarray, symbol: np.ndarray, scored: bool = True) -> tuple[np.ndarray, np.ndarray | None]:
+        """Positions of (context, successor), -1 where absent; the log10 probability of what is there, and the log10 mass for shorter contexts of what is not (none unless ``scored``).
+        Contexts of -1 have no successors and leave all. Pairs are sought in the order of the keys, so that neighbours in a shard follow each other; equal ones that lie together, once."""
+        to = np.flatnonzero(context >= 0)
+        to = to[_order(context[to], symbol[to], self.above.size, self.symbols)]
+        c, s = context[to], symbol[to]
+        new = np.append(True, (c[1:] != c[:-1]) | (s[1:] != s[:-1]))[: len(c)]
+        c, s = c[new], s[new]
+        at, coded = np.full(len(c), -1, np.int64), np.zeros(len(c), np.uint16)
+        cut, base = self.above.listed, self.listed["base"]
+        bound = np.append(np.searchsorted(c, cut["first"]), len(c))
+        for e in np.flatnonzero(bound[1:] > bound[:-1]):
+            a, b, first = int(bound[e]), int(bound[e + 1]), int(cut["first"][e])
+            some = self.each(self.above.stretch(c[a:b], s[a:b])[0]) if cut["pieces"][e] > 1 else [(int(cut["shard"][e]), slice(None))]
+            for k, rows in some:
+                shard = self.shard(k)
+                if shard is None:
+                    continue
+                own, sought = c[a:b][rows] - first, s[a:b][rows]
+                value = shard["back"][own]
+                got = np.flatnonzero((value > 0) & (sought >= 0))  # a context without successors leaves all
+                found = shard["key"].find(own[got].astype(U64) * U64(self.symbols) + sought[got].astype(U64))
+                hit = np.flatnonzero(found >= 0)
+                there, found = got[hit], found[hit]
+                place = np.full(len(own), -1, np.int64)
+                place[there] = found + base[k]
+                at[a:b][rows] = place
+                if scored:
+                    value[there] = shard["prob"][found]
+                    coded[a:b][rows] = value
+        del c, s
+        of = np.cumsum(new) - 1
+        position = np.full(len(context), -1, np.int64)
+        position[to] = at[of]
+        if not scored:
+            return position, None
+        out = np.zeros(len(context))
+        out[to] = (coded * -STEP)[of]
+        return position, out
 
 
 class Model:
@@ -310,31 +335,25 @@ class Model:
     def __init__(self, vocabulary: Level, bits: int, levels: list[Level], order: int, least: int) -> None:
         self.vocabulary, self.bits, self.levels, self.order, self.least = vocabulary, bits, levels, order, least
         self.tokens, self.n_words = vocabulary.total, vocabulary.size
-        self._cache: tuple | None = None
-
-    def __getstate__(self) -> dict:
-        return self.__dict__ | {"_cache": None}
 
     def words(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of word hashes, -1 if unknown, and their counts; a table of recent hashes spares most searches."""
-        if self._cache is None:
-            self._cache = np.zeros(1 << 19, U64), np.full(1 << 19, -1, np.int64), np.zeros(1 << 19, np.int64)
-        key, value, count = self._cache
-        slot = (h >> U64(45)).astype(np.int64)
-        ids, counts = value[slot], count[slot]
-        miss = np.flatnonzero(key[slot] != h)
-        if len(miss):
-            x, back = np.unique(h[miss], return_inverse=True)
-            got, n = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
-            v, low = self.vocabulary, x & U64((1 << (64 - self.bits)) - 1)
-            for k, rows in v.each((x >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)):
-                if v.shard(k):
-                    at = v.shard(k)["key"].find(low[rows])
-                    got[rows] = np.where(at >= 0, at + v.listed["base"][k], -1)
-            known = np.flatnonzero(got >= 0)
-            n[known] = v.gather(got[known], "count")
-            ids[miss], counts[miss] = got[back], n[back]
-            key[slot[miss]], value[slot[miss]], count[slot[miss]] = h[miss], ids[miss], counts[miss]
+        """Ids of word hashes, -1 if unknown, and their counts. Equal words that the order of the upper bits brings together are sought once."""
+        place_bits = U64(len(h).bit_length())
+        order = (np.sort(h >> place_bits << place_bits | np.arange(len(h), dtype=U64)) & ((U64(1) << place_bits) - U64(1))).view(np.int64)
+        x = h[order]
+        new = np.append(True, x[1:] != x[:-1])[: len(x)]
+        x = x[new]
+        got, n = np.full(len(x), -1, np.int64), np.zeros(len(x), np.int64)
+        v, low = self.vocabulary, x & U64((1 << (64 - self.bits)) - 1)
+        for k, rows in v.each((x >> U64(64 - self.bits)).astype(np.int64) if self.bits else np.zeros(len(x), np.int64)):
+            if v.shard(k):
+                at = v.shard(k)["key"].find(low[rows])
+                got[rows] = np.where(at >= 0, at + v.listed["base"][k], -1)
+        known = np.flatnonzero(got >= 0)
+        n[known] = v.gather(got[known], "count")
+        of = np.cumsum(new) - 1
+        ids, counts = np.empty(len(h), np.int64), np.empty(len(h), np.int64)
+        ids[order], counts[order] = got[of], n[of]
         return ids, counts
 
     def lasting(self, ids: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -354,11 +373,9 @@ class Model:
         before[begins] = end
         score, inner, symbol = unigram, before, ids
         for level in self.levels:
-            position, back = level.find(inner, symbol)
+            position, value = level.find(inner, symbol, score is not None)
             if score is not None:
-                hit = np.flatnonzero(position >= 0)
-                score = back + score
-                score[hit] = level.gather(position[hit], "prob")
+                score = np.where(position >= 0, value, value + score)
             inner = np.concatenate([[-1], position[:-1]])
             inner[begins] = -1
             symbol = position
@@ -375,8 +392,21 @@ def tokens(w: _text.Words) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _chunks(column: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Tokens and offsets of runs of whole texts with about ``TOGETHER`` tokens: the more are sought together, the nearer their entries lie and the more of them a shard has."""
+    held, size = [], 0
     for _, _, raw, offs in _text.chunks(column, 1 << 21):
-        yield tokens(_text.words(raw, offs))
+        held.append(tokens(_text.words(raw, offs)))
+        size += len(held[-1][0])
+        if size >= TOGETHER:
+            yield _joined(held)
+            held, size = [], 0
+    if held:
+        yield _joined(held)
+
+
+def _joined(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    before = np.cumsum([0, *(len(h) for h, _ in parts)])
+    return np.concatenate([h for h, _ in parts]), np.concatenate([[0], *(first[1:] + b for (_, first), b in zip(parts, before))])
 
 
 def _quantised(x: np.ndarray) -> np.ndarray:

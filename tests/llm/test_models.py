@@ -293,6 +293,59 @@ def test_trie_agrees_with_dictionaries(spark, make, rng, monkeypatch, order, lea
     assert 0.9 < sum(plain.p(("</s>",), x) for x in plain.uni) <= 1
 
 
+@pytest.mark.parametrize("cut, packed", [(60, True), (60, False), (10**6, True)])
+def test_trie_seeks_each_key_once(spark, make, rng, monkeypatch, cut, packed):
+    texts = prose(rng, 60)
+    model = ngram.train(make(list(enumerate(texts))), shard_tokens=cut)
+    if not packed:  # contexts whose numbers leave no room beside the place
+        monkeypatch.setattr(ngram, "_order", lambda c, s, *_, made=ngram._order: made(c, s, 1 << 62, 1 << 62))
+    scores, keys, find = {}, [], ngram.EliasFano.find
+    monkeypatch.setattr(ngram.EliasFano, "find", lambda self, x: keys.append(len(x)) or find(self, x))
+    for times in (1, 50):  # fifty copies of all texts, in one run of the operator, need no more searches than one
+        keys.clear()
+        got = []
+        for h, first in ngram._chunks(pa.array((texts + ["never seen", ""]) * times)):
+            ids, n = model.words(h)
+            *_, p = model.walk(ids, first[:-1], model.base(n))
+            got += np.add.reduceat(p, first[:-1]).tolist()
+        scores[times] = got, sum(keys)
+    assert np.allclose(scores[50][0], scores[1][0] * 50, atol=1e-9)
+    assert scores[50][1] == scores[1][1] or not packed
+
+
+def test_tokens_of_several_chunks_are_one_run(rng, monkeypatch):
+    texts = pa.array([*prose(rng, 50), None, "", "x " * 3_000] * 40)
+    whole = [(h.tolist(), first.tolist()) for h, first in ngram._chunks(texts)]
+    assert len(whole) == 1
+    monkeypatch.setattr(ngram, "TOGETHER", 1)
+    cut = ngram._text.chunks
+    monkeypatch.setattr(ngram._text, "chunks", lambda column, size: cut(column, 1 << 10))
+    small = list(ngram._chunks(texts))
+    assert len(small) > 100
+    assert np.concatenate([h for h, _ in small]).tolist() == whole[0][0]
+    assert np.concatenate([np.diff(first) for _, first in small]).tolist() == np.diff(whole[0][1]).tolist()
+    joined = ngram._joined(small)
+    assert (joined[0].tolist(), joined[1].tolist()) == whole[0]
+
+
+def test_select_in_word(rng):
+    numbers = [1, 1 << 63, (1 << 64) - 1, *(rng.getrandbits(64) & rng.getrandbits(64) | 1 for _ in range(200))]
+    for x in numbers:
+        at = [j for j in range(64) if x >> j & 1]
+        got = ngram._select_in_word(np.full(len(at), x, np.uint64), np.arange(len(at)))
+        assert got.tolist() == at
+
+
+def test_low_bits_of_every_width(rng):
+    for bits in (1, 2, 7, 16, 31, 33, 47, 58):
+        values = np.unique(np.array([rng.getrandbits(bits + 5) for _ in range(700)], np.uint64))
+        coded = ngram.EliasFano.build(values, 1 << (bits + 5))
+        assert (coded.get(np.arange(len(values))) == values).all()
+        assert (coded.find(values) == np.arange(len(values))).all()
+        others = np.setdiff1d(values ^ np.uint64(1), values)
+        assert (coded.find(others) == -1).all()
+
+
 def test_trie_of_nothing(spark, make):
     empty = make([(1, "a")]).where("false")
     model = ngram.train(empty)
